@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact, mixing, simhash
+from tidemark.llm import bpe, exact, langid, media, mixing, pii, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_bpe": bpe.op2_bpe,
+        "op3_secrets": secrets.op3_secrets,
+        "op4_language_id": langid.op4_language_id,
+        "op5_media": media.op5_media,
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact.op9_exact_dedup,
