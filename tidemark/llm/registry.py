@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact, langid, media, mixing, pii, secrets, simhash
+from tidemark.llm import bpe, exact, langid, media, mixing, pii, secrets, simhash, substring
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact.op9_exact_dedup,
+        "op10_substring_dedup": substring.op10_substring_dedup,
     }
 
 
