@@ -8,6 +8,7 @@ Text goes through the vocabulary file's own steps: special tokens' strings are c
 in NFC, white space dropped, lower-cased, split into letter runs, single digits, contractions and other runs, and its
 UTF-8 bytes written as the file's byte characters. White space separates all of these, so a run of other characters
 has the same ids wherever it stands, and runs seen before come from a bounded cache.
+Words that aren't in it are merged many at a time: one row of a rank array for each word.
 """
 
 from __future__ import annotations
@@ -29,8 +30,16 @@ from tidemark.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
 SHORT = 96
+#: Words of up to this many bytes are merged together, a row of one array for each.
+WIDE = 24
+#: Texts are encoded together until they have this many characters.
+GROUP = 1 << 19
+#: Python's split() drops these, the vocabulary's pattern doesn't.
+ODD = "\x1c\x1d\x1e\x1f"
 #: Stands after every rank.
 NONE = 1 << 60
+#: The pair table's hash: a multiplier, and the bits that are used.
+HASH, SHIFT, MASK = 0x9E3779B97F4A7, 28, (1 << 18) - 1
 #: Entries of each half of the cache.
 CACHE = 350_000
 #: Runs longer than this many characters aren't kept.
@@ -59,9 +68,16 @@ class Encoder:
         self.end: str = model["end_of_word_suffix"] or ""
         #: By the ids of two parts: rank and merged id, as one integer that sorts by rank.
         self.ranks = {self.vocab[a] << 20 | self.vocab[b]: rank << 20 | self.vocab[a + b] for rank, (a, b) in enumerate(model["merges"])}
+        self.pair_table, self.rank_table = np.full(MASK + 1, -1), np.full(MASK + 1, NONE)
+        places = (np.fromiter(self.ranks, np.int64) * HASH) >> SHIFT & MASK
+        for (pair, rank), at in zip(self.ranks.items(), places.tolist(), strict=True):
+            while self.pair_table[at] >= 0:
+                at = (at + 1) & MASK
+            self.pair_table[at], self.rank_table[at] = pair, rank
         chars = byte_characters()
         self.inner = [self.vocab[c] for c in chars]
         self.last = [self.vocab[c + self.end] for c in chars]
+        self.inner_table, self.last_table = np.array(self.inner), np.array(self.last)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -69,6 +85,7 @@ class Encoder:
         self.strings = np.empty(1 + max([*self.vocab.values(), *self.special.values()]), dtype=object)
         for s, i in [*self.vocab.items(), *self.special.items()]:
             self.strings[i] = s
+        self.names = [str(i) for i in range(len(self.strings))]
         self.cache = cache
         #: Ids of runs and words seen of late; the older half goes when the younger is full.
         self.young: dict[str, str] = {}
@@ -115,52 +132,125 @@ class Encoder:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p in parts if p >= 0]
 
-    def _keep(self, text: str, ids: str) -> None:
-        if len(self.young) >= self.cache:
-            self.old, self.young = self.young, {}
-        self.young[text] = ids
-
-    def _word(self, word: str) -> str:
-        ids = self.young.get(word)
-        if ids is None:
-            ids = self.old.get(word) or " ".join(map(str, self.merge(word.encode())))
-            if len(word) <= CACHED_LENGTH:
-                self._keep(word, ids)
-        return ids
-
-    def _run(self, run: str) -> str:
-        """Ids of a run without white space that isn't among the young."""
-        ids = self.old.get(run)
-        if ids is None:
+    def merge_many(self, words: list[bytes]) -> list[str]:
+        """Decimal ids of words of two to WIDE bytes: the same rank arrays, one row for each word, scanned together."""
+        out = [""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((1, 4), (4, 8), (8, 12), (12, 16), (16, WIDE)):
+            at = np.flatnonzero((size > low) & (size <= high))
+            for k in range(0, len(at), 1 << 14):
+                part = at[k : k + (1 << 14)]
+                n = size[part]
+                raw = np.frombuffer(b"".join(words[i].ljust(high, b"\0") for i in part), np.uint8).reshape(len(part), high)
+                ids = self.inner_table[raw]
+                row = np.arange(len(part))
+                ids[row, n - 1] = self.last_table[raw[row, n - 1]]
+                col = np.arange(high - 1)
+                ranks = np.where(col < (n - 1)[:, None], self._ranks(ids[:, :-1] << 20 | ids[:, 1:]), NONE)
+                live = row
+                p, r = ids, ranks
+                while True:
+                    i = r.argmin(1)
+                    least = r[np.arange(len(i)), i]
+                    go = least < NONE
+                    if not go.all():
+                        ids[live] = p
+                        live, p, r, i, least = live[go], p[go], r[go], i[go], least[go]
+                    if not len(live):
+                        break
+                    # Delete the boundary: what follows moves one place to the left.
+                    n[live] -= 1
+                    q = np.arange(len(live))
+                    p[:, 1:-1] = np.where(col[:-1] >= i[:, None], p[:, 2:], p[:, 1:-1])
+                    p[q, i] = least & 0xFFFFF
+                    r[:, :-1] = np.where(col[:-1] >= i[:, None], r[:, 1:], r[:, :-1])
+                    r[:, -1] = NONE
+                    left, right = i > 0, i + 1 < n[live]
+                    x, y = q[left], i[left]
+                    r[x, y - 1] = self._ranks(p[x, y - 1] << 20 | p[x, y])
+                    x, y = q[right], i[right]
+                    r[x, y] = self._ranks(p[x, y] << 20 | p[x, y + 1])
+                name = self.names
+                for w, m, x in zip(part.tolist(), n.tolist(), ids.tolist(), strict=True):
+                    out[w] = " ".join([name[y] for y in x[:m]])
+        return out
+
+    def _ranks(self, pairs: np.ndarray) -> np.ndarray:
+        """Ranks of pairs by an open hash table; NONE where they have none."""
+        at = (pairs * HASH) >> SHIFT & MASK
+        found = self.pair_table[at]
+        open_ = np.flatnonzero(((found != pairs) & (found >= 0)).ravel())
+        at = at.ravel()
+        flat, want = found.ravel(), pairs.ravel()
+        while len(open_):
+            at[open_] = (at[open_] + 1) & MASK
+            flat[open_] = self.pair_table[at[open_]]
+            open_ = open_[(flat[open_] != want[open_]) & (flat[open_] >= 0)]
+        return np.where(flat >= 0, self.rank_table[at], NONE).reshape(pairs.shape)
+
+    def _learn(self, runs: set[str]) -> None:
+        """Puts the ids of runs that aren't known yet into the cache."""
+        young, old = self.young, self.old
+        pieces: dict[str, list[str]] = {}
+        words: set[str] = set()
+        for run in runs:
+            ids = old.get(run)
+            if ids is not None:
+                young[run] = ids
+                continue
             low = run.replace("Σ", "σ").lower()  # no final sigma
-            ids = self._word(low) if low.isascii() and low.isalpha() else " ".join(map(self._word, self.pieces.findall(low)))
-        if len(run) <= CACHED_LENGTH:
-            self._keep(run, ids)
-        return ids
-
-    def _plain(self, text: str) -> list[str]:
+            pieces[run] = cut = [low] if low.isascii() and low.isalpha() else self.pieces.findall(low)
+            for w in cut:
+                if w not in young:
+                    if w in old:
+                        young[w] = old[w]
+                    else:
+                        words.add(w)
+        some = list(words)
+        raw = [w.encode() for w in some]
+        short = [k for k, w in enumerate(raw) if 1 < len(w) <= WIDE]
+        young.update(zip([some[k] for k in short], self.merge_many([raw[k] for k in short]), strict=True))
+        for w, x in zip(some, raw, strict=True):
+            if not 1 < len(x) <= WIDE:
+                young[w] = " ".join(map(str, self.merge(x)))
+        for run, cut in pieces.items():
+            young[run] = young[cut[0]] if len(cut) == 1 else " ".join([young[w] for w in cut])
+
+    def _runs(self, text: str) -> list[str]:
+        """The text in NFC without its white space."""
+        if text.isascii():
+            return text.split() if not any(c in text for c in ODD) else regex.split(r"\s+", text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            runs = regex.split(r"\s+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        else:
-            runs = text.split()
-        own = self._run
-        return [y for x in runs if (y := self.young.get(x) or own(x))]
+        return text.split() if not any(c in text for c in ODD) else regex.split(r"\s+", text)
+
+    def encode_texts(self, texts: list[str | None]) -> list[str]:
+        """Decimal ids of each text, joined by one space."""
+        if len(self.young) > self.cache:
+            self.old, self.young = self.young, {}
+        cut: list[list] = []
+        for text in texts:
+            if not text or "<|" not in text:
+                cut.append(self._runs(text) if text else [])
+            else:
+                cut.append([])
+                for piece in self.cut.split(text):
+                    cut[-1] += [self.special[piece]] if piece in self.special else self._runs(piece)
+        here: set = set()
+        for runs in cut:
+            here.update(runs)
+        young = self.young
+        for i in self.special.values():
+            young[i] = str(i)
+        self._learn({r for r in here if r not in young})
+        known = {r: young[r] for r in here}
+        for r in here:
+            if isinstance(r, str) and len(r) > CACHED_LENGTH:
+                young.pop(r, None)
+        return [" ".join(filter(None, map(known.__getitem__, runs))) for runs in cut]
 
     def encode_text(self, text: str | None) -> str:
-        """Decimal ids joined by one space."""
-        if not text:
-            return ""
-        if "<|" not in text:
-            return " ".join(self._plain(text))
-        out: list[str] = []
-        for piece in self.cut.split(text):
-            if piece in self.special:
-                out.append(str(self.special[piece]))
-            elif piece:
-                out += self._plain(piece)
-        return " ".join(out)
+        return self.encode_texts([text])[0]
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for x in self.encode_text(text).split()]
@@ -173,6 +263,19 @@ class Encoder:
         return self.decode_text(" ".join(map(str, ids)))
 
 
+def grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about GROUP characters."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t or "")
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -188,8 +291,7 @@ def _digests(path: str):
         e = encoder(path)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in b.column(1):
-                ids = e.encode_text(t.as_py())
+            for ids in (i for group in grouped(b.column(1).to_pylist()) for i in e.encode_texts(group)):
                 n.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(e.decode_text(ids).encode()).hexdigest())
@@ -202,7 +304,7 @@ def _round_trips(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            ids = [e.encode_text(t.as_py()) for t in b.column(1)]
+            ids = [i for group in grouped(b.column(1).to_pylist()) for i in e.encode_texts(group)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[int(x) for x in i.split()] for i in ids], pa.list_(pa.int32())), pa.array([e.decode_text(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
