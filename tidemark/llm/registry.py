@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact, langid, media, mixing, pii, secrets, simhash, substring
+from tidemark.llm import bpe, exact, langid, media, mixing, pii, secrets, simhash, substring, tokenfile
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_secrets": secrets.op3_secrets,
         "op4_language_id": langid.op4_language_id,
         "op5_media": media.op5_media,
+        "op6_token_ids": tokenfile.op6_token_ids,
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact.op9_exact_dedup,
