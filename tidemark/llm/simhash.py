@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from tidemark.llm.common import components, documents, written
 
@@ -102,7 +102,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         key, row = keys_of(fps)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row].view(np.int64))], names=["key", "fp"])
+        own = pa.array(fps[row].view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(key), own, own], names=["key", "node", "fp"])
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one 64-bit word or, in rows, of several."""
+    d = np.bitwise_count(a ^ b)
+    return d if d.ndim < 2 else d.sum(1, dtype=np.int64)
 
 
 def link_bucket(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -127,7 +134,7 @@ def link_bucket(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
         s = len(pivots)
         pivots.append(p)
         top.append(s)
-        near = np.flatnonzero(np.bitwise_count(fps ^ fps[p]) <= most)
+        near = np.flatnonzero(_differ(fps, fps[p : p + 1] if fps.ndim > 1 else fps[p]) <= most)
         for x in near[star[near] >= 0]:
             if (r := root(int(star[x]))) != root(s):
                 top[root(s)] = r
@@ -142,12 +149,12 @@ def link_bucket(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
     ends = np.cumsum(np.bincount(star, minlength=len(pivots)))
     member = lambda s: order[ends[s - 1] if s else 0 : ends[s]]
     for s in range(len(pivots)):
-        for t in np.flatnonzero(np.bitwise_count(heads[:s] ^ heads[s]) <= 3 * most):
+        for t in np.flatnonzero(_differ(heads[:s], heads[s : s + 1] if fps.ndim > 1 else heads[s]) <= 3 * most):
             if root(s) == root(int(t)):
                 continue
             mine, theirs = member(s), member(int(t))
             for x in mine:
-                hit = np.flatnonzero(np.bitwise_count(fps[theirs] ^ fps[x]) <= most)
+                hit = np.flatnonzero(_differ(fps[theirs], fps[x : x + 1] if fps.ndim > 1 else fps[x]) <= most)
                 if len(hit):
                     top[root(s)] = root(int(t))
                     links.append((int(x), int(theirs[hit[0]])))
@@ -155,57 +162,62 @@ def link_bucket(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
     return links
 
 
-def _links_of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links in whole buckets, rows sorted by key."""
+def _links_of(key: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, node) in whole buckets, rows sorted by key."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     a, b = [], []
     bucket = np.repeat(np.arange(len(starts)), sizes)
     few = np.repeat(sizes <= 32, sizes)
     for d in range(1, int(sizes[sizes <= 32].max(initial=1))):
-        ok = (bucket[d:] == bucket[:-d]) & few[d:]
-        x, y = fp[:-d][ok], fp[d:][ok]
-        near = np.bitwise_count(x ^ y) <= MAX_BITS
-        a.append(x[near])
-        b.append(y[near])
+        x = np.flatnonzero((bucket[d:] == bucket[:-d]) & few[d:])
+        x = x[_differ(fp[x], fp[x + d]) <= most]
+        a.append(node[x])
+        b.append(node[x + d])
     for s, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-        group = fp[s : s + n]
-        links = np.array(link_bucket(group), dtype=np.int64).reshape(-1, 2)
-        a.append(group[links[:, 0]])
-        b.append(group[links[:, 1]])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+        links = np.array(link_bucket(fp[s : s + n], most), dtype=np.int64).reshape(-1, 2)
+        a.append(node[s + links[:, 0]])
+        b.append(node[s + links[:, 1]])
+    return np.concatenate([node[:0], *a]), np.concatenate([node[:0], *b])
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by key; a bucket that a batch leaves open waits for the next one."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _bucket_links(most: int):
+    """Rows (key, node, one or more words of the fingerprint) arrive sorted by key; a bucket that a batch leaves open waits for the next one."""
 
-    def give(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = _links_of(key, fp)
+    def give(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = _links_of(key, fp, node, most)
         ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy().view(np.int64)), pa.array(ab[:, 1].copy().view(np.int64))], names=["a", "b"])
+        ab = ab[ab[:, 0] != ab[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        held.append((key, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-        if held[0][0][0] == key[-1]:
-            continue
-        key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = int(np.searchsorted(key, key[-1]))
-        held = [(key[cut:], fp[cut:])]
-        yield give(key[:cut], fp[:cut])
-    if held:
-        yield give(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, *fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+            fp = [x.view(np.uint64) for x in fp]
+            held.append((key, node, fp[0] if len(fp) == 1 else np.stack(fp, 1)))
+            if held[0][0][0] == key[-1]:
+                continue
+            key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(key, key[-1]))
+            held = [(key[cut:], node[cut:], fp[cut:])]
+            yield give(key[:cut], node[:cut], fp[:cut])
+        if held:
+            yield give(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(a, b): links of at most MAX_BITS bits that connect the distinct fingerprints in column fp (signed 64-bit)."""
-    rows = fps.select("fp").mapInArrow(_keys, "key long, fp long")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
+    return _linked(fps.select("fp").mapInArrow(_keys, "key long, node long, fp long"), MAX_BITS)
+
+
+def _linked(rows: DataFrame, most: int) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_links(most), "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -228,5 +240,60 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Near-duplicate texts: SimHash of five-word shingles, 128 bits, of which 0.8 or more agree.
+NEAR_SHINGLE, NEAR_BITS, NEAR = 5, 128, 0.8
+
+
+def near_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[bytes, np.ndarray] | None:
+    """(128-bit fingerprint of the shingles, four 23-bit words of the fingerprint of the distinct words); None without words.
+
+    A changed word changes `shingle` shingles but one word, so the words' fingerprint is the one that keys come from.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return None
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+
+    def bits(digests: bytes) -> np.ndarray:
+        ones, n = np.zeros(128, np.int64), len(digests) // 16
+        rows = np.frombuffer(digests, np.uint8).reshape(-1, 16)
+        for k in range(0, n, 1 << 16):
+            ones += np.unpackbits(rows[k : k + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+        return 2 * ones > n
+
+    segments = bits(b"".join(map(xxh3_128_digest, sorted(set(words)))))[:92].reshape(4, 23)
+    return np.packbits(bits(b"".join(map(xxh3_128_digest, grams)))).tobytes(), segments @ (1 << np.arange(23))
+
+
+def _near_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, two words): keys from each two of the four decoded words."""
+    for b in batches:
+        found = [(i, f) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if i is not None and (f := near_fingerprint(t.as_py()))]
+        if not found:
+            continue
+        node = np.array([i for i, _ in found], np.int64)
+        fp = np.frombuffer(b"".join(f[0] for _, f in found), "<i8").reshape(-1, 2)
+        code = [golay_keys(np.array([f[1][k] for _, f in found], np.int64)) for k in range(4)]
+        for pair, (x, y) in enumerate((x, y) for y in range(4) for x in range(y)):
+            both = (code[x] >= 0)[:, :, None] & (code[y] >= 0)[:, None, :]
+            row, i, j = np.nonzero(both)
+            key = (pair << 24) | (code[x][row, i] << 12) | code[y][row, j]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, node[row], fp[row, 0].copy(), fp[row, 1].copy())], names=["key", "node", "w1", "w2"])
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the smallest id; columns as they were.
+
+    Two texts are near duplicates if NEAR of the bits of their shingles' fingerprints agree and two of the four decoded
+    words of their words' fingerprints lead to common codewords (at most two of 23 bits differ in each); groups are
+    what such links connect. Texts without words and rows without an id are in no group. Rows with one id are judged
+    together. An empty table stays empty.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    links = _linked(ids.mapInArrow(_near_keys, "key long, node long, w1 long, w2 long"), int((1 - NEAR) * NEAR_BITS))
+    drop = components(links, name="near-components").where("node <> component").select(F.col("node").alias("__node"))
+    return docs.join(drop, docs[id_col] == F.col("__node"), "left_anti")
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
