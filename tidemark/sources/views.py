@@ -84,7 +84,7 @@ SQL = {
     "panel": """panel AS (SELECT (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS t, l_suppkey AS symbol, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close, round(sum(l_extendedprice), 4) AS volume,
         round((avg(l_discount) - 0.05) * 1e4, 6) AS funding, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS taker, count(*) >= 3 AS complete FROM lineitem GROUP BY 1, 2)""",
     "funding": "funding AS (SELECT o_custkey % 10 AS symbol, epoch_us(o_orderdate) // 1000 AS ts, round(o_totalprice % 100 - 50, 4) AS bps, o_orderkey AS seq FROM orders)",
-    "tiers": "tiers AS (SELECT DISTINCT ((p_size - 1) // 10 * 10)::DOUBLE AS min_size, ((p_size - 1) // 10 * 10 + 10)::DOUBLE AS max_size, 0.005 * ((p_size - 1) // 10 + 1) AS mmr FROM part)",
+    "tiers": "tiers AS (SELECT DISTINCT ((p_size - 1) // 10 * 10)::DOUBLE AS min_size, ((p_size - 1) // 10 * 10 + 10)::DOUBLE AS max_size, 0.005::DOUBLE * ((p_size - 1) // 10 + 1) AS mmr FROM part)",
     "positions": """positions AS (SELECT l_orderkey AS "user", l_returnflag AS coin, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE -1.0 END::DOUBLE * l_quantity AS size, l_extendedprice / l_quantity AS entry,
         CASE WHEN l_discount > 0 THEN l_extendedprice / l_quantity * (1 - CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE -1.0 END::DOUBLE * l_discount * 4) END AS liq, l_extendedprice AS value FROM lineitem)""",
 }
