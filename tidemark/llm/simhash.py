@@ -163,22 +163,41 @@ def link_bucket(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
 
 
 def _links_of(key: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, node) in whole buckets, rows sorted by key."""
+    """Links (node, node) in whole buckets, rows sorted by key and node: a group's links lead to its smallest nodes in every bucket, so buckets repeat them."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    a, b = [], []
     bucket = np.repeat(np.arange(len(starts)), sizes)
     few = np.repeat(sizes <= 32, sizes)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, int(sizes[sizes <= 32].max(initial=1))):
         x = np.flatnonzero((bucket[d:] == bucket[:-d]) & few[d:])
         x = x[_differ(fp[x], fp[x + d]) <= most]
-        a.append(node[x])
-        b.append(node[x + d])
+        a.append(x)
+        b.append(x + d)
+    a, b = _forest(np.concatenate(a), np.concatenate(b))
     for s, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-        links = np.array(link_bucket(fp[s : s + n], most), dtype=np.int64).reshape(-1, 2)
-        a.append(node[s + links[:, 0]])
-        b.append(node[s + links[:, 1]])
-    return np.concatenate([node[:0], *a]), np.concatenate([node[:0], *b])
+        links = s + np.array(link_bucket(fp[s : s + n], most), dtype=np.int64).reshape(-1, 2)
+        a, b = np.r_[a, links[:, 0]], np.r_[b, links[:, 1]]
+    return node[a], node[b]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between places a < b those that a spanning forest needs, from each group's first places outward."""
+    order = np.lexsort((b, a))
+    top: dict[int, int] = {}
+    kept = []
+
+    def root(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = x = top.get(y, y)
+        return x
+
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            kept.append(i)
+    return a[kept], b[kept]
 
 
 def _bucket_links(most: int):
@@ -217,7 +236,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, most: int) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_links(most), "a long, b long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_bucket_links(most), "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
