@@ -4,7 +4,7 @@ A text is cut into blocks of a fixed number of bytes. Equal blocks get equal int
 repeated blocks; then adjacent names are paired and the pairs named in the same way, again and again, until one name
 is left. Two texts with the same number of blocks and the same last name are equal byte for byte: every name stands
 for one content, so nothing rests on a hash. A hash only routes blocks to their names, and a routing value that two
-contents share is resolved by content (`_collided`). A document holding a block (or pair) that occurs nowhere else
+contents share is resolved by content. A document holding a block (or pair) that occurs nowhere else
 cannot have a copy and leaves the rounds at once, so the later rounds see copies only.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 BLOCK = 4096
+#: Bytes of a block that its place in the order begins with.
+HEAD = 16
 
 
 def _blocks(rows: DataFrame, block: int, route) -> DataFrame:
@@ -32,7 +34,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame
 
 
 def _sorted_names(contents: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct rows of contents with an integer name by their sorted place."""
+    """Distinct rows of contents with an integer name by their place in the order of the columns `by`, which tell them apart.
+
+    The driver samples `by` to deal rows to ranges, so it holds no whole block.
+    """
     parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return contents.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
@@ -44,7 +49,9 @@ def _first_names(blocks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     slim = counted.select("h", "c", F.when(F.col("c") > 1, F.col("blk")).alias("blk"))
     by_h = slim.groupBy("h").agg(F.count(F.lit(1)).alias("contents"), F.max("c").alias("c"), F.max("blk").alias("blk"))
     by_h = written(by_h.where("c > 1 or contents > 1"), "block-contents")
-    names = _sorted_names(by_h.where("contents = 1").select("h", "blk"), ["blk"]).select("h", "name")
+    # Sorted by the first bytes, then by h, which has one content here.
+    head = F.substring("blk", 1, HEAD).alias("head")
+    names = _sorted_names(by_h.where("contents = 1").select("h", head), ["head", "h"]).select("h", "name")
     names = written(names, "block-names")
     # 64-bit routing values shared by different contents: by the birthday bound a handful even among 10^12 blocks.
     collided = [r.h for r in by_h.where("contents > 1").select("h").collect()]
