@@ -118,3 +118,48 @@ def simple_ridge(df: DataFrame, by: list[str], x: str, y: str, alpha: float) ->
     s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("v"))
     coef = F.col("c") * F.col("n") / (F.col("v") * F.col("n") + alpha)
     return s.select(*by, "n", coef.alias("coef"), (F.col("my") - coef * F.col("mx")).alias("intercept"))
+
+
+def settlement_hours(rates: DataFrame, key: str, ts: str, least: int = 3) -> DataFrame:
+    """(key, gaps, hours): median hours between successive settlements of keys with at least `least` gaps."""
+    gap = F.col(ts) - F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
+    g = rates.select(key, ts).distinct().withColumn("gap", gap).where("gap is not null")
+    return g.groupBy(key).agg(F.count(F.lit(1)).alias("gaps"), (F.median("gap") / 3_600_000).alias("hours")).where(F.col("gaps") >= least)
+
+
+def spread_statistics(touches: DataFrame, key: str, gate_bps: float, least: int = 100) -> DataFrame:
+    """(key, n, p25, median, p75, above): quartiles of the spread in bps and the share at or above the gate; keys with fewer rows go."""
+    s = touches.where("bid > 0 and ask > bid").select(key, ((F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 1e4).alias("s"))
+    q = [F.percentile("s", F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))]
+    return s.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *q, F.avg(F.when(F.col("s") >= gate_bps, 1.0).otherwise(0.0)).alias("above")).where(F.col("n") >= least)
+
+
+def equity_path(returns: DataFrame, key: str, ts: str, net_bps: str) -> DataFrame:
+    """(key, n, equity, max_drawdown): compounded net returns, each floored at a total loss, and the deepest fall from a peak as a share of it."""
+    w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    step = F.greatest(F.lit(-1.0), F.col(net_bps) / 1e4)
+    lost = F.max(F.when(step <= -1, 1).otherwise(0)).over(w) == 1
+    e = returns.where(F.col(net_bps).isNotNull()).withColumn("equity", F.when(lost, 0.0).otherwise(F.exp(F.sum(F.when(step > -1, F.log1p(step))).over(w))))
+    e = e.withColumn("fall", 1 - F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)))
+    return e.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max_by("equity", ts).alias("equity"), F.max("fall").alias("max_drawdown"))
+
+
+def carry_outcomes(rates: DataFrame, key: str, ts: str, bps: str, hold_ms: int, cost_bps: float) -> DataFrame:
+    """(key, n, median, p5, worst, best, profitable): what a carry entered at each settlement earns by hold_ms later.
+
+    An entry earns the settlements after it up to and including its exit, less the cost; entries whose exit lies beyond
+    the last settlement go. p5 is the value at place int(0.05 * (n - 1)) in order.
+    """
+    over = Window.partitionBy(key)
+    r = rates.groupBy(key, ts).agg(F.sum(bps).alias("b"))
+    r = r.withColumn("net", F.coalesce(F.sum("b").over(over.orderBy(ts).rangeBetween(1, hold_ms)), F.lit(0.0)) - cost_bps)
+    r = r.withColumn("last", F.max(ts).over(over)).where(F.col(ts) + hold_ms <= F.col("last"))
+    r = r.withColumn("i", F.row_number().over(over.orderBy("net")) - 1).withColumn("n", F.count(F.lit(1)).over(over))
+    fifth = F.max(F.when(F.col("i") == F.floor(0.05 * (F.col("n") - 1)), F.col("net"))).alias("p5")
+    return r.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.median("net").alias("median"), fifth, F.min("net").alias("worst"), F.max("net").alias("best"), F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)).alias("profitable"))
+
+
+def panel_geometry(panel: DataFrame, at: str) -> DataFrame:
+    """(n, times, spacing, width): rows, distinct times, mean spacing of times and rows a time."""
+    times = panel.groupBy(at).agg(F.count(F.lit(1)).alias("c"))
+    return times.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("times"), ((F.max(at) - F.min(at)) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("spacing"), F.avg("c").alias("width"))

@@ -499,3 +499,50 @@ SELECT inst, count(*) AS n, quantile_cont(gap, 0.5)::DOUBLE AS p50, round(quanti
 def latency_percentiles(s, d):
     g = V.ticks(s, d).withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("inst").orderBy("ts", "seq"))).where("gap is not null")
     return g.groupBy("inst").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(gap, 0.5)").alias("p50"), F.round(F.expr("percentile(gap, 0.9)"), 4).alias("p90"), F.max("gap").alias("worst"))
+
+
+@query("parkinson", sql("SELECT symbol, ts, round(ln(high / low) / (2 * sqrt(ln(2))) * 1e4, 6) AS vol_bps FROM bars", "bars"))
+def parkinson(s, d):
+    return r6(V.bars(s, d).select("symbol", "ts", M.parkinson_bps(F.col("high"), F.col("low")).alias("vol_bps")))
+
+
+@query("settlement_hours", sql("""
+, g AS (SELECT symbol, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS gap FROM (SELECT DISTINCT symbol, ts FROM funding))
+SELECT symbol, count(gap) AS gaps, round(median(gap) / 3600000, 6) AS hours FROM g GROUP BY 1 HAVING count(gap) >= 3""", "funding"))
+def settlement_hours(s, d):
+    return r6(S.settlement_hours(V.funding(s, d), "symbol", "ts"))
+
+
+@query("spread_statistics", sql("""
+, s AS (SELECT inst, (ask - bid) / ((ask + bid) / 2) * 1e4 AS s FROM touches WHERE bid > 0 AND ask > bid)
+SELECT inst, count(*) AS n, round(quantile_cont(s, 0.25), 6) AS p25, round(median(s), 6) AS median, round(quantile_cont(s, 0.75), 6) AS p75, round(avg(CASE WHEN s >= 8 THEN 1.0 ELSE 0.0 END), 6) AS above
+FROM s GROUP BY 1 HAVING count(*) >= 10""", "touches"))
+def spread_statistics(s, d):
+    return r6(S.spread_statistics(V.touches(s, d), "inst", 8.0, least=10))
+
+
+@query("equity_path", sql("""
+, r AS (SELECT symbol, ts, seq, greatest(-1.0, bps / 1e4) AS step FROM funding),
+e AS (SELECT symbol, ts, seq, exp(sum(ln(1 + step)) OVER w) AS equity FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, 1 - equity / greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)) AS fall FROM e)
+SELECT symbol, count(*) AS n, round(arg_max(equity, (ts, seq)), 6) AS equity, round(max(fall), 6) AS max_drawdown FROM p GROUP BY 1""", "funding"))
+def equity_path(s, d):
+    f = V.funding(s, d).withColumn("at", F.struct("ts", "seq"))
+    return r6(S.equity_path(f, "symbol", "at", "bps"))
+
+
+@query("carry_outcomes", sql("""
+, r AS (SELECT symbol, ts, sum(bps) AS b FROM funding GROUP BY 1, 2),
+x AS (SELECT symbol, ts, round(coalesce(sum(b) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN 1 FOLLOWING AND 2592000000 FOLLOWING), 0) - 10, 6) AS net, max(ts) OVER (PARTITION BY symbol) AS last FROM r),
+y AS (SELECT symbol, net, row_number() OVER (PARTITION BY symbol ORDER BY net) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM x WHERE ts + 2592000000 <= last)
+SELECT symbol, count(*) AS n, round(median(net), 6) AS median, round(max(net) FILTER (WHERE i = floor(0.05 * (n - 1))), 6) AS p5, round(min(net), 6) AS worst, round(max(net), 6) AS best, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 6) AS profitable
+FROM y GROUP BY 1""", "funding"))
+def carry_outcomes(s, d):
+    return r6(S.carry_outcomes(V.funding(s, d), "symbol", "ts", "bps", 30 * DAY, 10.0))
+
+
+@query("panel_geometry", sql("""
+, k AS (SELECT t, count(*) AS c FROM panel GROUP BY 1)
+SELECT sum(c)::BIGINT AS n, count(*) AS times, round((max(t) - min(t)) / greatest(count(*) - 1, 1), 6) AS spacing, round(avg(c), 6) AS width FROM k""", "panel"))
+def panel_geometry(s, d):
+    return r6(S.panel_geometry(V.panel(s, d), "t"))
