@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,8 +110,3 @@ def reasons(rules: dict[str, Column]) -> Column:
 
 def vol_size(equity: float, risk: float, price, vol_bps) -> Column:
     return equity * risk / (_c(price) * F.greatest(_c(vol_bps), F.lit(1.0)) / 1e4)
-
-
-def parkinson_bps(high: Column, low: Column) -> Column:
-    """Volatility of a bar from its extremes, in basis points; null where they aren't positive."""
-    return F.when((high > 0) & (low > 0), F.log(high / low) / (2 * math.sqrt(math.log(2))) * 1e4)

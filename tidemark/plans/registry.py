@@ -501,11 +501,6 @@ def latency_percentiles(s, d):
     return g.groupBy("inst").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(gap, 0.5)").alias("p50"), F.round(F.expr("percentile(gap, 0.9)"), 4).alias("p90"), F.max("gap").alias("worst"))
 
 
-@query("parkinson", sql("SELECT symbol, ts, round(ln(high / low) / (2 * sqrt(ln(2))) * 1e4, 6) AS vol_bps FROM bars", "bars"))
-def parkinson(s, d):
-    return r6(V.bars(s, d).select("symbol", "ts", M.parkinson_bps(F.col("high"), F.col("low")).alias("vol_bps")))
-
-
 @query("settlement_hours", sql("""
 , g AS (SELECT symbol, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS gap FROM (SELECT DISTINCT symbol, ts FROM funding))
 SELECT symbol, count(gap) AS gaps, round(median(gap) / 3600000, 6) AS hours FROM g GROUP BY 1 HAVING count(gap) >= 3""", "funding"))
