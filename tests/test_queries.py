@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 from tidemark.operators import joins, sequential
+from tidemark.operators import statistics as S
 from tidemark.operators import windows as W
 from tidemark.plans import registry
 from tidemark.sources import archive
@@ -99,3 +100,16 @@ def test_zip_csv(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("a.csv", "1,2\n3,4\n")
     assert sorted(r.cells for r in archive.read_zip_csv(spark, str(tmp_path)).collect()) == [["1", "2"], ["3", "4"]]
+
+
+def test_equity_ends_at_a_total_loss(spark):
+    r = spark.createDataFrame([("a", 1, 1000.0), ("a", 2, -1000.0), ("a", 3, None), ("b", 1, 100.0), ("b", 2, -20000.0), ("b", 3, 500.0)], "k string, t long, bps double")
+    got = {x.k: x for x in S.equity_path(r, "k", "t", "bps").collect()}
+    assert got["a"].n == 2 and math.isclose(got["a"].equity, 1.1 * 0.9) and math.isclose(got["a"].max_drawdown, 0.1)
+    assert got["b"].equity == 0 and got["b"].max_drawdown == 1
+
+
+def test_carry_outcomes_by_hand(spark):
+    r = spark.createDataFrame([("a", t, float(t)) for t in (0, 1, 2, 3)] + [("b", 0, 1.0)], "k string, t long, bps double")
+    got = S.carry_outcomes(r, "k", "t", "bps", 2, 4.0).collect()
+    assert [tuple(x) for x in got] == [("a", 2, 0.0, -1.0, -1.0, 1.0, 0.5)]
