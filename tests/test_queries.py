@@ -13,7 +13,7 @@ import pytest
 from tidemark.operators import joins, sequential
 from tidemark.operators import statistics as S
 from tidemark.operators import windows as W
-from tidemark.plans import registry
+from tidemark.plans import registry, studies  # noqa: F401 - studies registers its queries
 from tidemark.sources import archive
 
 SF = "/root/testdata/sf0.001"

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.moments import corr
+
 
 def ordinal_rank(score: str, at: str = "t", symbol: str = "symbol") -> Column:
     """Place among the names of a time, scaled to [-1, 1]; ties in the order of symbols; a single name is 0."""
@@ -84,6 +86,6 @@ def factor_run(panel: DataFrame, score: str, hold: int, share: float = 0.3, cost
     both = both.withColumn("w", F.col("weight") / side)
     gross = both.groupBy(at).agg(F.sum(F.col("w") * F.col("_x")).alias("gross"))
     moves = turnover(both.select(at, symbol, F.col("w").alias("weight")), hold, at, symbol)
-    ic = excess.withColumn("_a", average_rank(score, at)).withColumn("_b", average_rank("_x", at)).groupBy(at).agg(F.when(F.count(F.lit(1)) >= 6, F.corr("_a", "_b")).alias("ic"))
+    ic = excess.withColumn("_a", average_rank(score, at)).withColumn("_b", average_rank("_x", at)).groupBy(at).agg(F.when(F.count(F.lit(1)) >= 6, corr("_a", "_b")).alias("ic"))
     out = gross.join(moves, at).join(ic, at)
     return out.select(at, (F.col("gross") / 2).alias("gross"), (F.col("turnover") / 2).alias("turnover"), ((F.col("gross") - F.col("turnover") * cost_bps) / 2).alias("net"), "ic")

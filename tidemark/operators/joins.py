@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.moments import corr
+
 
 def _both(left: DataFrame, right: DataFrame, key: str, values: list[str], tie: str, lag_ms: int = 0) -> DataFrame:
     """Rows of both sides in one frame: is_left, ts to look up at, payload r (null on the left)."""
@@ -99,7 +101,7 @@ def pair_correlations(df: DataFrame, key: str, at: str, value: str) -> DataFrame
     """Pearson correlation of each two keys over the times both have, from products joined on time."""
     a = df.select(F.col(at), F.col(key).alias("a"), F.col(value).alias("x")).where("x is not null")
     b = df.select(F.col(at), F.col(key).alias("b"), F.col(value).alias("y")).where("y is not null")
-    return a.join(b, at).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("corr"))
+    return a.join(b, at).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("corr"))
 
 
 def null_safe_all(cols: list[str]) -> Column:

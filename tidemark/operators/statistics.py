@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.moments import corr
 from tidemark.operators.cross_section import average_rank
 
 
@@ -33,7 +34,7 @@ def pearson(x: str, y: str) -> Column:
     """0 where there are fewer than three pairs or one side doesn't vary."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return F.when((F.count(a) < 3) | (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12), 0.0).otherwise(F.corr(a, b))
+    return F.when((F.count(a) < 3) | (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12), 0.0).otherwise(corr(a, b))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -161,7 +161,9 @@ def pair_correlation(s, d):
     return r6(joins.pair_correlations(_returns(s, d), "symbol", "t", "ret"))
 
 
-@query("correlation_clusters")
+@query("correlation_clusters", sql(f""", {_RET}, c AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS corr FROM r a JOIN r b ON a.t = b.t AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE corr >= 0.25 UNION ALL SELECT b, a FROM c WHERE corr >= 0.25), g AS (SELECT DISTINCT symbol AS a, symbol AS b FROM panel UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b)
+SELECT a AS symbol, min(b) AS cluster FROM g GROUP BY 1""", "panel").replace("WITH", "WITH RECURSIVE", 1))
 def correlation_clusters(s, d):
     r = _returns(s, d)
     return sequential.clusters(joins.pair_correlations(r, "symbol", "t", "ret"), r.select("symbol").distinct(), "symbol", 0.25)
@@ -409,7 +411,10 @@ def ridge(s, d):
 
 
 # Sequences ---------------------------------------------------------------------------------------------------------
-@query("non_overlapping")
+@query("non_overlapping", sql("""
+, e AS (SELECT inst, ts, seq FROM ticks WHERE event_type = 'error'), n AS (SELECT DISTINCT inst, ts, (SELECT min(o.ts) FROM e o WHERE o.inst = e.inst AND o.ts > e.ts + 21600000) AS nxt FROM e),
+g AS (SELECT inst, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT n.inst, n.nxt FROM g JOIN n USING (inst, ts) WHERE n.nxt IS NOT NULL)
+SELECT inst, ts, seq FROM g JOIN e USING (inst, ts)""", "ticks").replace("WITH", "WITH RECURSIVE", 1))
 def non_overlapping(s, d):
     e = V.ticks(s, d).where("event_type = 'error'").select("inst", "ts", "seq")
     return sequential.non_overlapping(e, "inst", 6 * HOUR)
