@@ -85,7 +85,7 @@ _FACTORS = (
 )
 
 
-@query("daily_factors", sql(f", {_RET}, f AS (SELECT *, avg(ret) OVER (PARTITION BY t) AS market, close * 1.01::DOUBLE AS high, close * 0.99::DOUBLE AS low, abs(ret) AS rv FROM r) SELECT symbol, t, {', '.join(f'round({x} + 1e-9, 4) AS {n}' for n, x in _FACTORS.items())} FROM f", "panel"))
+@query("daily_factors", sql(f", {_RET}, f AS (SELECT *, avg(ret) OVER (PARTITION BY t) AS market, close * 1.01::DOUBLE AS high, close * 0.99::DOUBLE AS low, abs(ret) AS rv FROM r) SELECT symbol, t, {', '.join(f'round({x} + 1e-9, 4) + 0 AS {n}' for n, x in _FACTORS.items())} FROM f", "panel"))
 def daily_factors(s, d):
     p = V.panel(s, d).withColumn("high", F.col("close") * 1.01).withColumn("low", F.col("close") * 0.99).withColumn("rv", F.abs(W.log_return(W.ordered("symbol", "t"), "close", 1)))
     return universe.daily_factors(p).select("symbol", "t", *[V.rounded(F.col(n), 4).alias(n) for n in _FACTORS])
