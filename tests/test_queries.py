@@ -9,6 +9,7 @@ import zipfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import joins, sequential
 from tidemark.operators import statistics as S
@@ -53,6 +54,19 @@ def test_asof_ties_and_missing(spark):
     assert ahead == {1: 1.0, 2: None, 3: None}
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 1000])
+def test_asof_across_buckets(spark, bucket):
+    """Every bucket length finds what a plain search finds, null keys and empty stretches included."""
+    left = [(k, t, i) for i, (k, t) in enumerate([("a", 0), ("a", 5), ("a", 6), ("a", 40), ("b", 3), (None, 9), ("a", 99)])]
+    right = [("a", 5, 1), ("a", 5, 2), ("a", 38, 3), ("b", 4, 4), (None, 2, 5)]
+    ldf, rdf = spark.createDataFrame(left, "k string, ts long, id int"), spark.createDataFrame(right, "k string, ts long, seq int").withColumn("v", F.col("seq"))
+    back = {r.id: r.r_v for r in joins.asof_backward(ldf, rdf, "k", ["v"], bucket_ms=bucket).collect()}
+    ahead = {r.id: r.r_v for r in joins.asof_forward(ldf, rdf, "k", ["v"], bucket_ms=bucket).collect()}
+    near = lambda k, ok, best: next((q for _, q in sorted(((t, q) for r, t, q in right if r == k and ok(t)), reverse=best)), None)
+    assert back == {i: near(k, lambda x, t=t: x <= t, True) for k, t, i in left}
+    assert ahead == {i: near(k, lambda x, t=t: x >= t, False) for k, t, i in left}
+
+
 def test_non_overlapping_is_greedy(spark):
     e = spark.createDataFrame([("a", t) for t in (0, 3, 5, 6, 11, 12)], "k string, ts long")
     assert sorted(r.ts for r in sequential.non_overlapping(e, "k", 5).collect()) == [0, 6, 12]

@@ -22,23 +22,41 @@ def left_struct(df: DataFrame) -> str:
     return df.schema.simpleString()
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, values: list[str], tie: str = "seq", lag_ms: int = 0, keep_unmatched: bool = True, clamp_first: bool = False) -> DataFrame:
+#: As-of joins sort this much time of a key in one task; what lies before comes from one row a bucket.
+BUCKET_MS = 86_400_000
+
+
+def _carried(b: DataFrame, key: str, ahead: bool, bucket_ms: int) -> DataFrame:
+    """b with `_m`, the nearest right row at or before (after, if ahead) each row, ties settled by `_tie`.
+
+    A hot key is spread over its buckets: each is sorted by itself, and a bucket's open side takes the nearest right row
+    of the buckets beyond it, found over one row a bucket. The join back keeps the partitioning of the sort.
+    """
+    b = b.withColumn("_cell", F.floor(F.col("_t") / bucket_ms))
+    order = [F.desc("_t"), F.col("_left"), F.desc_nulls_last("_tie")] if ahead else [F.col("_t"), F.col("_left"), F.asc_nulls_first("_tie")]
+    inside = b.withColumn("_in", F.last("_r", ignorenulls=True).over(Window.partitionBy(key, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.when(F.col("_left") == 0, F.struct("_t", "_tie"))
+    ends = b.groupBy(F.col(key).alias("_key"), F.col("_cell").alias("_c")).agg((F.min_by if ahead else F.max_by)("_r", place).alias("_end"))
+    past = Window.partitionBy("_key").orderBy(F.desc("_c") if ahead else F.col("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_key", "_c", F.last("_end", ignorenulls=True).over(past).alias("_far")).where("_far is not null")
+    return inside.join(ends, inside[key].eqNullSafe(F.col("_key")) & inside["_cell"].eqNullSafe(F.col("_c")), "left").withColumn("_m", F.coalesce("_in", "_far"))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, values: list[str], tie: str = "seq", lag_ms: int = 0, keep_unmatched: bool = True, clamp_first: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """left with the values of the last right row at or before its ts (less lag_ms), as r_ts and r_<value>.
 
     Of right rows with one ts the last by `tie` counts. clamp_first gives rows before the first right row that first one.
-    One shuffle by key, one sort; nothing is paired.
     """
-    w = Window.partitionBy(key).orderBy("_t", "_left", F.asc_nulls_first("_tie"))
-    b = _both(left, right, key, values, tie, lag_ms).withColumn("_m", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    b = _carried(_both(left, right, key, values, tie, lag_ms), key, False, bucket_ms)
     if clamp_first:
-        b = b.withColumn("_m", F.coalesce("_m", F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+        first = right.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct("ts", *values), F.struct("ts", tie)).alias("_first"))
+        b = b.join(first, b[key].eqNullSafe(F.col("_k")), "left").withColumn("_m", F.coalesce("_m", "_first"))
     return _unpacked(b, left, values, keep_unmatched)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, key: str, values: list[str], tie: str = "seq", ahead_ms: int = 0, tolerance_ms: int | None = None, keep_unmatched: bool = True) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, key: str, values: list[str], tie: str = "seq", ahead_ms: int = 0, tolerance_ms: int | None = None, keep_unmatched: bool = True, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """left with the values of the first right row at or after its ts plus ahead_ms; with a tolerance, no later than that."""
-    w = Window.partitionBy(key).orderBy(F.desc("_t"), "_left", F.desc_nulls_last("_tie"))
-    b = _both(left, right, key, values, tie, -ahead_ms).withColumn("_m", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    b = _carried(_both(left, right, key, values, tie, -ahead_ms), key, True, bucket_ms)
     if tolerance_ms is not None:
         b = b.withColumn("_m", F.when(F.col("_m.ts") <= F.col("_t") + tolerance_ms, F.col("_m")))
     return _unpacked(b, left, values, keep_unmatched)
