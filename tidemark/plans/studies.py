@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import account, joins, sequential, universe
 from tidemark.operators import cross_section as X
+from tidemark.operators import statistics as S
 from tidemark.operators import studies as T
 from tidemark.operators import windows as W
 from tidemark.plans.registry import _BOOK, _FACT, _RET, _XY, DAY, HOUR, _returns, _scored, _xy, passive_fills, query, r6
+from tidemark.sources import sinks
 from tidemark.sources import views as V
 from tidemark.sources.views import sql
 
@@ -391,3 +393,20 @@ def ranked_carry(s, d):
     p = V.panel(s, d).groupBy("symbol").agg(V.rounded(F.avg("funding")).alias("carry"), F.count(F.lit(1)).alias("n"), F.round(F.sum("volume"), 2).alias("volume"))
     top = p.orderBy(F.desc(F.abs("carry")), "symbol").limit(10)  # the report is a top ten
     return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("carry")), "symbol")))
+
+
+@query("logistic")
+def logistic(s, d):
+    rows = _xy(s, d).where("y is not null").select((F.col("funding") / 100).alias("funding"), "taker", (F.col("y") > 0).cast("double").alias("up"))
+    return r6(S.logistic(rows, ["funding", "taker"], "up", 1.0))
+
+
+@query("coverage", sql(", d AS (SELECT DISTINCT symbol, ts // 86400000 AS d FROM funding), e AS (SELECT max(d) - min(d) + 1 AS expected FROM d) SELECT symbol, count(*) AS days, any_value(expected) AS expected, round(count(*) / any_value(expected), 6) AS share FROM d, e GROUP BY 1", "funding"))
+def coverage(s, d):
+    return r6(sinks.coverage(V.funding(s, d), "symbol", "ts"))
+
+
+@query("whole_cross_sections", sql(", f AS (SELECT symbol, ts, range_pos FROM (SELECT symbol, ts, CASE WHEN count(*) OVER w = 12 THEN CASE WHEN max(high) OVER w > min(low) OVER w THEN (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) ELSE 0.5 END END AS range_pos FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE range_pos IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY ts) AS n FROM f) SELECT symbol, ts, round(range_pos, 6) AS range_pos FROM n WHERE n >= 3", "bars"))
+def whole_cross_sections(s, d):
+    f = V.bars(s, d).select("symbol", "ts", W.range_position(W.ordered("symbol"), "close", "high", "low", 12).alias("range_pos"))
+    return r6(sinks.whole_cross_sections(f, "ts", ["range_pos"], 3))
