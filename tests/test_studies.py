@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import account
+from tidemark.operators import account, sequential
 from tidemark.operators import statistics as S
 from tidemark.operators import studies as T
 from tidemark.sources import feeds, sinks
@@ -125,3 +125,16 @@ def test_json_lines_and_sinks(spark, tmp_path):
     assert [r.date for r in sinks.whole_cross_sections(p, "date", ["x"], 1).orderBy("date").collect()] == [1, 2]
     assert feeds.shared_columns([p, p.drop("x")]).columns == ["date", "symbol"]
     assert {r.symbol: r.spread_bps for r in feeds.with_spreads(p.where("date = 1"), spark.createDataFrame([("a", 3.0)], "symbol string, spread_bps double"), 9.0).collect()} == {"a": 3.0, "b": 9.0}
+
+
+def test_within_day_shuffle_keeps_each_days_steps(spark):
+    rng = np.random.default_rng(4)
+    day, close = 86_400_000, 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 96)))
+    df = spark.createDataFrame([("a", (i + 1) * 3_600_000, float(c)) for i, c in enumerate(close)], "symbol string, ts long, close double")
+    rows = sequential.within_day_shuffle(df, "symbol", 3).orderBy("ts").collect()
+    was = np.diff(np.log([r.close for r in rows]), prepend=np.log(rows[0].close))
+    now = np.diff(np.log([r.shuffled for r in rows]), prepend=0.0)
+    for d in range(4):
+        at = [i for i, r in enumerate(rows) if (r.ts - 1) // day == d]
+        assert len(at) == 24 and sorted(was[at]) == pytest.approx(sorted(now[at]), abs=1e-9)
+    assert not np.allclose(was, now)
