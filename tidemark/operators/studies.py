@@ -161,3 +161,21 @@ def decimated(df: DataFrame, at: str, stride: int) -> DataFrame:
     """Rows of every stride-th distinct time."""
     times = df.select(at).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(at)) - 1)
     return df.join(times.where(F.col("_k") % stride == 0).drop("_k"), at, "left_semi")
+
+
+def tranche_book(books: DataFrame, at: str, key: str, hold: int) -> DataFrame:
+    """(at, key, weight): a book split into `hold` tranches, one renewed each time; a time's weight is the mean of the last `hold` books.
+
+    Times before the first `hold` books are left out; a book without a name counts it as nothing.
+    """
+    start = books.agg((F.min(at) + hold - 1).alias("_a"), F.max(at).alias("_b"))
+    held = books.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(hold - 1)))).select((F.col(at) + F.col("_k")).alias(at), key, "weight")
+    return held.join(F.broadcast(start)).where(F.col(at).between(F.col("_a"), F.col("_b"))).groupBy(at, key).agg((F.sum("weight") / hold).alias("weight"))
+
+
+def by_tercile(df: DataFrame, regime: str, value: str) -> DataFrame:
+    """Mean and error of a value in the low, middle and high third of a regime variable."""
+    cuts = df.agg(F.percentile(regime, 1 / 3).alias("_p"), F.percentile(regime, 2 / 3).alias("_q"))
+    third = F.when(F.col(regime) <= F.col("_p"), "low").when(F.col(regime) <= F.col("_q"), "middle").otherwise("high")
+    d = df.where(F.col(regime).isNotNull() & F.col(value).isNotNull()).join(F.broadcast(cuts)).groupBy(third.alias("third"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(F.lit(1)))).alias("se"))

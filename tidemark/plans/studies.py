@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import market as M
 from tidemark.operators import account, joins, sequential, universe
 from tidemark.operators import cross_section as X
 from tidemark.operators import statistics as S
@@ -410,3 +411,42 @@ def coverage(s, d):
 def whole_cross_sections(s, d):
     f = V.bars(s, d).select("symbol", "ts", W.range_position(W.ordered("symbol"), "close", "high", "low", 12).alias("range_pos"))
     return r6(sinks.whole_cross_sections(f, "ts", ["range_pos"], 3))
+
+
+@query("tranche_book", sql(f"""
+, {_FACT}, {_BOOK.format(more='')}, h AS (SELECT t + k AS t, symbol, weight FROM b, (SELECT unnest(range(0, 3)) AS k)), e AS (SELECT min(t) + 2 AS a, max(t) AS z FROM b)
+SELECT t, symbol, round(sum(weight) / 3, 6) AS weight FROM h, e WHERE t BETWEEN a AND z GROUP BY 1, 2""", "panel"))
+def tranche_book(s, d):
+    return r6(T.tranche_book(X.book(_scored(s, d), "blend"), "t", "symbol", 3))
+
+
+@query("regime_terciles", sql(f"""
+, {_RET}, m AS (SELECT t, round(avg(ret), 6) AS market FROM r WHERE ret IS NOT NULL GROUP BY 1), n AS (SELECT market, lead(market) OVER (ORDER BY t) AS nxt FROM m), c AS (SELECT quantile_cont(market, 1.0::DOUBLE / 3) AS p, quantile_cont(market, 2.0::DOUBLE / 3) AS q FROM n)
+SELECT CASE WHEN market <= p THEN 'low' WHEN market <= q THEN 'middle' ELSE 'high' END AS third, count(*) AS n, round(avg(nxt), 4) AS mean, round(stddev_samp(nxt) / sqrt(count(*)), 4) AS se FROM n, c WHERE nxt IS NOT NULL GROUP BY 1""", "panel"))
+def regime_terciles(s, d):
+    m = _returns(s, d).where("ret is not null").groupBy("t").agg(V.rounded(F.avg("ret")).alias("market"))  # one row a time
+    m = m.withColumn("next", F.lead("market").over(Window.partitionBy(F.lit(0)).orderBy("t")))
+    return T.by_tercile(m, "market", "next").withColumn("mean", F.round("mean", 4)).withColumn("se", F.round("se", 4))
+
+
+@query("paired_legs", """
+SELECT c.tag, c.c_name AS perp_name, round(c.c_acctbal, 2) AS perp_balance, s.s_name AS spot_name, round(s.s_acctbal, 2) AS spot_balance FROM (SELECT *, regexp_extract(c_name, '#0*([0-9]+)', 1) AS tag FROM customer) c
+JOIN (SELECT *, regexp_extract(s_name, '#0*([0-9]+)', 1) AS tag FROM supplier) s USING (tag) WHERE tag <> ''""")
+def paired_legs(s, d):
+    c = V.table(s, d, "customer").select(F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("balance"))
+    p = V.table(s, d, "supplier").select(F.col("s_name").alias("name"), F.round("s_acctbal", 2).alias("balance"))
+    return account.paired_legs(c, p, "name", "#0*([0-9]+)")
+
+
+@query("funding_whole_days", sql("SELECT symbol, (ts - 1) // 86400000 AS day, round(CASE WHEN count(*) >= 2 THEN sum(bps) END, 6) AS bps, count(*) AS periods FROM funding GROUP BY 1, 2", "funding"))
+def funding_whole_days(s, d):
+    return r6(account.whole_days(V.funding(s, d), "symbol", "ts", "bps", 3))
+
+
+@query("scalar_functions", sql("""
+SELECT seq, upper(event_type) AS coin, replace(event_type || '-USDT', '-', '') AS joined, ((ts // 86400000 + 3) % 7)::BIGINT AS weekday, ((ts // 3600000) % 24)::BIGINT AS hour, CASE WHEN price >= 100 THEN 1 WHEN price <= -100 THEN -1 ELSE 0 END::INT AS label,
+       round(CASE WHEN size <= 2 THEN 1.0 WHEN size <= 5 THEN 1 + (size - 2) / 3 * 2 WHEN size <= 9 THEN 3 + (size - 5) / 4 * 4 ELSE 7 END, 6) AS skill, round(CASE WHEN price <= 0 THEN 0 ELSE ln(price / size) * 1e4 END, 6) AS ret FROM ticks""", "ticks"))
+def scalar_functions(s, d):
+    t = V.ticks(s, d)
+    name = F.concat(F.lit("1000"), "event_type", F.lit("-USDT"))
+    return r6(t.select("seq", M.canonical_coin(name).alias("coin"), M.joined_symbol(F.concat("event_type", F.lit("-USDT"))).alias("joined"), M.weekday("ts").cast("long").alias("weekday"), M.hour("ts").cast("long").alias("hour"), M.ternary("price", 100.0).alias("label"), M.interpolate("size", [2.0, 5.0, 9.0], [1.0, 3.0, 7.0]).alias("skill"), M.log_return_bps("price", "size").alias("ret")))
