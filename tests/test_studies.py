@@ -138,3 +138,13 @@ def test_within_day_shuffle_keeps_each_days_steps(spark):
         at = [i for i, r in enumerate(rows) if (r.ts - 1) // day == d]
         assert len(at) == 24 and sorted(was[at]) == pytest.approx(sorted(now[at]), abs=1e-9)
     assert not np.allclose(was, now)
+
+
+def test_global_rank_is_the_average_rank(spark):
+    rng = np.random.default_rng(6)
+    values = [*rng.normal(0, 1000, 60), *rng.normal(0, 1e-4, 20), 0.0, 0.0, -0.0, 5.0, 5.0, 5.0, -7.0, -7.0]
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("h", 1.0), ("h", None)], "g string, v double")
+    want = {v: (1 + sum(x < v for x in values) + sum(x <= v for x in values)) / 2 for v in values}
+    rows = S.global_rank(df, ["g"], "v", "rank").collect()
+    assert len(rows) == len(values) + 2 and all(r["rank"] == want[r.v] for r in rows if r.g == "g")
+    assert {r.v: r["rank"] for r in rows if r.g == "h"} == {1.0: 1.0, None: None}

@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.moments import corr
 from tidemark.operators import joins
 from tidemark.operators import windows as W
-from tidemark.operators.cross_section import average_rank
-from tidemark.operators.statistics import effective_t, pearson
+from tidemark.operators.statistics import effective_t, global_rank, pearson
 
 
 def ic_report(df: DataFrame, features: list[str], target: str, overlap: float) -> DataFrame:
     """Per feature: n, Pearson, Spearman, t with effective rows, and whether it is large enough to suspect a leak."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
     long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(pairs).alias("p")).select("y", "p.feature", "p.x").where("x is not null")
-    ranked = long.withColumn("_a", average_rank("x", "feature")).withColumn("_b", average_rank("y", "feature"))
+    ranked = global_rank(global_rank(long, ["feature"], "x", "_a"), ["feature"], "y", "_b")
     out = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("pearson"), pearson("_a", "_b").alias("spearman"))
     return out.withColumn("t_stat", effective_t(F.col("pearson"), F.col("n"), overlap)).withColumn("suspicious", F.abs("pearson") > 0.2)
 
