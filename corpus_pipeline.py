@@ -20,7 +20,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (five-word shingles, similarity 0.8 or more) one stays."""
-    return simhash.near_dedup(docs)
+    return simhash.near_dedup(docs, table=True)  # each stage reads what the one before has written
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

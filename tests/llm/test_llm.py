@@ -219,6 +219,35 @@ def test_near_dedup(docs):
     assert {i for i in range(26, 66)} <= kept
 
 
+def test_near_dedup_equals_brute_force(spark):
+    rnd = random.Random(11)
+    zipf = [f"z{min(49999, int(rnd.paretovariate(0.9)))}" for _ in range(300000)]
+    text = lambda n: [rnd.choice(zipf) for _ in range(n)]
+    texts = []
+    for k in range(150):
+        n = rnd.choice([6, 12, 40, 120, 300])
+        base, change = text(n), rnd.uniform(0.05, 0.35)
+        edited = [w if rnd.random() > change / 5 else rnd.choice(zipf) for w in base]
+        copy = (base + text(max(1, int(change * n))), base[: max(1, int((1 - change) * n))], edited)[k % 3]
+        texts += [" ".join(base), " ".join(copy)]
+    hot = text(100)
+    for _ in range(60):  # one large bucket: links chain, and some copies are too far
+        w = list(hot)
+        for _ in range(rnd.choice([1, 2, 3, 5])):
+            w[rnd.randrange(100)] = rnd.choice(zipf)
+        texts.append(" ".join(w))
+    texts += ["A b  c", "a B c", "a b d", "", None]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    top = list(range(len(texts)))
+    pairs = [(x, y) for y in range(len(texts)) for x in range(y) if sets[x] & sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    assert len(pairs) > 100
+    for x, y in pairs:
+        top = [min(top[x], top[y]) if t in (top[x], top[y]) else t for t in top]
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert kept == {i for i, t in enumerate(top) if t == i}
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)

@@ -259,58 +259,248 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicate texts: SimHash of five-word shingles, 128 bits, of which 0.8 or more agree.
-NEAR_SHINGLE, NEAR_BITS, NEAR = 5, 128, 0.8
+#: Near-duplicate texts: the sets of their five-word shingles have a Jaccard index of 4/5 or more.
+NEAR_SHINGLE, NEAR_SHARE = 5, (4, 5)
+#: Bits of 128 in which fingerprints of candidates differ at most. Of pairs at 4/5 a bit differs with a chance of about
+#: 0.15, under 0.2 for the shortest texts too, so that one pair in a million, or fewer, differs in more.
+NEAR_BITS = 46
+#: Fingerprints this near are probably of near duplicates; large buckets try these first.
+NEAR_LIKELY = 20
+#: Buckets up to this size give all pairs; larger ones are dealt to blocks of at most NEAR_BLOCK.
+NEAR_SMALL, NEAR_BLOCK = 32, 512
+#: Documents of the sample that tells common shingles, and how many of these must have one.
+NEAR_SAMPLE, NEAR_COMMON = 5000, 5
+#: Rows that a batch of keys or candidates holds before it goes out.
+NEAR_ROWS = 1 << 18
+
+
+def near_shingles(text: str | None) -> set[bytes]:
+    """Distinct shingles; fewer words than a shingle are one, a text without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < NEAR_SHINGLE:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[k:] for k in range(NEAR_SHINGLE)), strict=False)))
+
 
+def is_near(a: set[bytes], b: set[bytes]) -> bool:
+    up, down = NEAR_SHARE
+    both = len(a & b)
+    return both > 0 and down * both >= up * (len(a) + len(b) - both)
 
-def near_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[bytes, np.ndarray] | None:
-    """(128-bit fingerprint of the shingles, four 23-bit words of the fingerprint of the distinct words); None without words.
 
-    A changed word changes `shingle` shingles but one word, so the words' fingerprint is the one that keys come from.
+def near_keys(text: str | None, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, two words of the fingerprint, number of distinct shingles); no keys without words.
+
+    Keys are the first shingles in one order for all texts, as many as a set can lack and still be near, and one more:
+    two near sets have one of them in common. `common` (sorted) comes last in that order; it makes buckets smaller,
+    never incomplete.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return None
-    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    grams = near_shingles(text)
+    n = len(grams)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(2, np.int64), 0
+    rows = np.frombuffer(b"".join(map(xxh3_128_digest, grams)), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for k in range(0, n, 1 << 16):
+        ones += np.unpackbits(rows[k : k + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+    h = rows.view("<i8")[:, 0]
+    last = np.isin(h, common)
+    first = np.lexsort((h, last))[: n + 1 - -(-NEAR_SHARE[0] * n // NEAR_SHARE[1])]
+    return h[first], np.packbits(2 * ones > n).view("<i8"), n
+
+
+def _common_shingles(ids: DataFrame) -> np.ndarray:
+    """Keys, sorted, of shingles that many documents of a bounded sample have."""
+    share = min(1.0, NEAR_SAMPLE / max(1, ids.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1):
+                if grams := near_shingles(t.as_py()):
+                    h = np.frombuffer(b"".join(map(xxh3_128_digest, grams)), "<i8")[::2]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.copy())], names=["key"])
+
+    sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = sample.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= NEAR_COMMON)
+    return np.sort(np.array([r["key"] for r in found.orderBy(F.desc("count"), "key").limit(1 << 16).collect()], np.int64))
+
 
-    def bits(digests: bytes) -> np.ndarray:
-        ones, n = np.zeros(128, np.int64), len(digests) // 16
-        rows = np.frombuffer(digests, np.uint8).reshape(-1, 16)
-        for k in range(0, n, 1 << 16):
-            ones += np.unpackbits(rows[k : k + (1 << 16)], axis=1).sum(0, dtype=np.int64)
-        return 2 * ones > n
+def _near_keys(common):
+    """(key, node, number of shingles, two words of the fingerprint)."""
 
-    segments = bits(b"".join(map(xxh3_128_digest, sorted(set(words)))))[:92].reshape(4, 23)
-    return np.packbits(bits(b"".join(map(xxh3_128_digest, grams)))).tobytes(), segments @ (1 << np.arange(23))
+    def give(rows: list) -> pa.RecordBatch:
+        each = [len(k) for _, k, _, _ in rows]
+        node, n = (np.repeat(np.array(x, np.int64), each) for x in ([r[0] for r in rows], [r[3] for r in rows]))
+        fp = np.repeat(np.stack([r[2] for r in rows]), each, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (np.concatenate([r[1] for r in rows]), node, n, fp[:, 0].copy(), fp[:, 1].copy())], names=["key", "node", "n", "w1", "w2"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                key, fp, n = near_keys(t.as_py(), common.value)
+                if n and i.is_valid:
+                    rows.append((i.as_py(), key, fp, n))
+                    held += len(key)
+                if held >= NEAR_ROWS:
+                    yield give(rows)
+                    rows, held = [], 0
+        if rows:
+            yield give(rows)
+
+    return run
 
-def _near_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, two words): keys from each two of the four decoded words."""
+
+def _may_be_near(fp: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    up, down = NEAR_SHARE
+    return (_differ(fp[x], fp[y]) <= most) & (down * np.minimum(n[x], n[y]) >= up * np.maximum(n[x], n[y]))
+
+
+def _likely_stars(fp: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    """Places (pivot, member) of probable near duplicates: stars within blocks, then among the pivots of all blocks."""
+    out: list[tuple[int, int]] = []
+    level = np.arange(len(fp))
+    while True:
+        pivots: list[int] = []
+        for k in range(0, len(level), NEAR_BLOCK):
+            left = level[k : k + NEAR_BLOCK]
+            while len(left):
+                p, left = int(left[0]), left[1:]
+                pivots.append(p)
+                near = _may_be_near(fp, n, np.array([p]), left, NEAR_LIKELY)
+                out += [(p, int(x)) for x in left[near]]
+                left = left[~near]
+        if len(level) <= NEAR_BLOCK or len(pivots) == len(level):
+            return out
+        level = np.array(pivots)
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that arrive sorted by the first one; what a batch leaves open waits for the next one."""
+    held: list[list[np.ndarray]] = []
     for b in batches:
-        found = [(i, f) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if i is not None and (f := near_fingerprint(t.as_py()))]
-        if not found:
+        if not b.num_rows:
+            continue
+        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
+        key = held[-1][0]
+        if held[0][0][0] == key[-1]:
             continue
-        node = np.array([i for i, _ in found], np.int64)
-        fp = np.frombuffer(b"".join(f[0] for _, f in found), "<i8").reshape(-1, 2)
-        code = [golay_keys(np.array([f[1][k] for _, f in found], np.int64)) for k in range(4)]
-        for pair, (x, y) in enumerate((x, y) for y in range(4) for x in range(y)):
-            both = (code[x] >= 0)[:, :, None] & (code[y] >= 0)[:, None, :]
-            row, i, j = np.nonzero(both)
-            key = (pair << 24) | (code[x][row, i] << 12) | code[y][row, j]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, node[row], fp[row, 0].copy(), fp[row, 1].copy())], names=["key", "node", "w1", "w2"])
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], key[-1]))
+        held = [[c[cut:] for c in cols]]
+        yield [c[:cut] for c in cols]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small buckets give all candidate pairs (a, b), large ones likely pairs and their own rows (key, a, n, w1, w2)."""
+    for key, node, n, w1, w2 in _whole_buckets(batches):
+        fp = np.stack([w1, w2], 1).view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        bucket = np.repeat(np.arange(len(starts)), sizes)
+        few = np.repeat(sizes <= NEAR_SMALL, sizes)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for d in range(1, int(sizes[sizes <= NEAR_SMALL].max(initial=1))):
+            x = np.flatnonzero((bucket[d:] == bucket[:-d]) & few[d:])
+            x = x[_may_be_near(fp, n, x, x + d, NEAR_BITS)]
+            pairs.append(np.stack([node[x], node[x + d]], 1))
+        for s, size in zip(starts[sizes > NEAR_SMALL], sizes[sizes > NEAR_SMALL], strict=True):
+            star = s + np.array(_likely_stars(fp[s : s + size], n[s : s + size]), np.int64).reshape(-1, 2)
+            pairs.append(node[star])
+        ab = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        ab = ab[ab[:, 0] != ab[:, 1]]
+        none = pa.nulls(len(ab), pa.int64())
+        names = ["key", "a", "b", "n", "w1", "w2"]
+        yield pa.RecordBatch.from_arrays([none, pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), none, none, none], names=names)
+        if not few.all():
+            many = ~few
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many]), pa.nulls(int(many.sum()), pa.int64()), *(pa.array(c[many]) for c in (n, w1, w2))], names=names)
+
+
+def _near_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of large buckets that no links connect so far; rows (key, node, n, w1, w2, component) sorted by key."""
+
+    def give(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        ab = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["a", "b"])
+
+    pairs, held = [], 0
+    for key, *cols in _whole_buckets(batches):
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+            node, n, w1, w2, comp = (c[s:e] for c in cols)
+            # The largest component comes last: none of its members look for others, the others look at them.
+            _, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+            order = np.lexsort((at, count[at]))
+            node, n, at, fp = node[order], n[order], at[order], np.stack([w1[order], w2[order]], 1).view(np.uint64)
+            for x in range(e - s - int(count.max())):
+                y = np.arange(x + 1, e - s)
+                y = y[(at[y] != at[x]) & _may_be_near(fp, n, np.array([x]), y, NEAR_BITS)]
+                if len(y):
+                    pairs.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
+                    held += len(y)
+                if held >= NEAR_ROWS:
+                    yield give(pairs)
+                    pairs, held = [], 0
+    if pairs:
+        yield give(pairs)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, text of a, text of b), by a, those whose texts are near duplicates."""
+    text, own = None, set()
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            if (x := x.as_py()) != text:
+                text, own = x, near_shingles(x)
+            keep.append(is_near(own, near_shingles(y.as_py())))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _near_links(pairs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Those of the distinct pairs (a, b), a table already, whose texts are near duplicates."""
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = written(ids.where("text is not null").join(needed, "doc_id", "left_semi"), f"{name}-texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"), f"{name}-links")
+
+
+def near_links(ids: DataFrame) -> DataFrame:
+    """(a, b): near duplicates among rows (doc_id, text) that connect what all near duplicates connect.
+
+    Candidates share a key, have fingerprints of at most NEAR_BITS differing bits and sizes that allow it; whole sets of
+    shingles decide. Large buckets first try likely pairs, then all pairs between what these have left apart.
+    """
+    common = ids.sparkSession.sparkContext.broadcast(_common_shingles(ids))
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = ids.mapInArrow(_near_keys(common), "key long, node long, n long, w1 long, w2 long")
+    found = written(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_near_candidates, "key long, a long, b long, n long, w1 long, w2 long"), "near-candidates")
+    pairs = written(found.where("key is null").select("a", "b").distinct(), "near-pairs")
+    links = _near_links(pairs, ids, "near-first")
+    large = found.where("key is not null").select("key", F.col("a").alias("node"), "n", "w1", "w2")
+    if large.isEmpty():
+        return links
+    comp = components(links, name="near-first-components")
+    large = large.join(comp, "node", "left").select("key", "node", "n", "w1", "w2", F.coalesce("component", "node").alias("component"))
+    rest = large.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_near_rest, "a long, b long")
+    rest = written(rest.where("a <> b").distinct(), "near-rest")
+    return links.unionByName(_near_links(rest, ids, "near-second"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: bool = False) -> DataFrame:
     """docs with one document of each group of near duplicates, the one with the smallest id; columns as they were.
 
-    Two texts are near duplicates if NEAR of the bits of their shingles' fingerprints agree and two of the four decoded
-    words of their words' fingerprints lead to common codewords (at most two of 23 bits differ in each); groups are
-    what such links connect. Texts without words and rows without an id are in no group. Rows with one id are judged
-    together. An empty table stays empty.
+    Two texts are near duplicates if the sets of their five-word shingles have a Jaccard index of 0.8 or more; groups
+    are what such links connect. Texts without words and rows without an id are in no group. Rows with one id are
+    judged together. An empty table stays empty. docs is read several times: what isn't a `table`, the same in every
+    reading, is written first.
     """
+    docs = docs if table else written(docs, "near-docs")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    links = _linked(ids.mapInArrow(_near_keys, "key long, node long, w1 long, w2 long"), int((1 - NEAR) * NEAR_BITS))
-    drop = components(links, name="near-components").where("node <> component").select(F.col("node").alias("__node"))
+    drop = components(near_links(ids), name="near-components").where("node <> component").select(F.col("node").alias("__node"))
     return docs.join(drop, docs[id_col] == F.col("__node"), "left_anti")
 
 
