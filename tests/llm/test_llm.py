@@ -75,6 +75,14 @@ def test_pii(spark, docs):
     assert sum(s.kind == "iban" for r in found for s in r.spans) >= 2
 
 
+def test_iban_ends_by_its_country(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR1420041010050500013M02606"]
+    after = ["", " BIC COBADEFFXXX", " USD 500", " 500 1234", ". Next", "\nAMOUNT 12", " and more", " DE12"]
+    texts = [f"IBAN {i}{a}" for i in ibans for a in after] + ["REF AB12 DE89 3704 0044 0532 0130 00 BIC", "DE89370400440532013000 GB82WEST12345698765432 BIC", "DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX", "DE89370400440532013000X"]
+    found = {r.doc_id: [s.value for s in r.spans if s.kind == "iban"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[k] for k in range(len(texts))] == [[i] for i in ibans for _ in after] + [["DE89 3704 0044 0532 0130 00"], ["DE89370400440532013000", "GB82WEST12345698765432"], [], []]
+
+
 def test_bpe_equals_the_library(docs):
     from tokenizers import Tokenizer
 

@@ -32,13 +32,23 @@ CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.35
 #: Mailbox characters; a match starts where a run of them does, or where the match before ended.
 _BOX = r"A-Za-z0-9._%+\-"
+#: Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A registered country's IBAN ends where its length does, whatever follows a blank; others reach as far as they can, but
+#: not over the start of one that could be a registered country's.
+_KNOWN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_OTHER = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_KNOWN})(?![A-Z0-9]))\x20?[A-Z0-9]){{11,30}}"
 KINDS = (
     Kind("email", rf"(?:\G|(?<![{_BOX}]))[{_BOX}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True, 0.9, "(?i)mail|contact|write|e-?mail"),
     Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", None, True, 0.7, r"(?i)\bip\b|address|host|server"),
     # Chains of fewer than 13 digits fail whole, so asking for 13 loses none and retries none.
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", None, True, 0.8, "(?i)card|visa|master|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.6, r"(?i)phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Z0-9])", None, False, 0.9, "(?i)iban|bank|account|konto|compte|cuenta"),
+    Kind("iban", rf"(?<![A-Z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_KNOWN}|{_OTHER})(?![A-Z0-9])", None, False, 0.9, "(?i)iban|bank|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", False, 0.3, r"(?i)\bssn\b|social|security"),
 )
 
