@@ -256,6 +256,14 @@ def test_near_dedup_equals_brute_force(spark):
     assert kept == {i for i, t in enumerate(top) if t == i}
 
 
+def test_near_dedup_keeps_what_is_below_the_threshold(spark):
+    words = [f"t{k}" for k in range(204)]
+    for cut, wanted in ((44, False), (40, True)):  # the prefix has 156 or 160 of 200 shingles
+        pair = [" ".join(words), " ".join(words[: 204 - cut])]
+        kept = simhash.near_dedup(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).count()
+        assert (kept == 1) == wanted
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)

@@ -262,7 +262,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Near-duplicate texts: the sets of their five-word shingles have a Jaccard index of 4/5 or more.
 NEAR_SHINGLE, NEAR_SHARE = 5, (4, 5)
 #: Bits of 128 in which fingerprints of candidates differ at most. Of pairs at 4/5 a bit differs with a chance of about
-#: 0.15, under 0.2 for the shortest texts too, so that one pair in a million, or fewer, differs in more.
+#: 0.15 (2 pairs in 10^9 differ in more bits), at most 0.1875 (4 of 5 shingles; 1.4 pairs in a million).
 NEAR_BITS = 46
 #: Fingerprints this near are probably of near duplicates; large buckets try these first.
 NEAR_LIKELY = 20
