@@ -27,7 +27,10 @@ BASE = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+#: Access identifiers that aren't base spans: other prefixes, and values named as one.
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AGPA|ANPA|ANVA|ABIA|ACCA)[A-Z0-9]{12,}+")
+NAMED = re.compile(r"""(?<![A-Za-z0-9])(?:access_?key(?:_?id)?|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}+""", re.IGNORECASE | re.ASCII)
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9][A-Za-z0-9.-]{2,200}(?::[0-9]{1,5})?", re.ASCII)
 MIN_BITS = 3.5
 
@@ -69,33 +72,28 @@ def _near(parts: list[tuple[int, int]], start: int, end: int, scope: int) -> boo
 
 
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
-    """Weak secrets beside an access identifier, and endpoints beside an access identifier and a secret of any kind."""
-    access = sorted((s, e) for k, s, e in base if k == "access")
-    strong = sorted((s, e) for k, s, e in base if k in ("assign", "hex"))
-    if not access:
+    """Weak secrets beside an access identifier of any kind, then identifiers and endpoints beside a secret of any kind."""
+    access = [(s, e) for k, s, e in base if k == "access"]
+    low = text.lower()
+    names = [(m.start(), m.end()) for m in NAMED.finditer(text)] if "client" in low or "access" in low else []
+    names += [(m.start(), m.end()) for m in PREFIXED.finditer(text)]
+    names = [(s, e) for s, e in sorted(set(names)) if not any(x < e and s < y for x, y in access)]
+    names = [x for k, x in enumerate(names) if not k or names[k - 1][1] <= x[0]]
+    strong = [sorted((s, e) for k, s, e in base if k == kind) for kind in ("assign", "hex")]
+    ids = sorted(access + names)
+    if not ids and not any(strong):
         return []
-    taken = sorted((s, e) for _, s, e in base)
-    # Only the scopes of access identifiers can hold a linked part; overlapping scopes are searched once.
-    windows: list[list[int]] = []
-    for s, e in access:
-        a, b = max(0, s - scope - 256), e + scope + 256
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = max(b, windows[-1][1])
-        else:
-            windows.append([a, b])
-    weak, ends = set(), set()
-    for a, b in windows:
-        weak.update((m.start(), m.end()) for m in WEAK.finditer(text, a, min(b, len(text))) if _weak(m[0]))
-        ends.update((m.start(), m.end()) for m in ENDPOINT.finditer(text, a, min(b, len(text))))
-    overlaps = lambda s, e: (i := bisect_left(taken, (e, -1))) and any(y > s for _, y in taken[max(0, i - 3) : i])
-    weak = sorted((s, e) for s, e in weak if _near(access, s, e, scope) and not overlaps(s, e))
-    secrets = sorted(strong + weak)
-    ends = sorted((s, e) for s, e in ends if _near(access, s, e, scope) and _near(secrets, s, e, scope))
-    return [("weak", s, e) for s, e in weak] + [("endpoint", s, e) for s, e in ends]
+    taken = sorted([(s, e) for _, s, e in base] + names)
+    overlaps = lambda s, e: (i := bisect_left(taken, (e, -1))) and any(y > s for _, y in taken[max(0, i - 4) : i])
+    weak = [(m.start(), m.end()) for m in WEAK.finditer(text)] if ids else []
+    weak = [(s, e) for s, e in weak if _near(ids, s, e, scope) and not overlaps(s, e) and _weak(text[s:e])]
+    beside = lambda s, e: any(_near(parts, s, e, scope) for parts in (*strong, weak))
+    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text) if beside(m.start(), m.end())] if "http" in text else []
+    return [("weak", s, e) for s, e in weak] + [("identifier", s, e) for s, e in names if beside(s, e)] + [("endpoint", s, e) for s, e in ends]
 
 
 def _order(spans: list[Span]) -> list[Span]:
-    kinds = (*BASE, "weak", "endpoint")
+    kinds = (*BASE, "weak", "identifier", "endpoint")
     return sorted(spans, key=lambda s: (s[1], kinds.index(s[0])))
 
 
