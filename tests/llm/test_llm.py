@@ -238,7 +238,11 @@ def test_near_dedup(docs):
     assert {i for i in range(26, 66)} <= kept
 
 
-def test_near_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot_path", [False, True])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, hot_path):
+    if hot_path:  # blocks, pivots and the second round; split fingerprint buckets
+        monkeypatch.setattr(simhash, "NEAR_BLOCK", 700)
+        monkeypatch.setattr(simhash, "BUCKET", 3)
     rnd = random.Random(11)
     zipf = [f"z{min(49999, int(rnd.paretovariate(0.9)))}" for _ in range(300000)]
     text = lambda n: [rnd.choice(zipf) for _ in range(n)]
@@ -263,8 +267,33 @@ def test_near_dedup_equals_brute_force(spark):
     assert len(pairs) > 100
     for x, y in pairs:
         top = [min(top[x], top[y]) if t in (top[x], top[y]) else t for t in top]
-    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
-    assert kept == {i for i, t in enumerate(top) if t == i}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i for i, t in enumerate(top) if t == i}
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == want
+    if not hot_path:  # ids of another type, and columns with the names used inside
+        named = df.selectExpr("concat('d', lpad(doc_id, 6, '0')) as doc_id", "text", "1 as near_node", "2 as node", "3 as key", "4 as size")
+        out = simhash.near_dedup(named)
+        assert out.columns == named.columns and {int(r.doc_id[1:]) for r in out.collect()} == want
+
+
+def test_link_sets_connects_as_all_pairs_do():
+    g = np.random.default_rng(8)
+    for _ in range(30):
+        base = g.integers(0, 2**62, 40, dtype=np.uint64)
+        sets = [np.unique(np.where(g.random(40) < g.uniform(0, 0.3), g.integers(0, 2**62, 40, dtype=np.uint64), base)) for _ in range(40)]
+        group = np.where(g.random(40) < 0.3, 3, np.arange(40))
+        near_pairs = [(x, y) for x in range(40) for y in range(x) if len(b := np.intersect1d(sets[x], sets[y])) >= 0.8 * (len(sets[x]) + len(sets[y]) - len(b))]
+        same = [(x, 3) for x in np.flatnonzero(group == 3)]
+
+        def parts(edges):
+            top = list(range(40))
+            for x, y in edges:
+                top = [min(top[x], top[y]) if t in (top[x], top[y]) else t for t in top]
+            return top
+
+        assert parts(near_pairs + same) == parts(simhash.link_sets(sets, group) + same)
+
+
 
 
 def test_near_dedup_keeps_what_is_below_the_threshold(spark):

@@ -13,19 +13,22 @@ spanning forest of its links rather than all its pairs. Only distinct fingerprin
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from pyspark.sql.types import IntegralType
+from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import components, documents, written
+from tidemark.llm.common import components, discard, documents, private, written
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
+#: Rows of one bucket that a task holds together; a larger bucket is split.
+BUCKET = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -235,8 +238,19 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame, most: int) -> DataFrame:
+    """Links of buckets; a bucket of more than BUCKET rows is dealt to pairs of blocks, so that no task holds it whole."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_bucket_links(most), "a long, b long")
+    hot = rows.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks"))
+    hot = written(hot, "hot-buckets")
+    split = rows.withColumn("part", F.lit(0))
+    if not hot.isEmpty():
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        # Every two blocks meet in one part, numbered by the larger and the smaller of them.
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.greatest(mine, o) * F.col("blocks") + F.least(mine, o))
+        split = rows.join(hot, "key", "left").withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pair)))
+    # A part is a bucket of its own: its key is the bucket's with the part's number mixed in; equal values only add comparisons.
+    split = split.select(F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "node", "fp")
+    return split.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_bucket_links(most), "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -261,17 +275,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Near-duplicate texts: the sets of their five-word shingles have a Jaccard index of 4/5 or more.
 NEAR_SHINGLE, NEAR_SHARE = 5, (4, 5)
-#: Bits of 128 in which fingerprints of candidates differ at most. Of pairs at 4/5 a bit differs with a chance of about
-#: 0.15 (2 pairs in 10^9 differ in more bits), at most 0.1875 (4 of 5 shingles; 1.4 pairs in a million).
-NEAR_BITS = 46
-#: Fingerprints this near are probably of near duplicates; large buckets try these first.
-NEAR_LIKELY = 20
-#: Buckets up to this size give all pairs; larger ones are dealt to blocks of at most NEAR_BLOCK.
-NEAR_SMALL, NEAR_BLOCK = 32, 512
-#: Documents of the sample that tells common shingles, and how many of these must have one.
-NEAR_SAMPLE, NEAR_COMMON = 5000, 5
-#: Rows that a batch of keys or candidates holds before it goes out.
-NEAR_ROWS = 1 << 18
+#: Bands of a set's minhashes and minhashes of a band. Two sets at 4/5 agree in no band with a chance of (1 - 0.8^4)^40 = 7e-10.
+NEAR_BANDS, NEAR_HASHES = 40, 4
+#: Buckets up to this size give all pairs; larger ones are compared set by set, in blocks of about this many shingles.
+NEAR_SMALL, NEAR_BLOCK = 6, 1 << 20
+#: Members of a bucket of several blocks, about, that stand in all of them.
+NEAR_PIVOTS = 16
+#: Rows that a batch holds before it goes out.
+NEAR_ROWS = 1 << 16
+#: Odd multipliers, one for each minhash, from a splitmix sequence.
+_SPLIT = np.arange(1, NEAR_BANDS * NEAR_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_SPLIT = (_SPLIT ^ (_SPLIT >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+_MULTIPLY = (_SPLIT ^ (_SPLIT >> np.uint64(27))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
 
 
 def near_shingles(text: str | None) -> set[bytes]:
@@ -288,164 +303,151 @@ def is_near(a: set[bytes], b: set[bytes]) -> bool:
     return both > 0 and down * both >= up * (len(a) + len(b) - both)
 
 
-def near_keys(text: str | None, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, two words of the fingerprint, number of distinct shingles); no keys without words.
-
-    Keys are the first shingles in one order for all texts, as many as a set can lack and still be near, and one more:
-    two near sets have one of them in common. `common` (sorted) comes last in that order; it makes buckets smaller,
-    never incomplete.
-    """
+def near_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, sorted."""
     grams = near_shingles(text)
-    n = len(grams)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(2, np.int64), 0
-    rows = np.frombuffer(b"".join(map(xxh3_128_digest, grams)), np.uint8).reshape(-1, 16)
-    ones = np.zeros(128, np.int64)
-    for k in range(0, n, 1 << 16):
-        ones += np.unpackbits(rows[k : k + (1 << 16)], axis=1).sum(0, dtype=np.int64)
-    h = rows.view("<i8")[:, 0]
-    last = np.isin(h, common)
-    first = np.lexsort((h, last))[: n + 1 - -(-NEAR_SHARE[0] * n // NEAR_SHARE[1])]
-    return h[first], np.packbits(2 * ones > n).view("<i8"), n
+    return np.unique(np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(grams)))
 
 
-def _common_shingles(ids: DataFrame) -> np.ndarray:
-    """Keys, sorted, of shingles that many documents of a bounded sample have."""
-    share = min(1.0, NEAR_SAMPLE / max(1, ids.count()))
+def near_bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of the minhashes of a set that isn't empty."""
+    low = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 512):
+        np.minimum(low, (hashes[k : k + 512, None] * _MULTIPLY).min(0), out=low)
+    rows = low.reshape(NEAR_BANDS, NEAR_HASHES)
+    key = np.arange(1, NEAR_BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for k in range(NEAR_HASHES):
+        key = (key ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(1):
-                if grams := near_shingles(t.as_py()):
-                    h = np.frombuffer(b"".join(map(xxh3_128_digest, grams)), "<i8")[::2]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.copy())], names=["key"])
 
-    sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = sample.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= NEAR_COMMON)
-    return np.sort(np.array([r["key"] for r in found.orderBy(F.desc("count"), "key").limit(1 << 16).collect()], np.int64))
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, size) for each band of each text with words; size: distinct shingles."""
+    rows: list[tuple[int, np.ndarray, int]] = []
 
+    def give() -> pa.RecordBatch:
+        node, size = (np.repeat(np.array([r[k] for r in rows], np.int64), NEAR_BANDS) for k in (0, 2))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[1] for r in rows])), pa.array(node), pa.array(size)], names=["key", "node", "size"])
 
-def _near_keys(common):
-    """(key, node, number of shingles, two words of the fingerprint)."""
-
-    def give(rows: list) -> pa.RecordBatch:
-        each = [len(k) for _, k, _, _ in rows]
-        node, n = (np.repeat(np.array(x, np.int64), each) for x in ([r[0] for r in rows], [r[3] for r in rows]))
-        fp = np.repeat(np.stack([r[2] for r in rows]), each, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (np.concatenate([r[1] for r in rows]), node, n, fp[:, 0].copy(), fp[:, 1].copy())], names=["key", "node", "n", "w1", "w2"])
+    for b in batches:
+        for i, t in zip(b.column(0), b.column(1), strict=True):
+            if i.is_valid and len(h := near_hashes(t.as_py())):
+                rows.append((i.as_py(), near_bands(h), len(h)))
+            if len(rows) * NEAR_BANDS >= NEAR_ROWS:
+                yield give()
+                rows = []
+    if rows:
+        yield give()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                key, fp, n = near_keys(t.as_py(), common.value)
-                if n and i.is_valid:
-                    rows.append((i.as_py(), key, fp, n))
-                    held += len(key)
-                if held >= NEAR_ROWS:
-                    yield give(rows)
-                    rows, held = [], 0
-        if rows:
-            yield give(rows)
 
-    return run
+def _near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            part = b.slice(k, 256)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([near_hashes(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["node", "hashes"])
 
 
-def _may_be_near(fp: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    up, down = NEAR_SHARE
-    return (_differ(fp[x], fp[y]) <= most) & (down * np.minimum(n[x], n[y]) >= up * np.maximum(n[x], n[y]))
-
-
-def _likely_stars(fp: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
-    """Places (pivot, member) of probable near duplicates: stars within blocks, then among the pivots of all blocks."""
-    out: list[tuple[int, int]] = []
-    level = np.arange(len(fp))
-    while True:
-        pivots: list[int] = []
-        for k in range(0, len(level), NEAR_BLOCK):
-            left = level[k : k + NEAR_BLOCK]
-            while len(left):
-                p, left = int(left[0]), left[1:]
-                pivots.append(p)
-                near = _may_be_near(fp, n, np.array([p]), left, NEAR_LIKELY)
-                out += [(p, int(x)) for x in left[near]]
-                left = left[~near]
-        if len(level) <= NEAR_BLOCK or len(pivots) == len(level):
-            return out
-        level = np.array(pivots)
-
-
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows that arrive sorted by the first one; what a batch leaves open waits for the next one."""
-    held: list[list[np.ndarray]] = []
+def _whole_buckets(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows of one value of the first `keys` columns at a time; they arrive sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
         if not b.num_rows:
             continue
-        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
-        key = held[-1][0]
-        if held[0][0][0] == key[-1]:
-            continue
-        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-        cut = int(np.searchsorted(cols[0], key[-1]))
-        held = [[c[cut:] for c in cols]]
-        yield [c[:cut] for c in cols]
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        new[0] = last is not None and first != last
+        cuts = sorted({0, *np.flatnonzero(new).tolist(), b.num_rows})
+        for s, e in pairwise(cuts):
+            if new[s] and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(b.slice(s, e - s))
+        last = tuple(c[-1] for c in cols)
     if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small buckets give all candidate pairs (a, b), large ones likely pairs and their own rows (key, a, n, w1, w2)."""
-    for key, node, n, w1, w2 in _whole_buckets(batches):
-        fp = np.stack([w1, w2], 1).view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        bucket = np.repeat(np.arange(len(starts)), sizes)
-        few = np.repeat(sizes <= NEAR_SMALL, sizes)
-        pairs = [np.zeros((0, 2), np.int64)]
-        for d in range(1, int(sizes[sizes <= NEAR_SMALL].max(initial=1))):
-            x = np.flatnonzero((bucket[d:] == bucket[:-d]) & few[d:])
-            x = x[_may_be_near(fp, n, x, x + d, NEAR_BITS)]
-            pairs.append(np.stack([node[x], node[x + d]], 1))
-        for s, size in zip(starts[sizes > NEAR_SMALL], sizes[sizes > NEAR_SMALL], strict=True):
-            star = s + np.array(_likely_stars(fp[s : s + size], n[s : s + size]), np.int64).reshape(-1, 2)
-            pairs.append(node[star])
-        ab = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-        ab = ab[ab[:, 0] != ab[:, 1]]
-        none = pa.nulls(len(ab), pa.int64())
-        names = ["key", "a", "b", "n", "w1", "w2"]
-        yield pa.RecordBatch.from_arrays([none, pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), none, none, none], names=names)
-        if not few.all():
-            many = ~few
-            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many]), pa.nulls(int(many.sum()), pa.int64()), *(pa.array(c[many]) for c in (n, w1, w2))], names=names)
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _near_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of large buckets that no links connect so far; rows (key, node, n, w1, w2, component) sorted by key."""
+def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) of small buckets whose sizes allow it; rows (key, node, size) arrive sorted by key and node."""
+    up, down = NEAR_SHARE
+    tail = [np.zeros(0, np.int64)] * 3
+    for b in batches:
+        key, node, size = (np.r_[t, b.column(k).to_numpy(zero_copy_only=False)] for k, t in enumerate(tail))
+        a, c = [], []
+        for d in range(1, NEAR_SMALL):
+            # A pair goes out with the batch that its second row came with.
+            x = np.flatnonzero(key[d:] == key[:-d])
+            x = x[x + d >= len(tail[0])]
+            x = x[(node[x] != node[x + d]) & (down * np.minimum(size[x], size[x + d]) >= up * np.maximum(size[x], size[x + d]))]
+            a.append(node[x])
+            c.append(node[x + d])
+        a, c = np.concatenate(a), np.concatenate(c)
+        ab = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["a", "b"])
+        tail = [key[-NEAR_SMALL:], node[-NEAR_SMALL:], size[-NEAR_SMALL:]]
+
+
+def link_sets(sets: list[np.ndarray], group: np.ndarray) -> list[tuple[int, int]]:
+    """Places of near sets that connect, with what `group` has connected, exactly what all near pairs connect.
+
+    Sets that no star holds yet become pivots and are compared with all others, by postings of the hashes that several
+    sets have. Then sets outside the largest group are compared too: of two sets in different groups one is.
+    """
+    m, (up, down) = len(sets), NEAR_SHARE
+    size = np.fromiter(map(len, sets), np.int64, m)
+    u, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count[at] > 1
+    owner, at = np.repeat(np.arange(m), size)[several], at[several]
+    post = owner[np.argsort(at, kind="stable")]
+    start = np.r_[0, np.cumsum(np.bincount(at, minlength=len(u)))]
+    bound = np.searchsorted(owner, np.arange(m + 1))
+    top, links = np.unique(group, return_index=True, return_inverse=True)[1:], []
+    top = top[0][top[1]].tolist()  # the first of each group
 
-    def give(pairs: list[np.ndarray]) -> pa.RecordBatch:
-        ab = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["a", "b"])
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
 
-    pairs, held = [], 0
-    for key, *cols in _whole_buckets(batches):
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
-            node, n, w1, w2, comp = (c[s:e] for c in cols)
-            # The largest component comes last: none of its members look for others, the others look at them.
-            _, at, count = np.unique(comp, return_inverse=True, return_counts=True)
-            order = np.lexsort((at, count[at]))
-            node, n, at, fp = node[order], n[order], at[order], np.stack([w1[order], w2[order]], 1).view(np.uint64)
-            for x in range(e - s - int(count.max())):
-                y = np.arange(x + 1, e - s)
-                y = y[(at[y] != at[x]) & _may_be_near(fp, n, np.array([x]), y, NEAR_BITS)]
-                if len(y):
-                    pairs.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
-                    held += len(y)
-                if held >= NEAR_ROWS:
-                    yield give(pairs)
-                    pairs, held = [], 0
-    if pairs:
-        yield give(pairs)
+    def meet(x: int) -> np.ndarray:
+        mine = at[bound[x] : bound[x + 1]]
+        each = start[mine + 1] - start[mine]
+        both = np.bincount(post[np.repeat(start[mine] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())], minlength=m) if len(mine) else np.zeros(m, np.int64)
+        near = np.flatnonzero((both > 0) & (down * both >= up * (size[x] + size - both)))
+        for y in near.tolist():
+            a, b = root(x), root(y)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                links.append((x, y))
+        return near
+
+    held = np.array([root(x) for x in range(m)]) != np.arange(m)  # a group's first member is still to be compared
+    done = np.zeros(m, bool)
+    for x in range(m):
+        if not held[x]:
+            held[meet(x)] = True
+            done[x] = True
+    roots = np.array([root(x) for x in range(m)])
+    name, count = np.unique(roots, return_counts=True)
+    for x in np.flatnonzero((roots != name[count.argmax()]) & ~done).tolist():
+        meet(x)
+    return links
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (key, part, node, component, hashes), sorted by key, part and node."""
+    for b in _whole_buckets(batches, 2):
+        node = b.column(2).to_numpy()
+        sets = [np.frombuffer(h.as_py(), np.uint64) for h in b.column(4)]
+        links = np.array(link_sets(sets, b.column(3).to_numpy()), np.int64).reshape(-1, 2)
+        ab = np.sort(node[links], axis=1)
+        ab = ab[ab[:, 0] != ab[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,34 +462,89 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _near_links(pairs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+def _near_pairs(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b), a table already, whose texts are near duplicates."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(ids.where("text is not null").join(needed, "doc_id", "left_semi"), f"{name}-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"), f"{name}-links")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = written(ids.where("text is not null").join(needed, "node", "left_semi"), "near-texts")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    links = written(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"), "near-links")
+    discard(texts)
+    return links
+
+
+def _golay_pairs(ids: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose fingerprints of five-word shingles link, one for each fingerprint and link of fingerprints."""
+    rows = written(fingerprints(ids, "node", "text", NEAR_SHINGLE).where("fp <> 0 and doc_id is not null"), "near-fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-distinct")
+    links = fingerprint_links(distinct)
+    x, y = (distinct.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_least")) for c in "ab")
+    linked = links.join(x, "a").join(y, "b").select(F.least("a_least", "b_least").alias("a"), F.greatest("a_least", "b_least").alias("b"))
+    same = rows.join(distinct, "fp").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    pairs = written(linked.unionByName(same).where("a <> b"), "near-golay")
+    discard(rows, distinct)
+    return pairs
+
+
+def _large_links(large: DataFrame, ids: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) that, with those found, connect what near sets in large buckets connect; large: rows (key, node, size), a table.
+
+    A bucket is dealt to blocks by hash, a few pivots to all of them. Where a bucket has several blocks, members that
+    its main component hasn't got after that are compared with every block.
+    """
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = written(ids.join(large.select("node").distinct(), "node", "left_semi").mapInArrow(_near_sets, "node long, hashes binary"), "near-sets")
+    schema = "a long, b long"
+
+    def run(rows: DataFrame, name: str) -> DataFrame:
+        with_sets = rows.join(sets, "node").select("key", "part", "node", "component", "hashes")
+        return written(with_sets.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_block_links, schema), name)
+
+    many = large.groupBy("key").agg(F.ceil(F.sum("size") / NEAR_BLOCK).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / NEAR_PIVOTS).cast("int").alias("sparse"))
+    rows = large.join(written(many, "near-blocks"), "key")
+    own, pivot = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("sparse")) == 0)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = rows.select("key", "node", F.col("node").alias("component"), F.explode(F.when(pivot, every).otherwise(F.array(own))).alias("part"))
+    links = run(first, "near-blocks-first")
+    several = rows.where("blocks > 1")
+    if not several.isEmpty():
+        comp = components(found.unionByName(links), name="near-first-components")
+        placed = written(several.join(comp, "node", "left").select("key", "node", "size", "blocks", F.coalesce("component", "node").alias("component")), "near-placed")
+        each = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = each.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+        placed = placed.join(main, "key")
+        rest = placed.where("component <> main")
+        outer = rest.groupBy("key").agg(F.ceil(F.sum("size") / NEAR_BLOCK).cast("int").alias("outer"))
+        # Parts are (block of outliers, block of all members); members stand in all parts of their block, outliers in all of theirs too.
+        whole = placed.join(outer, "key").select("key", "node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: o * F.col("blocks") + own)).alias("part"))
+        mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("outer")).cast("int")
+        apart = rest.join(outer, "key").select("key", "node", "component", F.explode(F.transform(every, lambda t: mine * F.col("blocks") + t)).alias("part"))
+        links = links.unionByName(run(whole.unionByName(apart), "near-blocks-second"))
+    discard(sets)
+    return links
 
 
 def near_links(ids: DataFrame) -> DataFrame:
-    """(a, b): near duplicates among rows (doc_id, text) that connect what all near duplicates connect.
+    """(a, b): near duplicates among rows (node, text) that connect what all near duplicates connect.
 
-    Candidates share a key, have fingerprints of at most NEAR_BITS differing bits and sizes that allow it; whole sets of
-    shingles decide. Large buckets first try likely pairs, then all pairs between what these have left apart.
+    Golay keys give the links within the code's reach. Bands of minhashes give the rest: at a Jaccard index of 0.8 a
+    fingerprint's bits differ with a chance of 0.15, three or four in each 23-bit word, which is beyond what the code
+    decodes. Whole sets of shingles decide.
     """
-    common = ids.sparkSession.sparkContext.broadcast(_common_shingles(ids))
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = ids.mapInArrow(_near_keys(common), "key long, node long, n long, w1 long, w2 long")
-    found = written(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_near_candidates, "key long, a long, b long, n long, w1 long, w2 long"), "near-candidates")
-    pairs = written(found.where("key is null").select("a", "b").distinct(), "near-pairs")
-    links = _near_links(pairs, ids, "near-first")
-    large = found.where("key is not null").select("key", F.col("a").alias("node"), "n", "w1", "w2")
-    if large.isEmpty():
-        return links
-    comp = components(links, name="near-first-components")
-    large = large.join(comp, "node", "left").select("key", "node", "n", "w1", "w2", F.coalesce("component", "node").alias("component"))
-    rest = large.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_near_rest, "a long, b long")
-    rest = written(rest.where("a <> b").distinct(), "near-rest")
-    return links.unionByName(_near_links(rest, ids, "near-second"))
+    rows = written(ids.mapInArrow(_near_rows, "key long, node long, size long"), "near-rows")
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = written(rows.join(counted, "key"), "near-shared")
+    discard(rows)
+    small = shared.where(F.col("members") <= NEAR_SMALL).select("key", "node", "size")
+    small = small.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_small_pairs, "a long, b long")
+    golay = _golay_pairs(ids)
+    pairs = written(small.unionByName(golay).distinct(), "near-pairs")
+    links = _near_pairs(pairs, ids)
+    large = shared.where(F.col("members") > NEAR_SMALL).select("key", "node", "size")
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(large, ids, links))
+    discard(shared, golay, pairs)
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: bool = False) -> DataFrame:
@@ -495,13 +552,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two texts are near duplicates if the sets of their five-word shingles have a Jaccard index of 0.8 or more; groups
     are what such links connect. Texts without words and rows without an id are in no group. Rows with one id are
-    judged together. An empty table stays empty. docs is read several times: what isn't a `table`, the same in every
-    reading, is written first.
+    judged together. Ids may be of any type that sorts. An empty table stays empty. docs is read several times: what
+    isn't a `table`, the same in every reading, is written first.
     """
     docs = docs if table else written(docs, "near-docs")
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drop = components(near_links(ids), name="near-components").where("node <> component").select(F.col("node").alias("__node"))
-    return docs.join(drop, docs[id_col] == F.col("__node"), "left_anti")
+    node = private(docs, "near_node")
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        names, key = None, F.col(id_col).cast("long")
+        ids = docs.select(key.alias("node"), F.col(text_col).alias("text"))
+    else:  # numbers in the order of the ids
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        names = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().repartitionByRange(parts, "id").sortWithinPartitions("id")
+        names = written(names.withColumn("node", F.monotonically_increasing_id()), "near-names")
+        ids = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(names, "id").select("node", "text"), "near-ids")
+    drop = components(near_links(ids), name="near-components").where("node <> component").select(F.col("node").alias(node))
+    if names is not None:
+        drop = drop.join(names.select(F.col("node").alias(node), "id"), node).select(F.col("id").alias(node))
+    return docs.join(drop, docs[id_col] == drop[node], "left_anti")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
