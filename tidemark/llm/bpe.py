@@ -59,6 +59,13 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def runs_of(text: str) -> list[str]:
+    """The text in NFC without its white space."""
+    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.split() if not any(c in text for c in ODD) else regex.split(r"\s+", text)
+
+
 class Encoder:
     def __init__(self, path: str, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
@@ -216,14 +223,6 @@ class Encoder:
         for run, cut in pieces.items():
             young[run] = young[cut[0]] if len(cut) == 1 else " ".join([young[w] for w in cut])
 
-    def _runs(self, text: str) -> list[str]:
-        """The text in NFC without its white space."""
-        if text.isascii():
-            return text.split() if not any(c in text for c in ODD) else regex.split(r"\s+", text)
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return text.split() if not any(c in text for c in ODD) else regex.split(r"\s+", text)
-
     def encode_texts(self, texts: list[str | None]) -> list[str]:
         """Decimal ids of each text, joined by one space."""
         if len(self.young) > self.cache:
@@ -231,11 +230,11 @@ class Encoder:
         cut: list[list] = []
         for text in texts:
             if not text or "<|" not in text:
-                cut.append(self._runs(text) if text else [])
+                cut.append(runs_of(text) if text else [])
             else:
                 cut.append([])
                 for piece in self.cut.split(text):
-                    cut[-1] += [self.special[piece]] if piece in self.special else self._runs(piece)
+                    cut[-1] += [self.special[piece]] if piece in self.special else runs_of(piece)
         here: set = set()
         for runs in cut:
             here.update(runs)

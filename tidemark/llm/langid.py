@@ -20,13 +20,13 @@ from tidemark.llm.common import documents
 
 #: Places that the n-grams are hashed to.
 DIM = 4096
-#: Labelled documents of each language that the fit looks at, at most, in the order of a hash; and languages, by frequency.
-SAMPLE, LANGUAGES = 400, 64
+#: Labelled documents of each language that the fit looks at, at most, in the order of a hash.
+SAMPLE = 400
 CLUSTERS, ROUNDS = 4, 8
-#: A text whose cosine with its nearest centroid is below this share of the lowest one in the fit is rejected.
-REJECT = 0.5
-#: Documents of at least this many bytes set that lowest cosine; short ones are noisy and never rejected above zero.
-REJECT_BYTES = 200
+#: A text is rejected if its cosine with its nearest centroid is below REJECT times the QUANTILE of the cosines that
+#: pieces as long as itself of the sample's documents have; LENGTHS are the pieces' numbers of n-grams.
+REJECT, QUANTILE = 0.6, 0.01
+LENGTHS = (16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 UNKNOWN = "und"
 CHUNK = 1 << 20
 
@@ -61,7 +61,12 @@ class Model:
     centroids: np.ndarray
     #: Language of each centroid.
     names: list[str]
-    floor: float
+    #: Lowest cosine that isn't rejected, for each of LENGTHS.
+    floors: np.ndarray
+
+    def floor(self, grams: np.ndarray) -> np.ndarray:
+        """For texts of so many n-grams: straight between the LENGTHS' logarithms; those shorter than the first as the first."""
+        return np.interp(np.log(np.maximum(grams, 1)), np.log(LENGTHS), self.floors)
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         v = np.log1p(tf) * self.idf
@@ -73,21 +78,22 @@ class Model:
         can = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.names else []
         for k in range(0, len(can), 128):
             part = can[k : k + 128]
-            near = self.vectors(np.stack([counts(texts[i]) for i in part])) @ self.centroids.T
+            tf = np.stack([counts(texts[i]) for i in part])
+            near = self.vectors(tf) @ self.centroids.T
             best = near.argmax(1)
-            for i, b, s in zip(part, best, near[np.arange(len(part)), best], strict=True):
+            for i, b, s, low in zip(part, best, near[np.arange(len(part)), best], self.floor(tf.sum(1)), strict=True):
                 s = float(min(1.0, max(0.0, s)))
-                out[i] = (self.names[b], s, s <= 0 or (s < self.floor and len(texts[i]) >= REJECT_BYTES))
+                out[i] = (self.names[b], s, s <= 0 or s < low)
         return out
 
 
 def fit(rows: list[tuple[str, np.ndarray]], clusters: int = CLUSTERS, rounds: int = ROUNDS) -> Model:
     """From (language, counts), in an order that doesn't depend on chance."""
     if not rows:
-        return Model(np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), [], 0.0)
+        return Model(np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), [], np.zeros(len(LENGTHS)))
     tf = np.stack([c for _, c in rows])
     idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-    model = Model(idf, np.zeros((0, DIM), np.float32), [], 0.0)
+    model = Model(idf, np.zeros((0, DIM), np.float32), [], np.zeros(len(LENGTHS)))
     v, langs = model.vectors(tf), np.array([n for n, _ in rows])
     centroids, names = [], []
     for name in sorted(set(langs)):
@@ -103,11 +109,23 @@ def fit(rows: list[tuple[str, np.ndarray]], clusters: int = CLUSTERS, rounds: in
         centroids.append(c)
         names += [name] * len(c)
     model.centroids, model.names = np.concatenate(centroids).astype(np.float32), names
-    long = v[tf.sum(1) >= 2 * REJECT_BYTES]
-    model.floor = REJECT * float((long @ model.centroids.T).max(1).min()) if len(long) else 0.0
+    # A piece of a text: so many n-grams drawn from its counts. Lengths that no document of the sample reaches take the next shorter one's floor.
+    draw = np.random.default_rng(1)
+    total = tf.sum(1).astype(np.int64)
+    for k, n in enumerate(LENGTHS):
+        rows = np.flatnonzero(total >= n)
+        near = [float((model.vectors(piece[None]) @ model.centroids.T).max()) for piece in (_piece(tf[i], n, draw) for i in rows)]
+        model.floors[k] = REJECT * float(np.quantile(near, QUANTILE)) if near else model.floors[k - 1] if k else 0.0
     return model
 
 
+def _piece(tf: np.ndarray, n: int, draw: np.random.Generator) -> np.ndarray:
+    at = np.flatnonzero(tf)
+    out = np.zeros(DIM, np.float32)
+    out[at] = draw.multivariate_hypergeometric(tf[at].astype(np.int64), n, method="marginals")
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, 128):
@@ -116,20 +134,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, order: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits to at most `sample` documents of each of the LANGUAGES most frequent languages, the first by `order` (a long).
+    """Fits to at most `sample` documents of each language, the first by `order` (a long).
 
-    Rows without text or language aren't used. Whole texts are counted where they are; only counts reach the driver.
+    The driver holds up to `sample` sparse count vectors a language, as many as languages have labels. Rows without text or language aren't used. Whole texts are counted where they are; only counts reach the driver.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), order.alias("o"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    pick = F.lit(False)
-    for r in sizes:  # by a hash, about twice as many as are wanted; the driver keeps the first of these
-        share = min(1.0, 2 * sample / r["count"] + 8 / r["count"])
-        pick = pick | ((F.col("lang") == r["lang"]) & (F.pmod("o", F.lit(1 << 30)) <= int(share * (1 << 30))))
-    got: dict[str, list[tuple[int, bytes]]] = {r["lang"]: [] for r in sizes}
-    counted = rows.where(pick).mapInArrow(_counted, "lang string, o long, tf binary")
-    for r in counted.toLocalIterator():
-        got[r["lang"]].append((r["o"] % (1 << 30), bytes(r["tf"])))
+    # By a hash, about twice as many of each language as are wanted; the driver keeps the first of these.
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2 * sample + 8) / F.count(F.lit(1))).alias("share"))
+    picked = rows.join(share, "lang").where(F.pmod("o", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("lang", "o", "text")
+    got: dict[str, list[tuple[int, bytes]]] = {}
+    for r in picked.mapInArrow(_counted, "lang string, o long, tf binary").toLocalIterator():
+        got.setdefault(r["lang"], []).append((r["o"] % (1 << 30), bytes(r["tf"])))
     return fit([(n, np.frombuffer(tf, np.float32)) for n in sorted(got) for _, tf in sorted(got[n])[:sample]])
 
 
@@ -140,7 +155,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     repeat, other columns aren't read, an empty table gives an empty result; a model without languages rejects all.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # CLUSTERS * LANGUAGES * DIM floats at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # CLUSTERS * DIM floats for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +175,10 @@ def train_outside_fold(docs: DataFrame) -> Model:
 
 
 def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text the model rejects; columns as they were."""
+    """docs without the rows whose text the model rejects; columns as they were.
+
+    Null texts and texts without letters go; repeated rows share their fate; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -173,6 +191,7 @@ def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
+    """identify() on all documents by a model of those outside the held-out fold; nulls, empty and repeated rows as there."""
     docs = documents(spark, sf_dir)
     out = identify(docs, train_outside_fold(docs))
     return out.select("doc_id", fold().alias("held_out"), "lang_pred", "score", "rejected")

@@ -1,8 +1,8 @@
 """Media columns: bytes kept as WAV sound, and spectral-peak pair fingerprints of it.
 
 A payload is stored as 8-bit mono samples by the wave module and read back by it. Short-time Fourier transforms of the
-samples give each frame's strongest bins; pairs of peaks of nearby frames, (bin, bin, distance), are stored with the
-frame they start at as an array of time-coded integers.
+samples, in frames that overlap by half, give each frame's strongest local maxima; pairs of peaks of nearby frames,
+(bin, bin, distance), are stored with the frame they start at as an array of time-coded integers.
 """
 
 from __future__ import annotations
@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents
 
 RATE, UNIT = 8000, 64
-FRAME, HOP, FAN = 512, 512, 3
+FRAME, HOP, FAN = 512, 256, 3
+#: Peaks of a frame, at most: those of its strongest bins that stand above both neighbours.
+PEAKS = 3
 #: Frames transformed at once: what bounds memory for a long text.
 CHUNK = 2048
+#: Amplitude at or below which a bin is silent: rounding alone gives less.
+SILENCE = 0.01
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -47,26 +51,47 @@ def from_wav(stored: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peaks(samples: np.ndarray) -> np.ndarray:
-    """Strongest bin of each frame but the constant one; the last frame is padded with silence."""
+def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frame, bin) of the PEAKS strongest local maxima of each frame's spectrum, by frame and bin; the last frames are padded with silence.
+
+    The constant bin is no peak; of equal bins the lower one counts as higher. A frame without any sound has none.
+    """
     window = np.hanning(FRAME).astype(np.float32)
     n = max(1, -(-len(samples) // HOP))
-    out = np.empty(n, np.int64)
+    frames, bins = [], []
     for k in range(0, n, CHUNK):
         m = min(CHUNK, n - k)
-        part = samples[k * HOP : (k + m - 1) * HOP + FRAME].astype(np.float32) - 128
-        frames = np.zeros(m * HOP, np.float32)
-        frames[: len(part)] = part
-        spectrum = np.abs(np.fft.rfft(frames.reshape(m, FRAME) * window, axis=1))
-        out[k : k + m] = spectrum[:, 1:].argmax(1) + 1
-    return out
+        part = np.zeros((m - 1) * HOP + FRAME, np.float32)
+        sound = samples[k * HOP : (k + m - 1) * HOP + FRAME].astype(np.float32) - 128
+        part[: len(sound)] = sound
+        spectrum = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * window, axis=1)).astype(np.float32)
+        spectrum[:, 0] = 0
+        inner = spectrum[:, 1:-1]
+        height = np.where((inner > spectrum[:, :-2]) & (inner >= spectrum[:, 2:]) & (inner > SILENCE), inner, 0)
+        for _ in range(PEAKS):
+            best = height.argmax(1)
+            row = np.flatnonzero(height[np.arange(m), best] > 0)
+            frames.append(row + k)
+            bins.append(best[row] + 1)
+            height[row, best[row]] = 0
+    frame, at = np.concatenate(frames), np.concatenate(bins)
+    order = np.lexsort((at, frame))
+    return frame[order].astype(np.int64), at[order].astype(np.int64)
 
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """Time-coded pairs: frame << 20 | bin << 11 | later bin << 2 | frames between them, for up to FAN later frames."""
-    p = peaks(samples)
-    pairs = [np.arange(len(p) - d) << 20 | p[:-d] << 11 | p[d:] << 2 | d for d in range(1, FAN + 1) if len(p) > d]
-    return np.sort(np.concatenate(pairs)) if pairs else np.array([p[0] << 11], np.int64)
+    """Time-coded pairs, sorted: frame << 20 | bin << 11 | later bin << 2 | frames between them, for up to FAN later frames."""
+    frame, at = peaks(samples)
+    first = np.searchsorted(frame, np.arange(frame[-1] + 2 + FAN)) if len(frame) else np.zeros(0, np.int64)
+    out = [np.zeros(0, np.int64)]
+    for d in range(1, FAN + 1):
+        if not len(frame):
+            break
+        for k in range(PEAKS):  # the k-th peak of the later frame, where it has one
+            later = first[np.minimum(frame + d, len(first) - 2)] + k
+            has = np.flatnonzero((frame + d < len(first) - 1) & (later < first[np.minimum(frame + d + 1, len(first) - 1)]))
+            out.append(frame[has] << 20 | at[has] << 11 | at[later[has]] << 2 | d)
+    return np.sort(np.concatenate(out))
 
 
 def _two(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -102,13 +127,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, wav (binary), prints (array of time-coded pairs) for each row.
 
-    Null and empty texts are 64 samples of silence. Equal texts give equal values. Repeated rows repeat, other columns
+    Null and empty texts are 64 zero bytes. Equal texts give equal values. Repeated rows repeat, other columns
     aren't read, an empty table gives an empty result.
     """
     df, key = _two(docs, id_col, text_col)
     return df.mapInArrow(_media, f"{key}, n_bytes long, wav binary, prints array<long>")
 
 
-def op5_media(spark, sf_dir: str) -> DataFrame:
-    df, key = _two(documents(spark, sf_dir), "doc_id", "text")
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """media_columns with lengths and digests of what was stored and read back, and a feature: number of prints, their digest, the first eight."""
+    df, key = _two(docs, id_col, text_col)
     return df.mapInArrow(_features, f"{key}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def op5_media(spark, sf_dir: str) -> DataFrame:
+    """media_digests of all documents; nulls, empty and repeated rows as there."""
+    return media_digests(documents(spark, sf_dir))

@@ -2,17 +2,18 @@
 
 Assignments, access identifiers and long hex runs are reported wherever they stand. Weak candidates (bare tokens of
 mixed characters, and endpoints) mean little alone: they are reported only when complementary parts co-occur. Parts are
-linked by an interval join of the access identifiers, secrets and endpoints of one document: each part's interval,
-widened by SCOPE on both sides, is looked up among the sorted intervals of the parts it needs.
+linked by an interval join of the access identifiers, secrets and endpoints of one document: each part's interval is
+looked up among the sorted starts and ends of the parts it needs, within SCOPE on either side.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ HEX = re.compile("[0-9a-f]{24,}")
 PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AGPA|ANPA|ANVA|ABIA|ACCA)[A-Z0-9]{12,}+")
 NAMED = re.compile(r"""(?<![A-Za-z0-9])(?:access_?key(?:_?id)?|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}+""", re.IGNORECASE | re.ASCII)
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9][A-Za-z0-9.-]{2,200}(?::[0-9]{1,5})?", re.ASCII)
+ENDPOINT = re.compile(r"https?://[A-Za-z0-9][A-Za-z0-9.-]{2,}+(?::[0-9]{1,5})?", re.ASCII)
 MIN_BITS = 3.5
 
 Span = tuple[str, int, int]
@@ -60,36 +61,42 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], BASE.index(s[0])))
 
 
-def _near(parts: list[tuple[int, int]], start: int, end: int, scope: int) -> bool:
-    """Does any of the parts (sorted, not overlapping) meet [start - scope, end + scope) without being inside [start, end)?"""
-    i = bisect_left(parts, (start - scope, -1))
-    i -= bool(i and parts[i - 1][1] > start - scope)
-    while i < len(parts) and parts[i][0] < end + scope:
-        if parts[i][0] >= end or parts[i][1] <= start:
-            return True
-        i += 1
-    return False
+class _Near:
+    """Intervals of one kind, sorted by start and by end; they may overlap."""
+
+    def __init__(self, parts: list[tuple[int, int]]):
+        self.starts, self.ends = sorted(s for s, _ in parts), sorted(e for _, e in parts)
+        self.reach = list(accumulate((e for _, e in sorted(parts)), max))
+
+    def beside(self, start: int, end: int, scope: int) -> bool:
+        """Does one end within `scope` before start, or start within `scope` after end?"""
+        i, j = bisect_right(self.ends, start - scope), bisect_left(self.starts, end)
+        return i < len(self.ends) and self.ends[i] <= start or j < len(self.starts) and self.starts[j] < end + scope
+
+    def overlaps(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.reach[i - 1] > start
 
 
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """Weak secrets beside an access identifier of any kind, then identifiers and endpoints beside a secret of any kind."""
     access = [(s, e) for k, s, e in base if k == "access"]
     low = text.lower()
-    names = [(m.start(), m.end()) for m in NAMED.finditer(text)] if "client" in low or "access" in low else []
-    names += [(m.start(), m.end()) for m in PREFIXED.finditer(text)]
-    names = [(s, e) for s, e in sorted(set(names)) if not any(x < e and s < y for x, y in access)]
-    names = [x for k, x in enumerate(names) if not k or names[k - 1][1] <= x[0]]
-    strong = [sorted((s, e) for k, s, e in base if k == kind) for kind in ("assign", "hex")]
-    ids = sorted(access + names)
-    if not ids and not any(strong):
+    found = [(m.start(), m.end()) for m in NAMED.finditer(text)] if "client" in low or "access" in low else []
+    found += [(m.start(), m.end()) for m in PREFIXED.finditer(text)]
+    own, names = _Near(access), []
+    for s, e in sorted(set(found)):  # the first of those that overlap
+        if not own.overlaps(s, e) and (not names or names[-1][1] <= s):
+            names.append((s, e))
+    strong = [(s, e) for k, s, e in base if k in ("assign", "hex")]
+    if not access and not names and not strong:
         return []
-    taken = sorted([(s, e) for _, s, e in base] + names)
-    overlaps = lambda s, e: (i := bisect_left(taken, (e, -1))) and any(y > s for _, y in taken[max(0, i - 4) : i])
-    weak = [(m.start(), m.end()) for m in WEAK.finditer(text)] if ids else []
-    weak = [(s, e) for s, e in weak if _near(ids, s, e, scope) and not overlaps(s, e) and _weak(text[s:e])]
-    beside = lambda s, e: any(_near(parts, s, e, scope) for parts in (*strong, weak))
-    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text) if beside(m.start(), m.end())] if "http" in text else []
-    return [("weak", s, e) for s, e in weak] + [("identifier", s, e) for s, e in names if beside(s, e)] + [("endpoint", s, e) for s, e in ends]
+    ids, taken = _Near(access + names), _Near([(s, e) for _, s, e in base] + names)
+    weak = [(m.start(), m.end()) for m in WEAK.finditer(text)] if ids.starts else []
+    weak = [(s, e) for s, e in weak if ids.beside(s, e, scope) and not taken.overlaps(s, e) and _weak(text[s:e])]
+    secrets = _Near(strong + weak)
+    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)] if "http" in text else []
+    return [("weak", s, e) for s, e in weak] + [("identifier", s, e) for s, e in names if secrets.beside(s, e, scope)] + [("endpoint", s, e) for s, e in ends if secrets.beside(s, e, scope)]
 
 
 def _order(spans: list[Span]) -> list[Span]:
@@ -141,6 +148,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return df.mapInArrow(_found, f"{key}, spans array<struct<kind:string,start:int,end:int,value:string>>")
 
 
-def op3_secrets(spark, sf_dir: str) -> DataFrame:
-    df, key = _two(documents(spark, sf_dir), "doc_id", "text")
+def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """find_secrets with counts of the base kinds, the digest of the base spans and all spans as text, made where they are."""
+    df, key = _two(docs, id_col, text_col)
     return df.mapInArrow(_digests, f"{key}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def op3_secrets(spark, sf_dir: str) -> DataFrame:
+    """secret_digests of all documents; nulls, empty and repeated rows as there."""
+    return secret_digests(documents(spark, sf_dir))

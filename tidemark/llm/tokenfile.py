@@ -1,20 +1,25 @@
 """Token-id files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
-Ids are coded in blocks of BLOCK ids. Every block starts from an empty model and carries the CRC-32 of its ids, so any
-block is read, checked or lost alone. In a block the id that followed the same two ids (order 2) or the same id
-(order 1) last is predicted; the orders' hit rates, order 0's among them, are mixed in the logistic domain with
-weights learned as coding goes, and an arithmetic coder with carries codes "as predicted" or else the id's magnitude
-class by order-0 adaptive counts, and the bits below it. All of it is integer arithmetic, so any machine reads what
-another one wrote. The blocks of a record run in lockstep, one array lane each: encoder and decoder cost a fixed
-number of array operations for each position in a block, however many blocks there are.
+Ids come from the tokenizers library. White space separates what it encodes, so each run of other characters is encoded
+once by the library and looked up after that.
+
+Ids are coded in blocks of at most BLOCK ids. Every block starts from an empty model and carries the CRC-32 of its ids,
+so any block is read, checked or lost alone. In a block the id that followed the same two ids (order 2) or the same id
+(order 1) last is predicted; the orders' hit rates are mixed in the logistic domain with weights learned as coding
+goes, and an arithmetic coder with carries codes "as predicted" or else the id by order 0: adaptive counts of ids, as
+running sums over the ids' upper, middle and lower bits given those above them. All of it is integer arithmetic, so
+any machine reads what another one wrote. The blocks of a record run in lockstep, one array lane each: encoder and
+decoder cost a fixed number of array operations for each position in a block, however many blocks there are.
 
 A record (one row of the written table) holds whole documents: shard and seq (its place), doc_ids and lengths, and an
-image: magic, number of blocks, number of ids, then words and CRC-32 of each block, then the blocks' 16-bit words.
+image: magic, number of blocks, number of ids, largest id, then words and CRC-32 of each block, then the blocks' 16-bit
+words.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,32 +29,121 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import encoder, grouped, vocabulary_path
+from tidemark.llm.bpe import CACHED_LENGTH, grouped, runs_of, vocabulary_path
 from tidemark.llm.common import documents, written
 
 END_ID = 2
-BLOCK = 2048
+#: Ids of a block: at most; and at least, where a record has fewer than LANES blocks otherwise.
+BLOCK, SHORT_BLOCK, LANES = 8192, 2048, 512
 #: Ids in a record, about: what one task holds at a time.
-RECORD = BLOCK * 1024
-MAGIC = b"TMTK"
-_TABLE, _PREC, _CLASSES = 1024, 20, 18
+RECORD = BLOCK * 768
+#: Runs that each half of the cache of ids holds.
+CACHE = 150_000
+MAGIC = b"TMTL"
+_TABLE, _PREC = 1024, 20
+#: Ids are coded by their bits above 12, the 6 below and the last 6.
+_UPPER, _LEVEL = 12, 6
+_WIDE = 1 << _LEVEL
+#: What an id adds to its running sums, and the total at which they are halved.
+_STEP, _FULL = 24, 16000
 _U = np.uint64
 _TOP, _LOW = _U(1 << 48), _U((1 << 48) - 1)
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
 SQUASH = np.array([max(32, min(4032, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 
 
+class LibraryIds:
+    """Ids of texts from the tokenizers library, four bytes each; runs seen before come from a bounded cache."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        cut = [runs_of(t) if t else [] for t in texts]
+        unseen = set()
+        for runs in cut:
+            unseen.update(runs)
+        unseen.difference_update(young)
+        fresh = []
+        for run in unseen:
+            ids = old.get(run)
+            if ids is None:
+                fresh.append(run)
+            else:
+                young[run] = ids
+        for k in range(0, len(fresh), 1 << 14):
+            part = fresh[k : k + (1 << 14)]
+            for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                young[run] = np.array(e.ids, "<u4").tobytes()
+        out = [b"".join(map(young.__getitem__, runs)) for runs in cut]
+        for run in unseen:
+            if len(run) > CACHED_LENGTH:
+                young.pop(run, None)
+        return out
+
+
+_IDS: dict[str, LibraryIds] = {}
+
+
+def library_ids(path: str) -> LibraryIds:
+    """One for each Python process and file."""
+    if path not in _IDS:
+        _IDS[path] = LibraryIds(path)
+    return _IDS[path]
+
+
+class _Sums:
+    """Running sums, from zero, of counts of the values below a node, for each lane; every value starts with one."""
+
+    def __init__(self, nodes: int, wide: int):
+        self.rows = np.tile(np.arange(wide + 1, dtype=np.int16), (nodes, 1))
+        self.steps = np.zeros((wide, wide + 1), np.int16)
+        self.steps[:, 1:] = np.triu(np.full((wide, wide), _STEP, np.int16))
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """Totals of nodes, which the calls that follow are about."""
+        self.at, self.now = at, self.rows.take(at, 0)
+        self.first = np.arange(len(at)) * self.now.shape[1]
+        return self.now[:, -1].astype(np.int64)
+
+    def span(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of values."""
+        flat, at = self.now.ravel(), self.first + value
+        start = flat.take(at)
+        return start.astype(np.int64), (flat.take(at + 1) - start).astype(np.int64)
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        return (self.now[:, 1:] > place.astype(np.int16)[:, None]).argmax(1)
+
+    def add(self, value: np.ndarray) -> None:
+        self.now += self.steps.take(value, 0)
+        big = np.flatnonzero(self.now[:, -1] > _FULL)
+        if len(big):
+            self.now[big, 1:] = np.cumsum((np.diff(self.now[big], axis=1) + 1) >> 1, axis=1)
+        self.rows[self.at] = self.now
+
+
 class _Model:
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, largest: int):
         lane = np.arange(lanes)
         self.base, self.zero4 = lane * _TABLE, lane * 4
         self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.two, self.one = np.zeros(lanes * _TABLE, np.int32), np.zeros(lanes * _TABLE, np.int32)
         self.rate = [np.full(lanes * 4, 16384, np.int32) for _ in range(3)]
         self.weight = [np.full(lanes, 26000, np.int32) for _ in range(3)]
-        #: Running sums of the classes' counts.
-        self.sums = np.tile(np.arange(1, _CLASSES + 1, dtype=np.int32), (lanes, 1))
-        self.every = lane
+        #: Order 0: upper bits, middle bits given these, lower bits given both.
+        self.nodes = (1, (largest >> _UPPER) + 1, (largest >> _LEVEL) + 1)
+        self.order0 = [_Sums(lanes * self.nodes[0], self.nodes[1]), _Sums(lanes * self.nodes[1], _WIDE), _Sums(lanes * self.nodes[2], _WIDE)]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(predicted id, is there one, its share of 2^_PREC) for each lane."""
@@ -65,7 +159,7 @@ class _Model:
         self.p = SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
         return self.guess, (self.c2 | self.c1) > 0, self.p.astype(np.int64) << (_PREC - 12)
 
-    def update(self, ids: np.ndarray, hit: np.ndarray, cls: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
         err = (hit.astype(np.int32) << 12) - self.p
         want = np.where(hit, np.int32(65535), np.int32(0))
         for k in range(3):
@@ -75,36 +169,31 @@ class _Model:
         for table, at, e, conf in ((self.two, self.at2, self.e2, self.c2), (self.one, self.at1, self.e1, self.c1)):
             same = (e >> 2 == ids32) & (conf > 0)
             table[at] = np.where(same | (conf <= 1), ids32 << 2 | np.where(same, np.minimum(conf + 1, 3), 1), e - 1)
-        self.sums += STEPS[np.where(hit, _CLASSES, cls)]
-        big = np.flatnonzero(self.sums[:, -1] > 4000)
-        if len(big):
-            self.sums[big] = np.cumsum((np.diff(self.sums[big], axis=1, prepend=0) + 1) >> 1, axis=1)
         self.a, self.b = self.b, ids
 
 
-#: What a class adds to the running sums; nothing, for an id as predicted.
-STEPS = np.array([[24 * (k >= c) for k in range(_CLASSES)] for c in range(_CLASSES + 1)], np.int32)
-_CLASS = np.array([int(i).bit_length() for i in range(1 << 16)], np.int64)
-
-
-def _class(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < 1 << 16, _CLASS[ids & 0xFFFF], 17)
+def _lengths(n: int) -> tuple[int, int]:
+    """(blocks, ids of each but the last) of a record of n ids."""
+    lanes = max(-(-n // BLOCK), min(LANES, -(-n // SHORT_BLOCK)))
+    each = -(-n // max(lanes, 1))
+    return (-(-n // each) if n else 0), each
 
 
 def compress(ids: np.ndarray) -> bytes:
     """The image of ids (0 to 131071)."""
     n = len(ids)
-    lanes = -(-n // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.int64)
+    lanes, each = _lengths(n)
+    grid = np.zeros(lanes * each, np.int32)
     grid[:n] = ids
-    grid = grid.reshape(lanes, BLOCK)
-    m = _Model(lanes)
+    largest = int(grid.max(initial=0))
+    grid = grid.reshape(lanes, each).T.copy()
+    m = _Model(lanes, largest)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _TOP)
-    room = BLOCK * 3 + 8
+    room = each * 4 + 8
     out, pos = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
 
-    def narrow(lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        x = low[lane] + start * unit
+    def narrow(lane: np.ndarray, start: np.ndarray, s: np.ndarray) -> None:
+        x = low[lane] + start
         over = np.flatnonzero(x >= _TOP)
         if len(over):  # a carry goes into the words already given
             at = lane[over]
@@ -114,7 +203,7 @@ def compress(ids: np.ndarray) -> bytes:
                 more = out[at, j] == 0
                 at, j = at[more], j[more] - 1
             x &= _LOW
-        low[lane], s = x, size * unit
+        low[lane] = x
         give = np.flatnonzero(s < _U(1 << 32))
         while len(give):
             at = lane[give]
@@ -125,30 +214,40 @@ def compress(ids: np.ndarray) -> bytes:
             give = give[s[give] < _U(1 << 32)]
         span[lane] = s
 
-    every, classes = np.arange(lanes), np.asfortranarray(_class(grid))
-    grid = np.asfortranarray(grid)
-    for t in range(BLOCK):
-        x = grid[:, t]
+    every = np.arange(lanes)
+    upper, middle, lower = m.order0
+    for t in range(each):
+        x = grid[t].astype(np.int64)
         guess, some, share = m.predict()
         hit = (guess == x) & some
-        cls = classes[:, t]
-        rest_of, total = (1 << _PREC) - share, m.sums[:, -1]
-        end = np.where(hit, share, share + m.sums[every, cls] * rest_of // total)
-        start = np.where(hit, 0, share + np.where(cls > 0, m.sums[every, cls - 1], 0) * rest_of // total)
-        narrow(every, start.astype(np.uint64), (end - start).astype(np.uint64), span >> _U(_PREC))
-        rest = np.flatnonzero(~hit & (cls > 1))
-        if len(rest):
-            bits = (cls[rest] - 1).astype(np.uint64)
-            below = x[rest].astype(np.uint64) - (_U(1) << bits)
-            narrow(rest, below, np.ones(len(rest), np.uint64), span[rest] >> bits)
-        m.update(x, hit, cls)
+        # As predicted, or else the upper bits by their share of the rest.
+        rest, total = (1 << _PREC) - share, upper.take(every)
+        first, wide = upper.span(x >> _UPPER)
+        start = np.where(hit, 0, share + first * rest // total)
+        end = np.where(hit, share, share + (first + wide) * rest // total)
+        unit = span >> _U(_PREC)
+        narrow(every, start.view(np.uint64) * unit, (end - start).view(np.uint64) * unit)
+        upper.add(x >> _UPPER)
+        lane = np.flatnonzero(~hit)
+        if len(lane):
+            y = x[lane]
+            # The middle bits, and within their share the lower ones.
+            one, two = middle.take(lane * m.nodes[1] + (y >> _UPPER)), lower.take(lane * m.nodes[2] + (y >> _LEVEL))
+            one, two = one.view(np.uint64), two.view(np.uint64)
+            (s1, w1), (s2, w2) = ([v.view(np.uint64) for v in f.span(z)] for f, z in ((middle, y >> _LEVEL & (_WIDE - 1)), (lower, y & (_WIDE - 1))))
+            unit = span[lane] // one
+            inner = w1 * unit // two
+            narrow(lane, s1 * unit + s2 * inner, w2 * inner)
+            middle.add(y >> _LEVEL & (_WIDE - 1))
+            lower.add(y & (_WIDE - 1))
+        m.update(x, hit)
     for _ in range(3):
         out[every, pos] = (low >> _U(32)).astype(np.uint16)
         pos += 1
         low = (low << _U(16)) & _LOW
     little = np.ascontiguousarray(ids, dtype="<u4")
-    crc = [zlib.crc32(little[k * BLOCK : (k + 1) * BLOCK]) for k in range(lanes)]
-    head = MAGIC + np.array([lanes, n], "<u4").tobytes() + pos.astype("<u4").tobytes() + np.array(crc, "<u4").tobytes()
+    crc = [zlib.crc32(little[k * each : (k + 1) * each]) for k in range(lanes)]
+    head = MAGIC + np.array([lanes, n, largest], "<u4").tobytes() + pos.astype("<u4").tobytes() + np.array(crc, "<u4").tobytes()
     return head + b"".join(out[k, : pos[k]].astype("<u2").tobytes() for k in range(lanes))
 
 
@@ -156,22 +255,22 @@ def decompress(image: bytes) -> np.ndarray:
     """The ids of an image; ValueError if a block isn't what was written."""
     if image[:4] != MAGIC:
         raise ValueError("not a token-id record")
-    lanes, n = (int(x) for x in np.frombuffer(image, "<u4", 2, 4))
+    lanes, n, largest = (int(x) for x in np.frombuffer(image, "<u4", 3, 4))
     if not lanes:
         return np.zeros(0, np.uint32)
-    size, crc = np.frombuffer(image, "<u4", lanes, 12).astype(np.int64), np.frombuffer(image, "<u4", lanes, 12 + 4 * lanes)
-    data = np.frombuffer(image, "<u2", int(size.sum()), 12 + 8 * lanes).astype(np.uint64)
+    each = -(-n // lanes)
+    size, crc = np.frombuffer(image, "<u4", lanes, 16).astype(np.int64), np.frombuffer(image, "<u4", lanes, 16 + 4 * lanes)
+    data = np.frombuffer(image, "<u2", int(size.sum()), 16 + 8 * lanes).astype(np.uint64)
     data = np.r_[data, np.zeros(4, np.uint64)]
     pos = np.r_[0, np.cumsum(size)[:-1]]
     code = data[pos] << _U(32) | data[pos + 1] << _U(16) | data[pos + 2]
     pos += 3
     limit = len(data) - 1
     span = np.full(lanes, _TOP)
-    m, every = _Model(lanes), np.arange(lanes)
-    grid = np.empty((BLOCK, lanes), np.uint32)
+    m, every = _Model(lanes, largest), np.arange(lanes)
+    grid = np.empty((each, lanes), np.uint32)
 
-    def narrow(lane: np.ndarray, start: np.ndarray, wide: np.ndarray, unit: np.ndarray) -> None:
-        c, s = code[lane] - start * unit, wide * unit
+    def narrow(lane: np.ndarray, c: np.ndarray, s: np.ndarray) -> None:
         take = np.flatnonzero(s < _U(1 << 32))
         while len(take):
             at = lane[take]
@@ -181,61 +280,75 @@ def decompress(image: bytes) -> np.ndarray:
             take = take[s[take] < _U(1 << 32)]
         code[lane], span[lane] = c, s
 
-    for t in range(BLOCK):
+    upper, middle, lower = m.order0
+    for t in range(each):
         guess, _, share = m.predict()
         unit = span >> _U(_PREC)
-        v = np.minimum(code // unit, _U((1 << _PREC) - 1)).astype(np.int64)
+        v = np.minimum(code // unit, _U((1 << _PREC) - 1)).view(np.int64)
         hit = v < share
-        rest_of, total = (1 << _PREC) - share, m.sums[:, -1]
-        # sums * rest_of // total <= v - share, solved for sums
-        most = (((v - share + 1) * total - 1) // rest_of).astype(np.int32)
-        cls = np.minimum((m.sums <= most[:, None]).sum(1), _CLASSES - 1)
-        end = np.where(hit, share, share + m.sums[every, cls] * rest_of // total)
-        start = np.where(hit, 0, share + np.where(cls > 0, m.sums[every, cls - 1], 0) * rest_of // total)
-        narrow(every, start.astype(np.uint64), (end - start).astype(np.uint64), unit)
-        x = np.where(hit, guess, np.minimum(cls, 1))
-        rest = np.flatnonzero(~hit & (cls > 1))
-        if len(rest):
-            bits = (cls[rest] - 1).astype(np.uint64)
-            unit = span[rest] >> bits
-            below = np.minimum(code[rest] // unit, (_U(1) << bits) - _U(1))
-            narrow(rest, below, np.ones(len(rest), np.uint64), unit)
-            x[rest] = (below + (_U(1) << bits)).astype(np.int64)
-        m.update(x, hit, cls)
+        rest, total = (1 << _PREC) - share, upper.take(every)
+        # sums * rest // total <= v - share, solved for sums
+        top = np.where(hit, np.minimum(guess >> _UPPER, m.nodes[1] - 1), upper.find(np.minimum(((v - share + 1) * total - 1) // rest, total - 1)))
+        first, wide = upper.span(top)
+        start = np.where(hit, 0, share + first * rest // total)
+        end = np.where(hit, share, share + (first + wide) * rest // total)
+        narrow(every, code - start.view(np.uint64) * unit, (end - start).view(np.uint64) * unit)
+        upper.add(top)
+        x = guess.copy()
+        lane = np.flatnonzero(~hit)
+        if len(lane):
+            y, c = top[lane], code[lane]
+            total = middle.take(lane * m.nodes[1] + y).view(np.uint64)
+            unit = span[lane] // total
+            value = middle.find(np.minimum(c // unit, total - _U(1)))
+            start, wide = (v.view(np.uint64) for v in middle.span(value))
+            c -= start * unit
+            middle.add(value)
+            y = y << _LEVEL | value
+            total = lower.take(lane * m.nodes[2] + np.minimum(y, m.nodes[2] - 1)).view(np.uint64)  # a damaged block may lead anywhere
+            unit = wide * unit // total
+            value = lower.find(np.minimum(c // unit, total - _U(1)))
+            start, wide = (v.view(np.uint64) for v in lower.span(value))
+            lower.add(value)
+            narrow(lane, c - start * unit, wide * unit)
+            y = y << _LEVEL | value
+            x[lane] = y
+        m.update(x, hit)
         grid[t] = x
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
     for k in range(lanes):
-        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK]) != crc[k]:
+        if zlib.crc32(ids[k * each : (k + 1) * each]) != crc[k]:
             raise ValueError(f"block {k} is damaged")
     return ids
 
 
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, shard, seq = encoder(path), TaskContext.get().partitionId(), 0
+        e, shard, seq = library_ids(path), TaskContext.get().partitionId(), 0
+        end = np.array([END_ID], "<u4").tobytes()
         docs: list = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
         size = 0
 
-        def give() -> pa.RecordBatch:
-            image = compress(np.concatenate(held))
-            arrays = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([image], pa.binary())]
+        def give(kind: pa.DataType) -> pa.RecordBatch:
+            image = compress(np.frombuffer(b"".join(held), "<u4"))
+            arrays = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([docs], pa.list_(kind)), pa.array([[len(x) // 4 for x in held]], pa.list_(pa.int64())), pa.array([image], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "seq", "doc_ids", "lengths", "image"])
 
         for b in batches:
-            at = 0
+            kind, at = b.column(0).type, 0
             ids_of = b.column(0).to_pylist()
             for group in grouped(b.column(1).to_pylist()):
-                for text in e.encode_texts(group):
-                    held.append(np.r_[np.fromstring(text, np.int32, sep=" ") if text else np.zeros(0, np.int32), END_ID].astype(np.int32))
+                for ids in e.encode_texts(group):
+                    held.append(ids + end)
                     docs.append(ids_of[at])
                     at += 1
-                    size += len(held[-1])
+                    size += len(ids) // 4 + 1
                     if size >= RECORD:
-                        yield give()
+                        yield give(kind)
                         seq, docs, held, size = seq + 1, [], [], 0
         if held:
-            yield give()
+            yield give(kind)
 
     return run
 
@@ -248,7 +361,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = np.cumsum(length)
             crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(end.tolist(), length.tolist(), strict=True)]
             same = lambda v, n=len(length): pa.array(np.full(n, v.as_py(), np.int32))
-            yield pa.RecordBatch.from_arrays([same(b.column(0)[k]), same(b.column(1)[k]), pa.array(b.column(2)[k].as_py(), pa.int64()), pa.array(end - length), pa.array(length), pa.array(crc, pa.int64())], names=["shard", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([same(b.column(0)[k]), same(b.column(1)[k]), b.column(2)[k].values, pa.array(end - length), pa.array(length), pa.array(crc, pa.int64())], names=["shard", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -258,9 +371,10 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts. Other columns aren't read. An empty table writes no record.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    key = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(_write(path or vocabulary_path()), "shard int, seq int, doc_ids array<long>, lengths array<long>, image binary"), "token-ids")
+    return written(rows.mapInArrow(_write(path or vocabulary_path()), f"shard int, seq int, doc_ids array<{key}>, lengths array<long>, image binary"), "token-ids")
 
 
 def read_tokens(records: DataFrame) -> DataFrame:
@@ -270,7 +384,8 @@ def read_tokens(records: DataFrame) -> DataFrame:
     # One row for each shard: as many as there are tasks.
     shards = sizes.groupBy("shard").agg(F.sum("ids").alias("all")).withColumn("ahead", F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     offset = inside.join(shards, "shard").select("shard", "seq", (F.col("ahead") + F.col("before")).alias("offset"))
-    rows = records.mapInArrow(_read, "shard int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    key = records.schema["doc_ids"].dataType.elementType.simpleString()
+    rows = records.mapInArrow(_read, f"shard int, seq int, doc_id {key}, within long, n_tokens long, ids_crc32 long")
     return rows.join(offset, ["shard", "seq"]).select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
