@@ -509,7 +509,44 @@ def test_exact(docs, block, weak):
     assert kept.columns == df.columns and sorted(r.text or "" for r in kept.collect()) == sorted(groups)
 
 
-def test_substring(docs):
+CLASH = ["near_node", "text_sha", "text_sha_", "words", "words_", "__words", "__node", "__text_sha", "i", "s", "n", "x", "d", "row", "times", "node", "key", "a", "b", "fp", "component", "part"]
+
+
+def test_no_column_name_clashes(docs):
+    d = docs.where("doc_id not in (5, 6, 7)")
+    extra = d.selectExpr("*", *[f"'{k}' AS {c}" for k, c in enumerate(CLASH)])
+    for f in (exact.exact_dedup, mixing.mixed_documents, simhash.near_dedup):
+        out = f(extra)
+        assert out.columns == extra.columns
+        rows = out.collect()
+        assert rows and all([r[c] for c in CLASH] == [str(k) for k in range(len(CLASH))] for r in rows)
+        assert sorted(map(str, out.select(*d.columns).collect())) == sorted(map(str, f(d).collect()))
+    for f in (pii.find_pii, bpe.encode_documents, secrets.find_secrets, media.media_columns, simhash.simhash_groups, mixing.mix, exact.exact_groups, substring.remove_repeated):
+        assert f(extra).count() == d.count()
+
+
+def test_pipeline_stages_on_awkward_tables(spark, docs, nothing):
+    import corpus_pipeline
+
+    for table in (nothing, docs.where("doc_id not in (5, 6, 7)"), spark.createDataFrame([(None, None, None, None), (1, None, "en", "a"), (1, None, "en", "a"), (None, "x y", None, None)], "doc_id long, text string, lang string, source string")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, common.written(table, "awkward"), "")
+            rows = out.collect()
+            if name != "BPE":
+                assert out.columns == table.columns
+                have = Counter(map(str, table.collect()))
+                assert all(have[str(r)] for r in rows)
+                if name != "mixing":
+                    assert not Counter(map(str, rows)) - have
+            else:
+                assert len(rows) == table.count()
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_substring(docs, tmp_path, monkeypatch, hot):
+    if hot:  # minimizers dealt window by window
+        monkeypatch.setattr(substring, "HOT_BYTES", 500)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     words = [(i, (t or "").encode().split()) for i, t, *_ in ROWS]
     seen = Counter(tuple(w[k : k + 35]) for _, w in words for k in range(len(w) - 34))
     want = []
@@ -520,7 +557,7 @@ def test_substring(docs):
                 keep[k : k + 35] = [False] * 35
         left = [x for x, y in zip(w, keep, strict=True) if y]
         want.append((i, len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
-    assert sorted(map(tuple, substring.remove_repeated(docs).collect())) == sorted(want)
+    assert sorted(map(tuple, substring.op10_substring_dedup(docs.sparkSession, str(tmp_path)).collect())) == sorted(want)
 
 
 def test_components(spark):

@@ -331,4 +331,5 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
+    """encode_digests of all documents; nulls, empty and repeated rows as in encode_documents."""
     return encode_digests(documents(spark, sf_dir))

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from tidemark.llm.common import written
+from tidemark.llm.common import documents, private, written
 
 BLOCK = 4096
 #: Bytes of a block that its place in the order begins with.
@@ -53,7 +54,8 @@ def _first_names(blocks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     head = F.substring("blk", 1, HEAD).alias("head")
     names = _sorted_names(by_h.where("contents = 1").select("h", head), ["head", "h"]).select("h", "name")
     names = written(names, "block-names")
-    # 64-bit routing values shared by different contents: by the birthday bound a handful even among 10^12 blocks.
+    # 64-bit routing values shared by different contents: n^2 / 2^65 of them, none to speak of below 10^9 blocks and
+    # about 27,000 among 10^12, so that the driver holds some hundred kilobytes.
     collided = [r.h for r in by_h.where("contents > 1").select("h").collect()]
     if not collided:
         return names, None
@@ -122,18 +124,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """docs without the rows that exact_groups drops; columns as they were. Repeated rows leave one."""
-    sha, key = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256), "__text_sha"
+    """docs without the rows that exact_groups drops; columns as they were.
+
+    Of rows with one id and text the first by its other columns stays (maps aside). Nulls are as in exact_groups; an
+    empty table stays empty; no column name clashes.
+    """
+    key = private(docs, "text_sha")
+    sha = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
     groups = exact_groups(docs, id_col, text_col, block)
-    drop = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept")).where("not kept").alias("x")
-    d = docs.withColumn(key, sha)
-    kept = d.join(drop, d[id_col].eqNullSafe(F.col("x.doc_id")) & (d[key] == F.col("x.text_sha256")), "left_anti")
-    return kept.dropDuplicates([id_col, key]).drop(key)
+    drop = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s")).alias("x")
+    d = docs.withColumn(key, sha).alias("d")
+    kept = d.join(drop, F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.i")) & (F.col(f"d.`{key}`") == F.col("x.s")), "left_anti")
+    order = [f"`{f.name}`" for f in docs.schema if not isinstance(f.dataType, MapType)]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*[F.col(c) for c in order]))
+    return kept.groupBy(F.col(f"`{id_col}`").alias("i"), F.col(key).alias("s")).agg(first.alias("row")).select("row.*")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import documents
-
+    """exact_groups of all documents; nulls, ties, empty and repeated rows as there."""
     return exact_groups(documents(spark, sf_dir))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, documents, written
+from tidemark.llm.common import WORD, documents, private, written
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, 42
 #: Hash buckets of a source, as leading hex digits.
@@ -34,7 +34,7 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> Dat
     s = s.withColumn("held", (F.col("t") - cap0).cast("double") / (F.col("ws") - w0) * F.col("w") > F.col("cap"))
     held_cap = F.sum(F.when(F.col("held"), F.col("cap")).otherwise(0)).over(everything)
     held_w = F.sum(F.when(F.col("held"), F.col("w")).otherwise(0)).over(everything)
-    level = (F.col("t") - held_cap).cast("double") / (F.col("ws") - held_w)
+    level = F.try_divide((F.col("t") - held_cap).cast("double"), F.col("ws") - held_w)  # null where every source is held
     return s.withColumn("target", F.when(F.col("held"), F.col("cap").cast("double")).otherwise(level * F.col("w"))).select("source", "source_size", "target")
 
 
@@ -52,7 +52,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     bucket = F.substring("o", 1, DIGITS)
     sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     targets = water_fill(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs)
-    targets = targets.withColumn("reps", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
+    targets = targets.withColumn("reps", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     targets = targets.withColumn("rest", F.floor("target") - F.col("reps") * F.col("source_size"))
     # (source, bucket): at most 16^DIGITS rows for a source, however many documents it has.
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("key")
@@ -71,18 +71,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with each row as often as the mix repeats it; a part of half a document or more is a whole repetition."""
+    """docs with each row as often as the mix repeats it; a part of half a document or more is a whole repetition.
+
+    Rows equal in id, source and size share one decision. Null texts have no words, so they go unless their source is
+    taken whole; nulls, ties and repeated rows otherwise as in mix. An empty table stays empty; no column name clashes.
+    """
     m = mix(docs, id_col, text_col, source_col, weights, epochs, seed)
-    times = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("reps") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int").alias("__times"))
-    # Rows equal in id, source and size: as many decisions as rows; one decision for all of them keeps the join one to one.
-    times = times.groupBy("__id", "__source", "__size").agg(F.max("__times").alias("__times"))
-    d = docs.withColumn("__words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
-    on = d[id_col].eqNullSafe(times["__id"]) & d[source_col].eqNullSafe(times["__source"]) & (d["__words"] == times["__size"])
-    out = d.join(times, on).where("__times > 0")
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[d[c] for c in docs.columns])
+    times = (F.col("reps") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int")
+    # As many decisions as rows equal in id, source and size: one for all of them keeps the join one to one.
+    times = m.groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n")).agg(F.max(times).alias("times")).alias("x")
+    words = private(docs, "words")
+    d = docs.withColumn(words, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")).alias("d")
+    on = F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.i")) & F.col(f"d.`{source_col}`").eqNullSafe(F.col("x.s")) & (F.col(f"d.`{words}`") == F.col("x.n"))
+    out = d.join(times, on).where("x.times > 0").select("d.*", F.explode(F.sequence(F.lit(1), F.col("x.times"))).alias(private(docs, "words_")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """mix of all documents without its inner columns; nulls, ties, empty and repeated rows as there."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -572,4 +572,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """simhash_groups of all documents; nulls, ties, empty and repeated rows as there."""
     return simhash_groups(documents(spark, sf_dir))

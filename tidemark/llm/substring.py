@@ -2,11 +2,12 @@
 
 A window is LENGTH consecutive words. Each window is routed by its least word-gram hash (its minimizer), so equal
 windows meet in one shard and a run of neighbouring windows with one minimizer travels as one segment. Only segments
-whose minimizer occurs twice or more travel at all, and equal segments become one with a count before they are dealt.
+whose minimizer occurs twice or more travel at all, and equal segments become one with a count before they are dealt;
+a minimizer with very many segments is dealt to several shards, window by window.
 Every shard holds an FM-index of its segments: a wavelet matrix of bit vectors with block ranks over the words'
 Burrows-Wheeler transform. Backward search of the streamed segments gives the matching statistics of their windows (how
 far each is found at least twice, at most LENGTH words), and the windows found whole are reported as word intervals.
-Hashes route only; what is reported is compared word by word.
+Equal words are told by the words; a found interval goes back to its documents by its segment's minimizer and MD5.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from tidemark.llm.common import documents, written
 LENGTH, GRAM = 35, 12
 #: Words of one index; a shard with more is indexed in pieces, cut between minimizers.
 INDEX_WORDS = 1 << 20
+#: Bytes of one minimizer's distinct segments beyond which these are dealt to several shards.
+HOT_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -82,19 +85,28 @@ class FMIndex:
         """ids: words as numbers from 1, with 0 after each segment; weight: of each position's segment."""
         n = len(ids)
         rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-        width, order = 1, np.argsort(rank, kind="stable")
-        while width < 2 * length:
-            second = np.zeros(n, np.int64)
-            second[: n - width] = rank[width:] + 1 if width < n else 0
-            key = rank * (n + 2) + second
+        width, most = 1, int(rank.max(initial=0)) + 2
+        while True:
+            #: Words of a seed, and by place the number of its seed among all in order.
+            self.seed, seeds = width, rank
+            # Three ranks make one key of 63 bits where they fit, else two.
+            several = 3 if most < 1 << 21 else 2
+            key = rank.copy()
+            for k in range(1, several):
+                key *= most
+                key[: max(0, n - k * width)] += rank[k * width :] + 1
             order = np.argsort(key, kind="stable")
             s = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]])
-            width *= 2
-            if rank[order[-1]] == n - 1:
+            width *= several
+            new = np.r_[0, s[1:] != s[:-1]].cumsum()
+            if width >= length or new[-1] == n - 1:
                 break
-        # Suffixes are in the order of their first `width` words, which is all that patterns of `length` need.
+            rank = np.empty(n, np.int64)
+            rank[order] = new
+            most = int(new[-1]) + 2
+        # Suffixes are in the order of their first `width` words, which is all that patterns of `length` need. Those with
+        # one seed are neighbours: a search starts from their interval, as from a table of all seeds.
+        self.seeds, self.bounds = seeds, np.r_[0, np.cumsum(np.bincount(seeds))]
         self.weights = np.r_[0, np.cumsum(weight[order])]
         bwt = ids[order - 1]
         self.n = n
@@ -121,11 +133,14 @@ class FMIndex:
         return i - start
 
     def matched(self, ids: np.ndarray, ends: np.ndarray, length: int, least: int = 2) -> np.ndarray:
-        """Matching statistics: for each end (exclusive) the words before it, at most `length`, that occur with weight `least` or more."""
+        """Matching statistics: for each end (exclusive) the words before it, at most `length`, that occur with weight `least` or more; 0 below a seed."""
         got = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
-        for step in range(1, length + 1):
+        seeds = self.seeds[ends - self.seed]
+        lo, hi = self.bounds[seeds], self.bounds[seeds + 1]
+        live = np.flatnonzero(self.weights[hi] - self.weights[lo] >= least)
+        lo, hi = lo[live], hi[live]
+        got[live] = self.seed
+        for step in range(self.seed + 1, length + 1):
             c = ids[ends[live] - step]
             lo = self.first[c] + self._rank(c, lo.copy())
             hi = self.first[c] + self._rank(c, hi.copy())
@@ -144,18 +159,10 @@ def repeated_windows(segments: list[list[bytes]], counts: list[int], length: int
     sizes = np.array([len(s) + 1 for s in segments])
     ends = np.cumsum(sizes)
     ids[ends - 1] = 0
-    out = [np.arange(len(s) - length + 1) if c > 1 else np.zeros(0, np.int64) for s, c in zip(segments, counts, strict=True)]
-    single = [k for k, c in enumerate(counts) if c == 1]
-    # A segment of its own kind needs a search where another one, or a second place in it, can hold its windows.
-    if len(segments) == 1 and len(segments[0]) == length:
-        return out
-    if single:
-        index = FMIndex(ids, np.repeat(np.array(counts, np.int64), sizes), length)
-        at = [ends[k] - sizes[k] + np.arange(length, sizes[k]) for k in single]
-        got = index.matched(ids, np.concatenate(at), length)
-        for k, g in zip(single, np.split(got, np.cumsum([len(a) for a in at])[:-1]), strict=True):
-            out[k] = np.flatnonzero(g == length)
-    return out
+    index = FMIndex(ids, np.repeat(np.array(counts, np.int64), sizes), length)
+    at = [e - n + np.arange(length, n) for e, n in zip(ends, sizes, strict=True)]
+    got = index.matched(ids, np.concatenate(at), length)
+    return [np.flatnonzero(g == length) for g in np.split(got, np.cumsum([len(a) for a in at])[:-1])]
 
 
 def _intervals(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -187,25 +194,36 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(1).take(place), pa.array([x["start"] for x in found], pa.int32()), pa.array([x["m"] for x in found], pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "k", "start", "m", "words"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments (m, words, c, s, parts) of a hot minimizer as rows (m, part, at, words, c, s), one for each window: equal windows meet in one part."""
+    for b in batches:
+        for m, words, c, s, parts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            w = words.split(b" ")
+            cut = [b" ".join(w[k : k + LENGTH]) for k in range(len(w) - LENGTH + 1)]
+            part = [1 + xxh64_intdigest(x) % parts for x in cut]
+            same = lambda v, n=len(cut): [v] * n
+            yield pa.RecordBatch.from_arrays([pa.array(same(m), pa.int64()), pa.array(part, pa.int32()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary()), pa.array(same(c), pa.int64()), pa.array(same(s), pa.binary())], names=["m", "part", "at", "words", "c", "s"])
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (m, words, count), sorted by m. Gives (m, words' hashes, intervals)."""
-    held: list[tuple[int, bytes, int, int, int]] = []
+    """Rows (m, part, at, words, c, s), sorted by m and part; at: the words' place in their segment s. Gives (m, s, intervals in the segment)."""
+    held: list[tuple[int, int, int, bytes, int, bytes]] = []
     size = 0
 
     def give(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = repeated_windows([r[1].split() for r in rows], [r[2] for r in rows])
-        kept = [(r[0], r[3], r[4], _intervals(w, LENGTH)) for r, w in zip(rows, found, strict=True) if len(w)]
+        found = repeated_windows([r[3].split() for r in rows], [r[4] for r in rows])
+        kept = [(r[0], r[5], [(a + r[2], b + r[2]) for a, b in _intervals(w, LENGTH)]) for r, w in zip(rows, found, strict=True) if len(w)]
         for k in range(0, len(kept), 4096):
-            m, s1, s2, iv = zip(*kept[k : k + 4096], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x] for x in iv], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["m", "s1", "s2", "spans"])
+            m, s, iv = zip(*kept[k : k + 4096], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(s, pa.binary()), pa.array([[{"a": a, "b": b} for a, b in x] for x in iv], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["m", "s", "spans"])
 
     for b in batches:
-        for m, words, c, s1, s2 in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if size >= INDEX_WORDS and held[-1][0] != m:
+        for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if size >= INDEX_WORDS and held[-1][:2] != row[:2]:
                 yield from give(held)
                 held, size = [], 0
-            held.append((m, words, c, s1, s2))
-            size += words.count(b" ") + 2
+            held.append(row)
+            size += row[3].count(b" ") + 2
     if held:
         yield from give(held)
 
@@ -244,11 +262,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.k") == F.col("x.k"))
     holding = t.join(x, same).select("t.doc_id", "t.k", "t.text", "x.runs")
     segments = written(holding.mapInArrow(_segments, f"{key}, start int, m long, words binary"), "segments")
-    s1, s2 = F.xxhash64("words"), F.xxhash64("words", F.lit(1))
-    counted = segments.groupBy("m", "words").agg(F.count(F.lit(1)).alias("c"))
-    dealt = counted.select("m", "words", "c", s1.alias("s1"), s2.alias("s2")).repartition(parts, "m").sortWithinPartitions("m")
-    found = dealt.mapInArrow(_search, "m long, s1 long, s2 long, spans array<struct<a:int,b:int>>")
-    hits = segments.select("doc_id", "k", "start", "m", s1.alias("s1"), s2.alias("s2")).join(found, ["m", "s1", "s2"])
+    name = F.unhex(F.md5("words")).alias("s")
+    counted = written(segments.groupBy("m", "words").agg(F.count(F.lit(1)).alias("c")).select("m", "words", "c", name), "segments-counted")
+    # A minimizer whose segments are more than an index holds is dealt window by window.
+    sizes = counted.groupBy("m").agg(F.sum(F.length("words")).alias("bytes")).where(F.col("bytes") > HOT_BYTES)
+    hot = written(sizes.select("m", F.ceil(F.col("bytes") * LENGTH / HOT_BYTES).cast("int").alias("parts")), "hot-minimizers")
+    dealt = counted.select("m", F.lit(0).alias("part"), F.lit(0).alias("at"), "words", "c", "s")
+    if not hot.isEmpty():
+        apart = counted.join(hot, "m").select("m", "words", "c", "s", "parts").mapInArrow(_windows, "m long, part int, at int, words binary, c long, s binary")
+        dealt = dealt.join(hot, "m", "left_anti").unionByName(apart)
+    dealt = dealt.repartition(parts, "m", "part").sortWithinPartitions("m", "part")
+    found = dealt.mapInArrow(_search, "m long, s binary, spans array<struct<a:int,b:int>>")
+    hits = segments.select("doc_id", "k", "start", "m", name).join(found, ["m", "s"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     return hits.select("doc_id", "k", F.explode(moved).alias("s")).groupBy("doc_id", "k").agg(F.collect_set("s").alias("spans"))
 
@@ -268,4 +293,5 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """remove_repeated on all documents; nulls, empty and repeated rows as there."""
     return remove_repeated(documents(spark, sf_dir))

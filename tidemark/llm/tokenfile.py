@@ -390,4 +390,5 @@ def read_tokens(records: DataFrame) -> DataFrame:
 
 
 def op6_token_ids(spark, sf_dir: str) -> DataFrame:
+    """write_tokens and read_tokens over all documents; nulls, ties, empty and repeated rows as there."""
     return read_tokens(write_tokens(documents(spark, sf_dir)))
