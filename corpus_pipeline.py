@@ -1,4 +1,7 @@
-"""A corpus pipeline of five stages, each one of the corpus operators."""
+"""A corpus pipeline of five stages, each one of the corpus operators.
+
+Nulls, empty and repeated rows, ties, empty tables and extra columns go as the operator of each stage says.
+"""
 
 from __future__ import annotations
 
