@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +155,9 @@ class FMIndex:
 
 def repeated_windows(segments: list[list[bytes]], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment the windows (by first word) that occur twice or more in all of them, counts included."""
-    names: dict[bytes, int] = {}
-    ids = np.fromiter((names.setdefault(w, len(names) + 1) for s in segments for w in [*s, b""]), np.int64)
+    flat = list(chain.from_iterable([*s, b""] for s in segments))
+    names = {w: k for k, w in enumerate(dict.fromkeys(flat), 1)}
+    ids = np.fromiter(map(names.__getitem__, flat), np.int64, len(flat))
     sizes = np.array([len(s) + 1 for s in segments])
     ends = np.cumsum(sizes)
     ids[ends - 1] = 0
@@ -263,9 +265,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     holding = t.join(x, same).select("t.doc_id", "t.k", "t.text", "x.runs")
     segments = written(holding.mapInArrow(_segments, f"{key}, start int, m long, words binary"), "segments")
     name = F.unhex(F.md5("words")).alias("s")
-    counted = written(segments.groupBy("m", "words").agg(F.count(F.lit(1)).alias("c")).select("m", "words", "c", name), "segments-counted")
+    counted = segments.groupBy("m", "words").agg(F.count(F.lit(1)).alias("c")).select("m", "words", "c", name)
     # A minimizer whose segments are more than an index holds is dealt window by window.
-    sizes = counted.groupBy("m").agg(F.sum(F.length("words")).alias("bytes")).where(F.col("bytes") > HOT_BYTES)
+    sizes = segments.groupBy("m").agg(F.sum(F.length("words")).alias("bytes")).where(F.col("bytes") > HOT_BYTES)
     hot = written(sizes.select("m", F.ceil(F.col("bytes") * LENGTH / HOT_BYTES).cast("int").alias("parts")), "hot-minimizers")
     dealt = counted.select("m", F.lit(0).alias("part"), F.lit(0).alias("at"), "words", "c", "s")
     if not hot.isEmpty():
