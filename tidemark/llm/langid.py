@@ -139,9 +139,10 @@ def train(labelled: DataFrame, order: Column, text_col: str = "text", lang_col:
     The driver holds up to `sample` sparse count vectors a language, as many as languages have labels. Rows without text or language aren't used. Whole texts are counted where they are; only counts reach the driver.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), order.alias("o"), F.col(text_col).alias("text"))
-    # By a hash, about twice as many of each language as are wanted; the driver keeps the first of these.
+    # By a hash, about twice as many of each language as are wanted; the driver keeps the first of these. What is
+    # broadcast has a row for each language; the driver gets sample * 16 kB of counts for each.
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2 * sample + 8) / F.count(F.lit(1))).alias("share"))
-    picked = rows.join(share, "lang").where(F.pmod("o", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("lang", "o", "text")
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod("o", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("lang", "o", "text")
     got: dict[str, list[tuple[int, bytes]]] = {}
     for r in picked.mapInArrow(_counted, "lang string, o long, tf binary").toLocalIterator():
         got.setdefault(r["lang"], []).append((r["o"] % (1 << 30), bytes(r["tf"])))
