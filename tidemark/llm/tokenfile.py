@@ -22,6 +22,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,11 @@ from tidemark.llm.common import documents, written
 
 END_ID = 2
 #: Ids of a block: at most; and at least, where a record has fewer than LANES blocks otherwise.
-BLOCK, SHORT_BLOCK, LANES = 8192, 2048, 512
+BLOCK, SHORT_BLOCK, LANES = 8192, 2048, 768
 #: Ids in a record, about: what one task holds at a time.
 RECORD = BLOCK * 768
-#: Runs that each half of the cache of ids holds.
-CACHE = 150_000
+#: Runs that each half of the cache of ids holds, and runs that the library encodes at once.
+CACHE, JOINED = 250_000, 1024
 MAGIC = b"TMTL"
 _TABLE, _PREC = 1024, 20
 #: Ids are coded by their bits above 12, the 6 below and the last 6.
@@ -81,10 +82,14 @@ class LibraryIds:
                 fresh.append(run)
             else:
                 young[run] = ids
-        for k in range(0, len(fresh), 1 << 14):
-            part = fresh[k : k + (1 << 14)]
-            for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[run] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(fresh), JOINED):
+            part = fresh[k : k + JOINED]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            # Each id belongs to the run that it starts in.
+            starts = np.r_[0, np.cumsum([len(run) + 1 for run in part])]
+            cuts = (4 * np.searchsorted(np.fromiter((at for at, _ in e.offsets), np.int64, len(e.ids)), starts)).tolist()
+            ids = np.array(e.ids, "<u4").tobytes()
+            young.update(zip(part, [ids[x:y] for x, y in pairwise(cuts)], strict=True))
         out = [b"".join(map(young.__getitem__, runs)) for runs in cut]
         for run in unseen:
             if len(run) > CACHED_LENGTH:
