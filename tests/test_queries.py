@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import joins, sequential
 from tidemark.operators import statistics as S
 from tidemark.operators import windows as W
-from tidemark.plans import registry, studies  # noqa: F401 - studies registers its queries
+from tidemark.plans import books, registry, research, studies  # noqa: F401 - these register their queries
 from tidemark.sources import archive
 
 SF = "/root/testdata/sf0.001"
@@ -101,11 +101,11 @@ def test_raw_archive_keeps_what_can_be_read(spark, tmp_path):
     (tmp_path / "books-00.jsonl.gz").write_bytes(gzip.compress(line(1) + b"junk\n") + gzip.compress(line(2)) + torn[:-12])
     rows = archive.read_raw_archive(spark, str(tmp_path)).collect()
     assert {1, 2} <= {r.t for r in rows if r.t is not None}
-    assert {"line", "torn"} <= {r.damage for r in rows if r.damage}
+    assert {"line", "tail"} <= {r.damage for r in rows if r.damage}
 
 
 def test_klines_with_header_and_microseconds(spark, tmp_path):
-    (tmp_path / "k.csv").write_text("open_time,open,high,low,close,volume,close_time,a,b,c,d\n1700000000000000,1,2,1,2,5,1700000059999000,1,1,1,1\n1700000000000,1,2,1,2,5,1700000059999,1,1,1,1\nbad,row\n")
+    (tmp_path / "K-1m.csv").write_text("open_time,open,high,low,close,volume,close_time,a,b,c,d\n1700000000000000,1,2,1,2,5,1700000059999000,1,1,1,1\n1700000000000,1,2,1,2,5,1700000059999,1,1,1,1\nbad,row\n")
     rows = archive.read_klines(spark, str(tmp_path)).collect()
     assert {r.close_time for r in rows} == {1700000059999}
 

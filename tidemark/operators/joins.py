@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.moments import corr
-
 
 def _both(left: DataFrame, right: DataFrame, key: str, values: list[str], tie: str, lag_ms: int = 0) -> DataFrame:
     """Rows of both sides in one frame: is_left, ts to look up at, payload r (null on the left)."""
@@ -22,6 +22,8 @@ def left_struct(df: DataFrame) -> str:
     return df.schema.simpleString()
 
 
+#: Bands that are broadcast, at most.
+MOST_BANDS = 10_000
 #: As-of joins sort this much time of a key in one task; what lies before comes from one row a bucket.
 BUCKET_MS = 86_400_000
 
@@ -80,8 +82,15 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, ahead_ms: i
 def band_join(df: DataFrame, bands: DataFrame, value: str, low: str, high: str, out: list[str]) -> DataFrame:
     """Columns `out` of the band that holds a value (low exclusive, high inclusive); below the first band the first, above the last the last.
 
-    Bands are a small table by nature; they become one sorted array in a single row, and rows look it up in place.
+    Up to MOST_BANDS bands become one sorted array in a single row that rows look up in place; more are joined as of
+    their upper ends.
     """
+    if bands.limit(MOST_BANDS + 1).count() > MOST_BANDS:
+        last = bands.agg(F.max_by(F.struct(*out), high).alias("_last"))
+        marks = bands.select(F.lit(0).alias("_k"), F.col(high).alias("ts"), F.col(low).alias("_low"), *out)
+        left = df.select(F.struct(*df.columns).alias("_row"), F.lit(0).alias("_k"), F.col(value).cast("double").alias("ts"))
+        found = asof_forward(left, marks, "_k", out, tie="_low", bucket_ms=1)
+        return found.join(F.broadcast(last)).select("_row.*", *[F.when(F.col("r_ts").isNull(), F.col(f"_last.{c}")).otherwise(F.col(f"r_{c}")).alias(c) for c in out])
     table = bands.agg(F.array_sort(F.collect_list(F.struct(low, high, *out))).alias("_bands"))
     inside = F.filter("_bands", lambda b: F.col(value) <= b[high])
     found = F.coalesce(F.get(inside, F.lit(0)), F.element_at("_bands", -1))
@@ -115,11 +124,43 @@ def offset_join(df: DataFrame, key: str, at: str, offset: int, values: list[str]
     return df.join(o, [key, at], "left")
 
 
-def pair_correlations(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Pearson correlation of each two keys over the times both have, from products joined on time."""
-    a = df.select(F.col(at), F.col(key).alias("a"), F.col(value).alias("x")).where("x is not null")
-    b = df.select(F.col(at), F.col(key).alias("b"), F.col(value).alias("y")).where("y is not null")
-    return a.join(b, at).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("corr"))
+def pair_correlations(df: DataFrame, key: str, at: str, value: str, block: int = 512, span: int = 4096, least: float | None = None) -> DataFrame:
+    """Pearson correlation of each two keys over the times both have; null where a side doesn't vary.
+
+    Keys are dealt to blocks and times to spans; the matrices of each two blocks meet once a span and give the sums of
+    all their pairs as products. With `least`, only pairs correlated that much go out.
+    """
+    kind = dict(df.dtypes)[key]
+    x = df.select(F.col(key).alias("k"), F.col(at).alias("t"), F.col(value).cast("double").alias("v")).where("v is not null")
+    blocks = max(1, -(-x.select("k").distinct().count() // block))
+    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.greatest(own, o) * blocks + F.least(own, o)))
+    x = x.select("k", "t", "v", own.alias("own"), F.floor(F.col("t") / span).alias("cell"), part.alias("part"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Cells are one row per key and time.
+        at_k, keys = pd.factorize(pdf["k"], sort=True)
+        at_t, times = pd.factorize(pdf["t"])
+        v, has = np.zeros((len(keys), len(times))), np.zeros((len(keys), len(times)))
+        v[at_k, at_t], has[at_k, at_t] = pdf["v"], 1.0
+        n, sx, sxx, sxy = has @ has.T, v @ has.T, (v * v) @ has.T, v @ v.T
+        home = np.zeros(len(keys), np.int64)
+        home[at_k] = pdf["own"]
+        i, j = np.triu_indices(len(keys), 1)
+        first = int(pdf["part"].iloc[0])
+        mixed = first // blocks != first % blocks  # pairs within one block belong to that block's own part
+        keep = (n[i, j] > 0) & ((home[i] != home[j]) if mixed else True)
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"a": keys[i], "b": keys[j], "n": n[i, j].astype(np.int64), "sx": sx[i, j], "sy": sx[j, i], "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    s = x.groupBy("cell", "part").applyInPandas(run, f"a {kind}, b {kind}, n long, " + ", ".join(f"{c} double" for c in sums[1:]))
+    s = s.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in sums)
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    still = (vx <= 1e-12 * n * sxx) | (vy <= 1e-12 * n * syy)
+    out = s.select("a", "b", "n", F.when(~still, (n * sxy - sx * sy) / F.sqrt(vx * vy)).alias("corr"))
+    return out if least is None else out.where(F.col("corr") >= least)
 
 
 def null_safe_all(cols: list[str]) -> Column:

@@ -98,12 +98,29 @@ def concentration(df: DataFrame, key: str, value: str, top: int) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("keys"), F.sum("_s").alias("total"), (F.sum(F.when(F.col("_r") <= top, F.col("_s"))) / F.sum("_s")).alias("top_share"))
 
 
-def purged_split(df: DataFrame, at: str, horizon: int, train: float = 0.7) -> DataFrame:
-    """df with `part`: train up to a share of the time span, test from a horizon later; what lies between is purged."""
-    ends = df.agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
-    cut = F.floor(F.col("_a") + (F.col("_b") - F.col("_a")) * train)
-    part = F.when(F.col(at) <= cut, "train").when(F.col(at) > cut + horizon, "test").otherwise("purged")
-    return df.join(F.broadcast(ends)).withColumn("part", part).drop("_a", "_b")
+def purged_split(df: DataFrame, by: list[str], at: str, purge: int, train: float = 0.7, valid: float = 0.0) -> DataFrame:
+    """df with `part`: of each series' rows in time the first share is train, then valid (if any), then test; the `purge` rows after a cut belong to none."""
+    w = Window.partitionBy(*by)
+    i, n = F.row_number().over(w.orderBy(at)), F.count(F.lit(1)).over(w)
+    one, two = F.floor(n * train), F.floor(n * round(train + valid, 12))
+    part = F.when(i <= one, "train")
+    if valid:
+        part = part.when((i > one + purge) & (i <= two), "valid")
+    return df.withColumn("part", part.when(i > two + purge, "test").otherwise("purged"))
+
+
+def calendar_split(df: DataFrame, at: str, horizon: int, train: float = 0.7) -> DataFrame:
+    """df with `part` by one time for all series: the order statistic of all rows' times at a share of them.
+
+    Test starts there; train ends a horizon earlier. Times are counted before they are put in order, so the order is
+    over distinct times.
+    """
+    times = df.groupBy(F.col(at).alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_t"))  # one row a time
+    n = F.sum("_c").over(Window.partitionBy())
+    cut = times.select("_t", before.alias("_s"), F.least(n - 1, F.floor(n * train)).alias("_i")).where("_s > _i").agg(F.min("_t").alias("_cut"))
+    part = F.when(F.col(at) >= F.col("_cut"), "test").when(F.col(at) + horizon <= F.col("_cut"), "train").otherwise("purged")
+    return df.join(F.broadcast(cut)).withColumn("part", part).drop("_cut")
 
 
 def standardise(df: DataFrame, cols: list[str], train: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.moments import corr
+from tidemark.functions.draws import digest, drawn
 from tidemark.operators import joins
 from tidemark.operators import windows as W
 from tidemark.operators.statistics import effective_t, global_rank, pearson
@@ -91,14 +92,18 @@ def markouts(fills: DataFrame, touches: DataFrame, key: str, horizons_ms: list[i
 
 
 def cancel_share(touches: DataFrame, trades: DataFrame, key: str) -> DataFrame:
-    """Per key, at the bid: the share of the size that left an unchanged touch without having been traded there."""
+    """Per key and side: the share of the size that left an unchanged touch without having been traded there."""
     o = Window.partitionBy(key).orderBy("ts", "seq")
-    q = touches.withColumn("_px", F.lead("bid").over(o)).withColumn("_sz", F.lead("bid_sz").over(o))
-    q = q.withColumn("depleted", F.when((F.col("_px") == F.col("bid")) & (F.col("_sz") < F.col("bid_sz")), F.col("bid_sz") - F.col("_sz")).otherwise(0.0))
-    t = joins.asof_backward(trades.where("not is_buy"), q.withColumn("id", F.col("seq")), key, ["id", "bid"], keep_unmatched=False)
-    at = t.where(F.abs(F.col("price") - F.col("r_bid")) <= F.abs("r_bid") * 1e-9).groupBy(F.col("r_id").alias("seq")).agg(F.sum("size").alias("traded"))
-    j = q.where("depleted > 0").join(at, "seq", "left").fillna(0.0, ["traded"])
-    return j.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.greatest(F.lit(0.0), F.col("depleted") - F.col("traded"))) / F.sum("depleted")).alias("share"))
+
+    def one(side: str, px: str, sz: str, hits: Column) -> DataFrame:
+        q = touches.withColumn("_px", F.lead(px).over(o)).withColumn("_sz", F.lead(sz).over(o))
+        q = q.withColumn("depleted", F.when((F.col("_px") == F.col(px)) & (F.col("_sz") < F.col(sz)), F.col(sz) - F.col("_sz")).otherwise(0.0))
+        t = joins.asof_backward(trades.where(hits), q.withColumn("id", F.col("seq")), key, ["id", px], keep_unmatched=False)
+        at = t.where(F.abs(F.col("price") - F.col(f"r_{px}")) <= F.abs(f"r_{px}") * 1e-9).groupBy(F.col("r_id").alias("seq")).agg(F.sum("size").alias("traded"))
+        j = q.where("depleted > 0").join(at, "seq", "left").fillna(0.0, ["traded"])
+        return j.groupBy(key, F.lit(side).alias("side")).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.greatest(F.lit(0.0), F.col("depleted") - F.col("traded"))) / F.sum("depleted")).alias("share"))
+
+    return one("bid", "bid", "bid_sz", ~F.col("is_buy")).unionByName(one("ask", "ask", "ask_sz", F.col("is_buy")))
 
 
 def grid_asof(df: DataFrame, key: str, step: int, values: list[str], stale_ms: int) -> DataFrame:
@@ -141,7 +146,7 @@ def block_bootstrap(values: DataFrame, at: str, value: str, length: int, draws:
     n = v.agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("mean"))
     spark = values.sparkSession
     picks = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(n)).where(F.col("_n") >= length).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / length))))
-    start = F.pmod(F.xxhash64(F.lit(seed), "draw", "_b"), F.col("_n") - length + 1)
+    start = drawn(F.col("_n") - length + 1, F.lit(seed), "draw", "_b")
     rows = picks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).where(F.col("_b") * length + F.col("_k") < F.col("_n")).select("draw", "_n", "mean", (start + F.col("_k")).alias("_i"))
     means = rows.join(v, "_i").groupBy("draw").agg(F.avg("_v").alias("_m"), F.first("mean").alias("mean"), F.first("_n").alias("_n"))
     return means.agg(F.first("_n").alias("n"), F.first("mean").alias("mean"), F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi"), F.count(F.lit(1)).alias("draws"))
@@ -150,7 +155,7 @@ def block_bootstrap(values: DataFrame, at: str, value: str, length: int, draws:
 def shuffled_scores(df: DataFrame, at: str, key: str, score: str, seed: int) -> DataFrame:
     """df with the scores of each time dealt to its names anew: a control that keeps everything but who had which score."""
     own = F.row_number().over(Window.partitionBy(at).orderBy(key))
-    dealt = F.row_number().over(Window.partitionBy(at).orderBy(F.xxhash64(F.lit(seed), at, key), key))
+    dealt = F.row_number().over(Window.partitionBy(at).orderBy(digest(F.lit(seed), at, key), key))
     d = df.where(F.col(score).isNotNull()).withColumn("_i", own).withColumn("_j", dealt)
     other = d.select(at, F.col("_j").alias("_i"), F.col(score).alias("shuffled"))
     return d.join(other, [at, "_i"]).drop("_i", "_j")

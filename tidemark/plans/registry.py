@@ -161,12 +161,13 @@ def pair_correlation(s, d):
     return r6(joins.pair_correlations(_returns(s, d), "symbol", "t", "ret"))
 
 
-@query("correlation_clusters", sql(f""", {_RET}, c AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS corr FROM r a JOIN r b ON a.t = b.t AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2),
-l AS (SELECT a, b FROM c WHERE corr >= 0.25 UNION ALL SELECT b, a FROM c WHERE corr >= 0.25), g AS (SELECT DISTINCT symbol AS a, symbol AS b FROM panel UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b)
+@query("correlation_clusters", sql(f""", {_RET}, x AS (SELECT symbol, t, ret - avg(ret) OVER (PARTITION BY t) AS x FROM r WHERE ret IS NOT NULL), o AS (SELECT symbol FROM x GROUP BY 1 HAVING count(*) >= 20),
+c AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.x, b.x) AS corr FROM x a JOIN x b ON a.t = b.t AND a.symbol < b.symbol WHERE a.symbol IN (FROM o) AND b.symbol IN (FROM o) GROUP BY 1, 2 HAVING count(*) >= 20),
+l AS (SELECT a, b FROM c WHERE corr >= 0.3 UNION ALL SELECT b, a FROM c WHERE corr >= 0.3), g AS (SELECT DISTINCT symbol AS a, symbol AS b FROM panel UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b)
 SELECT a AS symbol, min(b) AS cluster FROM g GROUP BY 1""", "panel").replace("WITH", "WITH RECURSIVE", 1))
 def correlation_clusters(s, d):
-    r = _returns(s, d)
-    return sequential.clusters(joins.pair_correlations(r, "symbol", "t", "ret"), r.select("symbol").distinct(), "symbol", 0.25)
+    # Suppliers' prices move alike far less than coins': 0.3 in place of the operator's 0.75 leaves some links.
+    return sequential.correlated_groups(_returns(s, d), "symbol", "t", "ret", least=0.3)
 
 
 # Windows -----------------------------------------------------------------------------------------------------------
@@ -390,17 +391,31 @@ def concentration(s, d):
 
 
 @query("purged_split", sql("""
-, e AS (SELECT min(t) AS a, max(t) AS b FROM panel), c AS (SELECT floor(a + (b - a) * 0.7) AS cut FROM e)
-SELECT CASE WHEN t <= cut THEN 'train' WHEN t > cut + 6 THEN 'test' ELSE 'purged' END AS part, count(*) AS n, min(t) AS first, max(t) AS last FROM panel, c GROUP BY 1""", "panel"))
+, k AS (SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM panel)
+SELECT symbol, CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i > floor(n * 0.7) + 6 THEN 'test' ELSE 'purged' END AS part, count(*) AS n, min(t) AS first, max(t) AS last FROM k GROUP BY 1, 2""", "panel"))
 def purged_split(s, d):
-    return S.purged_split(V.panel(s, d), "t", 6).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    return S.purged_split(V.panel(s, d), ["symbol"], "t", 6).groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+@query("three_way_split", sql("""
+, k AS (SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM panel)
+SELECT symbol, CASE WHEN i <= floor(n * 0.6) THEN 'train' WHEN i > floor(n * 0.6) + 3 AND i <= floor(n * 0.8) THEN 'valid' WHEN i > floor(n * 0.8) + 3 THEN 'test' ELSE 'purged' END AS part, count(*) AS n FROM k GROUP BY 1, 2""", "panel"))
+def three_way_split(s, d):
+    return S.purged_split(V.panel(s, d), ["symbol"], "t", 3, 0.6, 0.2).groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("calendar_split", sql("""
+, o AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM panel), c AS (SELECT min(t) AS cut FROM o WHERE i = least(n - 1, floor(n * 0.7)))
+SELECT symbol, CASE WHEN t >= cut THEN 'test' WHEN t + 6 <= cut THEN 'train' ELSE 'purged' END AS part, count(*) AS n FROM panel, c GROUP BY 1, 2""", "panel"))
+def calendar_split(s, d):
+    return S.calendar_split(V.panel(s, d), "t", 6).groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("standardised", sql("""
-, e AS (SELECT min(t) AS a, max(t) AS b FROM panel), c AS (SELECT floor(a + (b - a) * 0.7) AS cut FROM e), m AS (SELECT avg(funding) AS m, stddev_pop(funding) AS s FROM panel, c WHERE t <= cut)
+, o AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM panel), c AS (SELECT min(t) AS cut FROM o WHERE i = least(n - 1, floor(n * 0.7))), m AS (SELECT avg(funding) AS m, stddev_pop(funding) AS s FROM panel, c WHERE t + 6 <= cut)
 SELECT t, symbol, round((funding - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END, 6) AS funding FROM panel, m""", "panel"))
 def standardised(s, d):
-    p = S.purged_split(V.panel(s, d), "t", 6)
+    p = S.calendar_split(V.panel(s, d), "t", 6)
     return r6(S.standardise(p, ["funding"], F.col("part") == "train").select("t", "symbol", "funding"))
 
 
@@ -430,7 +445,10 @@ def range_fade(s, d):
     return r6(sequential.range_fade(V.bars(s, d), "symbol", 8, 12))
 
 
-@query("within_day_shuffle")
+@query("within_day_shuffle", sql("""
+, b AS (SELECT symbol, ts, close, (ts - 1) // 86400000 AS day, coalesce(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)), 0) AS step FROM bars),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY ts) AS i, row_number() OVER (PARTITION BY symbol, day ORDER BY md5('7:' || symbol || ':' || ts), ts) AS j FROM b)
+SELECT a.symbol, a.ts, a.close, round(exp(sum(o.step) OVER (PARTITION BY a.symbol ORDER BY a.ts ROWS UNBOUNDED PRECEDING)), 6) AS shuffled FROM n a JOIN n o ON o.symbol = a.symbol AND o.day = a.day AND o.j = a.i""", "bars"))
 def within_day_shuffle(s, d):
     return r6(sequential.within_day_shuffle(V.bars(s, d), "symbol", 7))
 

@@ -189,13 +189,19 @@ def weekly_blocks(s, d):
     return T.blocks(_returns(s, d).where("ret is not null"), "symbol", "t", "ret", 7).withColumn("total", F.round("total", 4))
 
 
-@query("block_bootstrap")
+@query("block_bootstrap", sql(f"""
+, {_RET}, m AS (SELECT t, avg(ret) AS v, row_number() OVER (ORDER BY t) - 1 AS i FROM r WHERE ret IS NOT NULL GROUP BY 1), n AS (SELECT count(*) AS n, avg(v) AS mean FROM m),
+p AS (SELECT draw, b, k, n, ('0x' || substr(md5('7:' || draw || ':' || b), 1, 8))::BIGINT % (n - 3) + k AS i FROM n, unnest(range(1000)) x(draw), unnest(range(0, (n - 1) // 4 + 1)) y(b), unnest(range(4)) z(k) WHERE b * 4 + k < n),
+d AS (SELECT draw, avg(v) AS v FROM p JOIN m USING (i) GROUP BY 1)
+SELECT any_value(n) AS n, round(any_value(mean), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(*) AS draws FROM d, n""", "panel"))
 def block_bootstrap(s, d):
     m = _returns(s, d).where("ret is not null").groupBy("t").agg(F.avg("ret").alias("market"))
     return r6(T.block_bootstrap(m, "t", "market", 4, 1000, 7))
 
 
-@query("shuffled_scores")
+@query("shuffled_scores", sql("""
+, d AS (SELECT t, symbol, funding, row_number() OVER (PARTITION BY t ORDER BY symbol) AS i, row_number() OVER (PARTITION BY t ORDER BY md5('7:' || t || ':' || symbol), symbol) AS j FROM panel WHERE funding IS NOT NULL)
+SELECT a.t, a.symbol, a.funding, b.funding AS shuffled FROM d a JOIN d b ON b.t = a.t AND b.j = a.i""", "panel"))
 def shuffled_scores(s, d):
     return T.shuffled_scores(V.panel(s, d), "t", "symbol", "funding", 7).select("t", "symbol", "funding", "shuffled")
 
@@ -222,13 +228,15 @@ def markouts(s, d):
 
 
 @query("cancel_share", sql("""
-, q AS (SELECT inst, ts, seq, floor(bid / 50) * 50 AS bid, bid_sz FROM touches), n AS (SELECT *, lead(bid) OVER o AS px, lead(bid_sz) OVER o AS sz FROM q WINDOW o AS (PARTITION BY inst ORDER BY ts, seq)),
-d AS (SELECT *, bid_sz - sz AS depleted FROM n WHERE px = bid AND sz < bid_sz),
-t AS (SELECT n.seq, sum(t.size) AS traded FROM trades t ASOF JOIN n ON n.inst = t.inst AND n.ts <= t.ts WHERE NOT t.is_buy AND abs(floor(t.price / 50) * 50 - n.bid) <= abs(n.bid) * 1e-9 GROUP BY 1)
-SELECT inst, count(*) AS n, round(sum(greatest(0, depleted - coalesce(traded, 0))) / sum(depleted), 6) AS share FROM d LEFT JOIN t USING (seq) GROUP BY 1""", "touches", "trades"))
+, q AS (SELECT inst, ts, seq, floor(bid / 50) * 50 AS bid, bid_sz, floor(ask / 50) * 50 AS ask, ask_sz FROM touches),
+u AS (SELECT inst, ts, seq, 'bid' AS side, bid AS px, bid_sz AS sz FROM q UNION ALL SELECT inst, ts, seq, 'ask', ask, ask_sz FROM q),
+n AS (SELECT *, lead(px) OVER o AS npx, lead(sz) OVER o AS nsz FROM u WINDOW o AS (PARTITION BY inst, side ORDER BY ts, seq)), d AS (SELECT *, sz - nsz AS depleted FROM n WHERE npx = px AND nsz < sz),
+h AS (SELECT inst, ts, size, floor(price / 50) * 50 AS price, CASE WHEN is_buy THEN 'ask' ELSE 'bid' END AS side FROM trades),
+t AS (SELECT n.seq, n.side, sum(h.size) AS traded FROM h ASOF JOIN n ON n.inst = h.inst AND n.side = h.side AND n.ts <= h.ts WHERE abs(h.price - n.px) <= abs(n.px) * 1e-9 GROUP BY 1, 2)
+SELECT inst, side, count(*) AS n, round(sum(greatest(0, depleted - coalesce(traded, 0))) / sum(depleted), 6) AS share FROM d LEFT JOIN t USING (seq, side) GROUP BY 1, 2""", "touches", "trades"))
 def cancel_share(s, d):
     level = lambda c: F.floor(F.col(c) / 50) * 50.0
-    return r6(T.cancel_share(V.touches(s, d).withColumn("bid", level("bid")), V.trades(s, d).withColumn("price", level("price")), "inst"))
+    return r6(T.cancel_share(V.touches(s, d).withColumn("bid", level("bid")).withColumn("ask", level("ask")), V.trades(s, d).withColumn("price", level("price")), "inst"))
 
 
 @query("venue_lag", sql("""

@@ -42,6 +42,13 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(in_ms(F.col("timestamp").try_cast("long")).alias("ts"), side("bids").alias("bids"), side("asks").alias("asks")).where("ts is not null")
 
 
+def read_tops(spark: SparkSession, path: str, ts: str = "transaction_time", columns: tuple[str, ...] = ("best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty")) -> DataFrame:
+    """(ts, bids, asks) of a top-of-book CSV: each row is a whole snapshot of one level a side; rows without both are dropped."""
+    raw = _csv(spark, path).select(in_ms(F.col(ts).try_cast("long")).alias("ts"), *[number(c).alias(f"_{k}") for k, c in enumerate(columns)]).dropna()
+    level = lambda p, q: F.array(F.struct(F.col(p).alias("price"), F.col(q).alias("size")))
+    return raw.select("ts", level("_0", "_1").alias("bids"), level("_2", "_3").alias("asks"))
+
+
 def implausible(bids: str = "bids", asks: str = "asks", ts: str = "ts") -> Column:
     """Everything wrong with a book row: stamp out of range, empty side, price not positive, levels out of order, bid not under ask."""
     b, a = F.col(bids), F.col(asks)

@@ -45,3 +45,20 @@ def coverage(df: DataFrame, key: str, ts: str, day_ms: int = 86_400_000) -> Data
     d = df.select(F.col(key), F.floor(F.col(ts) / day_ms).alias("_d")).distinct()
     ends = d.agg((F.max("_d") - F.min("_d") + 1).alias("expected"))
     return d.groupBy(key).agg(F.count(F.lit(1)).alias("days")).join(F.broadcast(ends)).withColumn("share", F.col("days") / F.col("expected"))
+
+
+def write_series(df: DataFrame, path: str, key: str, at: str) -> None:
+    """One folder of columnar files for each key, in time order inside; refuses a folder that already holds a table."""
+    df.repartition(key).sortWithinPartitions(key, at).write.mode("errorifexists").partitionBy(key).parquet(path)
+
+
+def write_dataset(df: DataFrame, path: str, features: list[str], targets: list[str], key: str, at: str, part: str = "part") -> None:
+    """Features, targets and the exact split of each row, for other runtimes; refuses a folder that already holds a table."""
+    df.select(key, at, part, *features, *targets).repartition(key).sortWithinPartitions(key, at).write.mode("errorifexists").partitionBy(key, part).parquet(path)
+
+
+def write_bar_features(df: DataFrame, path: str, columns: list[str], key: str, at: str) -> DataFrame:
+    """Writes the named columns, others ignored, and gives per key the number of rows and the first and last stamp."""
+    df.select(key, at, *columns).write.mode("errorifexists").parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    return out.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.min(at).alias("first"), F.max(at).alias("last"))
