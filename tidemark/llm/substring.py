@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import discard, documents, written
 
 LENGTH, GRAM = 35, 12
 #: Words of one index; a shard with more is indexed in pieces, cut between minimizers.
@@ -197,35 +197,34 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments (m, words, c, s, parts) of a hot minimizer as rows (m, part, at, words, c, s), one for each window: equal windows meet in one part."""
+    """Segments (m, parts, words, c, s) of a hot minimizer as rows (m, parts, s, at, window, c), one for each window."""
     for b in batches:
-        for m, words, c, s, parts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        for m, parts, words, c, s in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             w = words.split(b" ")
             cut = [b" ".join(w[k : k + LENGTH]) for k in range(len(w) - LENGTH + 1)]
-            part = [1 + xxh64_intdigest(x) % parts for x in cut]
-            same = lambda v, n=len(cut): [v] * n
-            yield pa.RecordBatch.from_arrays([pa.array(same(m), pa.int64()), pa.array(part, pa.int32()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary()), pa.array(same(c), pa.int64()), pa.array(same(s), pa.binary())], names=["m", "part", "at", "words", "c", "s"])
+            same = lambda v, t, n=len(cut): pa.array([v] * n, t)
+            yield pa.RecordBatch.from_arrays([same(m, pa.int64()), same(parts, pa.int32()), same(s, pa.binary()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary()), same(c, pa.int64())], names=["m", "parts", "s", "at", "window", "c"])
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (m, part, at, words, c, s), sorted by m and part; at: the words' place in their segment s. Gives (m, s, intervals in the segment)."""
-    held: list[tuple[int, int, int, bytes, int, bytes]] = []
+    """Rows (m, part, words, c, s), sorted by m and part. Gives (m, part, s, intervals in the words)."""
+    held: list[tuple[int, int, bytes, int, bytes]] = []
     size = 0
 
     def give(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = repeated_windows([r[3].split() for r in rows], [r[4] for r in rows])
-        kept = [(r[0], r[5], [(a + r[2], b + r[2]) for a, b in _intervals(w, LENGTH)]) for r, w in zip(rows, found, strict=True) if len(w)]
+        found = repeated_windows([r[2].split() for r in rows], [r[3] for r in rows])
+        kept = [(r[0], r[1], r[4], _intervals(w, LENGTH)) for r, w in zip(rows, found, strict=True) if len(w)]
         for k in range(0, len(kept), 4096):
-            m, s, iv = zip(*kept[k : k + 4096], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(s, pa.binary()), pa.array([[{"a": a, "b": b} for a, b in x] for x in iv], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["m", "s", "spans"])
+            m, part, s, iv = zip(*kept[k : k + 4096], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(part, pa.int32()), pa.array(s, pa.binary()), pa.array([[{"a": a, "b": b} for a, b in x] for x in iv], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["m", "part", "s", "spans"])
 
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+        for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if size >= INDEX_WORDS and held[-1][:2] != row[:2]:
                 yield from give(held)
                 held, size = [], 0
             held.append(row)
-            size += row[3].count(b" ") + 2
+            size += row[2].count(b" ") + 2
     if held:
         yield from give(held)
 
@@ -264,17 +263,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.k") == F.col("x.k"))
     holding = t.join(x, same).select("t.doc_id", "t.k", "t.text", "x.runs")
     segments = written(holding.mapInArrow(_segments, f"{key}, start int, m long, words binary"), "segments")
+    discard(slim)
     name = F.unhex(F.md5("words")).alias("s")
-    counted = segments.groupBy("m", "words").agg(F.count(F.lit(1)).alias("c")).select("m", "words", "c", name)
+    distinct = lambda df, *more: df.groupBy("m", *more, "words").agg(F.count(F.lit(1)).alias("c"))
     # A minimizer whose segments are more than an index holds is dealt window by window.
     sizes = segments.groupBy("m").agg(F.sum(F.length("words")).alias("bytes")).where(F.col("bytes") > HOT_BYTES)
     hot = written(sizes.select("m", F.ceil(F.col("bytes") * LENGTH / HOT_BYTES).cast("int").alias("parts")), "hot-minimizers")
-    dealt = counted.select("m", F.lit(0).alias("part"), F.lit(0).alias("at"), "words", "c", "s")
-    if not hot.isEmpty():
-        apart = counted.join(hot, "m").select("m", "words", "c", "s", "parts").mapInArrow(_windows, "m long, part int, at int, words binary, c long, s binary")
-        dealt = dealt.join(hot, "m", "left_anti").unionByName(apart)
-    dealt = dealt.repartition(parts, "m", "part").sortWithinPartitions("m", "part")
-    found = dealt.mapInArrow(_search, "m long, s binary, spans array<struct<a:int,b:int>>")
+    whole = lambda df: distinct(df).select("m", F.lit(0).alias("part"), "words", "c", name)
+    found_in = "m long, part int, s binary, spans array<struct<a:int,b:int>>"
+    search = lambda df: df.repartition(parts, "m", "part").sortWithinPartitions("m", "part").mapInArrow(_search, found_in)
+    if hot.isEmpty():
+        found = search(whole(segments)).select("m", "s", "spans")
+    else:
+        apart = distinct(segments.join(hot, "m"), "parts").select("m", "parts", "words", "c", name).mapInArrow(_windows, "m long, parts int, s binary, at int, window binary, c long")
+        # Equal windows become one with their count before they are dealt.
+        one = apart.groupBy("m", "parts", "window").agg(F.sum("c").alias("c"))
+        one = one.select("m", (1 + F.pmod(F.xxhash64("window"), F.col("parts"))).cast("int").alias("part"), F.col("window").alias("words"), "c", F.unhex(F.md5("window")).alias("s"))
+        found = written(search(whole(segments.join(hot, "m", "left_anti")).unionByName(one)), "found")
+        again = apart.select("m", "s", "at", F.unhex(F.md5("window")).alias("w")).join(found.where("part > 0").select("m", F.col("s").alias("w")), ["m", "w"])
+        spans = F.transform(F.collect_set("at"), lambda x: F.struct(x.alias("a"), (x + LENGTH).alias("b")))
+        found = found.where("part = 0").select("m", "s", "spans").unionByName(again.groupBy("m", "s").agg(spans.alias("spans")))
     hits = segments.select("doc_id", "k", "start", "m", name).join(found, ["m", "s"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     return hits.select("doc_id", "k", F.explode(moved).alias("s")).groupBy("doc_id", "k").agg(F.collect_set("s").alias("spans"))
