@@ -27,8 +27,8 @@ from tidemark.llm.common import discard, documents, written
 LENGTH, GRAM = 35, 12
 #: Words of one index; a shard with more is indexed in pieces, cut between minimizers.
 INDEX_WORDS = 1 << 20
-#: Bytes of one minimizer's distinct segments beyond which these are dealt to several shards.
-HOT_BYTES = 1 << 20
+#: Bytes of one minimizer's segments beyond which these are dealt to several shards: about what one index holds.
+HOT_BYTES = 8 * INDEX_WORDS
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
