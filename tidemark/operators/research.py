@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import drawn
+from tidemark.functions.moments import corr
 from tidemark.operators import joins
 
 
@@ -219,3 +221,79 @@ def seasonality(df: DataFrame, value: str, hour: Column, weekday: Column, year:
     d = d.select("_v", "_k.kind", "_k.slot", "year")
     g = d.groupingSets([["kind", "slot", "year"], ["kind", "slot"]], "kind", "slot", "year")
     return g.agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
+
+
+def gaussian_tail(k: Column) -> Column:
+    """Chance that a standard normal lies more than k (at least 0) from zero, by a rational approximation (error below 2e-7)."""
+    x = k / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-x * x)
+
+
+def touch_calibration(df: DataFrame, key: str, value: str, distances: list[float], most: float = 2.0) -> DataFrame:
+    """Per distance: the share of standardised values beyond it, a Gaussian's, their ratio, and `calibrated`: no ratio so far was off by more than `most`."""
+    w = Window.partitionBy(key)
+    z = df.where(F.col(value).isNotNull()).withColumn("_z", F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w))).where("_z is not null")
+    each = z.select(F.explode(F.array(*[F.struct(F.lit(d).alias("distance"), (F.abs("_z") > d).cast("double").alias("beyond")) for d in distances])).alias("_d")).select("_d.*")
+    g = each.groupBy("distance").agg(F.count(F.lit(1)).alias("n"), F.avg("beyond").alias("observed")).withColumn("gaussian", gaussian_tail(F.col("distance")))
+    g = g.withColumn("ratio", F.col("observed") / F.col("gaussian"))
+    bad = F.when((F.col("ratio") > most) | (F.col("ratio") < 1 / most), 1).otherwise(0)
+    return g.withColumn("calibrated", F.sum(bad).over(Window.orderBy("distance")) == 0)  # a row for each distance
+
+
+def threshold_short(df: DataFrame, key: str, at: str, rate: str, ret: str, least: float, delay: int) -> DataFrame:
+    """Per time: names whose rate `delay` times before was above `least`, and what being short of them made: the rate then, less the return since."""
+    o = Window.partitionBy(key).orderBy(at)
+    then = F.when(F.lag(at, delay).over(o) == F.col(at) - delay, F.lag(rate, delay).over(o))
+    d = df.withColumn("_r", then).where((F.col("_r") > least) & F.col(ret).isNotNull())
+    return d.groupBy(at).agg(F.count(F.lit(1)).alias("names"), F.avg(F.col("_r") - F.col(ret)).alias("net"))
+
+
+def sharpe(df: DataFrame, value: str, per_year: float) -> DataFrame:
+    """Periods, mean and yearly Sharpe ratio of a series (a row a period)."""
+    return df.agg(F.count(value).alias("periods"), F.avg(value).alias("mean"), (F.try_divide(F.avg(value), F.stddev_samp(value)) * math.sqrt(per_year)).alias("sharpe"))
+
+
+def latest_states(df: DataFrame, key: str, part: str, at: str, values: list[str]) -> DataFrame:
+    """Per key the last state of each of its parts in force, as a fingerprint: number of parts and an MD5 over them in order."""
+    last = df.groupBy(key, part).agg(F.max_by(F.struct(*values), F.struct(at, *values)).alias("_s"))
+    text = F.concat_ws(":", F.col(part).cast("string"), *[F.format_string("%.6f", F.col(f"_s.{v}").cast("double")) for v in values])
+    return last.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), F.md5(F.concat_ws("|", F.array_sort(F.collect_list(text)))).alias("fingerprint"))
+
+
+def book_scorecard(positions: DataFrame, key: str, size: str, value: str, most_net: float = 0.02) -> DataFrame:
+    """Per book: gross, net (signed by size), net as a share of gross, and whether that is more than it should be."""
+    g = positions.groupBy(key).agg(F.sum(F.abs(value)).alias("gross"), F.sum(F.signum(size) * F.abs(value)).alias("net"))
+    share = F.try_divide("net", "gross")
+    return g.withColumn("net_frac", share).withColumn("alert", F.coalesce(F.abs(share) > most_net, F.lit(False)))
+
+
+def leakage_flags(df: DataFrame, features: list[str], target: str, most: float = 0.2) -> DataFrame:
+    """Per feature: rows, rank correlation with the target over all rows, and whether it is too good to be true."""
+    out = None
+    for f in features:
+        r = df.where(F.col(f).isNotNull() & F.col(target).isNotNull()).select(F.col(f).alias("_x"), F.col(target).alias("_y"))
+        for c in ("_x", "_y"):  # ranks from counts of values: no task sorts the rows
+            v = r.groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
+            v = v.withColumn(f"{c}r", F.sum("_c").over(Window.orderBy(c)) - (F.col("_c") - 1) / 2).drop("_c")
+            r = r.join(v, c)
+        one = r.agg(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"), corr("_xr", "_yr").alias("ic")).withColumn("suspicious", F.coalesce(F.abs("ic") > most, F.lit(False)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def harness(df: DataFrame, key: str, x1: str, x2: str, y: str, alpha: float) -> DataFrame:
+    """One ridge fitted to the training rows of all names, judged by name: rank correlation of its predictions with the outcome on the test rows."""
+    fit = ridge_two(df.where("part = 'train'").withColumn("_all", F.lit(0)), ["_all"], x1, x2, y, alpha)
+    test = df.where((F.col("part") == "test") & F.col(x1).isNotNull() & F.col(x2).isNotNull() & F.col(y).isNotNull())
+    p = test.join(F.broadcast(fit.select("b1", "b2", "intercept"))).withColumn("_p", F.round(F.col("intercept") + F.col("b1") * F.col(x1) + F.col("b2") * F.col(x2), 9))
+    w = Window.partitionBy(key)
+    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(key, c)) - 1) / 2
+    return p.withColumn("_a", rank("_p")).withColumn("_b", rank(y)).groupBy(key).agg(F.count(F.lit(1)).alias("n"), corr("_a", "_b").alias("ic"))
+
+
+def varying(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that vary: more than one value, nulls aside."""
+    one = df.agg(*[(F.max(c) > F.min(c)).alias(c) for c in columns]).first()
+    return [c for c in columns if one[c]]

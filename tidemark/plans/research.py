@@ -211,3 +211,76 @@ SELECT symbol, ts, round(ln(close / open) * 1e4, 6) AS ret, CASE WHEN close > op
 def sql_function_query(s, d):
     sql_functions.register(s)
     return r6(V.bars(s, d).selectExpr("symbol", "ts", "log_return_bps(open, close) AS ret", "ternary_label(open, close, 10) AS label", "log_blend(high, low, 0.5) AS centre", "range_place(close, high, low) AS place"))
+
+
+_TAIL = "(1 / (1 + 0.3275911::DOUBLE * k / sqrt(2)))"
+_GAUSS = f"({_TAIL} * (0.254829592::DOUBLE + {_TAIL} * (-0.284496736::DOUBLE + {_TAIL} * (1.421413741::DOUBLE + {_TAIL} * (-1.453152027::DOUBLE + {_TAIL} * 1.061405429::DOUBLE)))) * exp(-k * k / 2))"
+
+
+@query("touch_calibration", sql(f"""
+, {_RET}, z AS (SELECT abs(ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0) AS z FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY symbol)),
+g AS (SELECT k, count(*) AS n, avg(CASE WHEN z > k THEN 1.0::DOUBLE ELSE 0 END) AS observed, any_value({_GAUSS}) AS gaussian FROM z, unnest([0.5::DOUBLE, 1, 1.5, 2, 2.5, 3]) u(k) WHERE z IS NOT NULL GROUP BY 1)
+SELECT k AS distance, n, round(observed, 6) AS observed, round(gaussian, 6) AS gaussian, round(observed / gaussian, 6) AS ratio,
+       sum(CASE WHEN observed / gaussian > 2 OR observed / gaussian < 0.5 THEN 1 ELSE 0 END) OVER (ORDER BY k) = 0 AS calibrated FROM g""", "panel"))
+def touch_calibration(s, d):
+    return r6(R.touch_calibration(_returns(s, d), "symbol", "ret", [0.5, 1.0, 1.5, 2.0, 2.5, 3.0]))
+
+
+@query("threshold_short", sql(f"""
+, {_RET}, x AS (SELECT symbol, t, ret, CASE WHEN lag(t, 1) OVER o = t - 1 THEN lag(funding, 1) OVER o END AS f FROM r WINDOW o AS (PARTITION BY symbol ORDER BY t)),
+g AS (SELECT t, count(*) AS names, avg(f - ret) AS net FROM x WHERE f > 5 AND ret IS NOT NULL GROUP BY 1)
+SELECT count(net) AS periods, round(avg(net), 6) AS mean, round(avg(net) / stddev_samp(net) * sqrt(12), 6) AS sharpe FROM g""", "panel"))
+def threshold_short(s, d):
+    return r6(R.sharpe(R.threshold_short(_returns(s, d), "symbol", "t", "funding", "ret", 5.0, 1), "net", 12.0))
+
+
+@query("latest_states", """
+WITH p AS (SELECT l_suppkey AS k, l_returnflag AS part, arg_max({'q': l_quantity, 'v': l_extendedprice}, {'t': l_shipdate, 'q': l_quantity, 'v': l_extendedprice}) AS s FROM lineitem GROUP BY 1, 2)
+SELECT k AS account, count(*) AS parts, md5(string_agg(part || ':' || printf('%.6f', s.q) || ':' || printf('%.6f', s.v), '|' ORDER BY part)) AS fingerprint FROM p GROUP BY 1""")
+def latest_states(s, d):
+    return R.latest_states(V.table(s, d, "lineitem").withColumnRenamed("l_suppkey", "account"), "account", "l_returnflag", "l_shipdate", ["l_quantity", "l_extendedprice"])
+
+
+@query("book_scorecard", sql("""
+, g AS (SELECT coin, sum(abs(value)) AS gross, sum(sign(size) * abs(value)) AS net FROM positions GROUP BY 1)
+SELECT coin, round(gross, 2) AS gross, round(net, 2) AS net, round(net / gross, 6) AS net_frac, abs(net / gross) > 0.02 AS alert FROM g""", "positions"))
+def book_scorecard(s, d):
+    c = R.book_scorecard(V.positions(s, d), "coin", "size", "value")
+    return c.select("coin", F.round("gross", 2).alias("gross"), F.round("net", 2).alias("net"), V.rounded(F.col("net_frac")).alias("net_frac"), "alert")
+
+
+_LEAK = "(SELECT '{0}' AS feature, count(*) AS n, corr(a, b) AS ic FROM (SELECT rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM xy WHERE {0} IS NOT NULL AND y IS NOT NULL))"
+
+
+@query("leakage_flags", sql(f"""
+, {_RET}, xy AS (SELECT funding, taker, round(ret, 6) AS ret, round(ret, 6) AS y FROM r), l AS ({' UNION ALL '.join(_LEAK.format(c) for c in ('funding', 'taker', 'ret'))})
+SELECT feature, n, round(ic, 6) AS ic, abs(ic) > 0.2 AS suspicious FROM l""", "panel"))
+def leakage_flags(s, d):
+    r = _returns(s, d).withColumn("ret", F.round(F.col("ret") + 1e-9, 6)).withColumn("y", F.col("ret"))
+    return r6(R.leakage_flags(r, ["funding", "taker", "ret"], "y"))
+
+
+@query("harness", sql(f"""
+, {_RET}, y0 AS (SELECT *, round(lead(ret) OVER (PARTITION BY symbol ORDER BY t), 6) AS y FROM r), o AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM panel), c AS (SELECT min(t) AS cut FROM o WHERE i = least(n - 1, floor(n * 0.7))),
+g AS (SELECT count(*) AS n, avg(funding) AS m0, avg(taker) AS m1, avg(y) AS m2, var_pop(funding) * count(*) + 10 AS a, covar_pop(funding, taker) * count(*) AS b, var_pop(taker) * count(*) + 10 AS c, covar_pop(funding, y) * count(*) AS d, covar_pop(taker, y) * count(*) AS e
+      FROM y0, c WHERE t + 2 <= cut AND y IS NOT NULL AND funding IS NOT NULL AND taker IS NOT NULL),
+f AS (SELECT (c * d - b * e) / (a * c - b * b) AS b1, (a * e - b * d) / (a * c - b * b) AS b2, m0, m1, m2 FROM g),
+p AS (SELECT symbol, y, round(m2 - b1 * m0 - b2 * m1 + b1 * funding + b2 * taker, 9) AS p FROM y0, f, c WHERE t >= cut AND y IS NOT NULL AND funding IS NOT NULL AND taker IS NOT NULL),
+k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY p) + (count(*) OVER (PARTITION BY symbol, p) - 1) / 2 AS a, rank() OVER (PARTITION BY symbol ORDER BY y) + (count(*) OVER (PARTITION BY symbol, y) - 1) / 2 AS b FROM p)
+SELECT symbol, count(*) AS n, round(corr(a, b), 6) AS ic FROM k GROUP BY 1""", "panel"))
+def harness(s, d):
+    from tidemark.operators import statistics as S
+
+    y = _returns(s, d).withColumn("y", V.rounded(F.lead("ret").over(W.ordered("symbol", "t"))))
+    return r6(R.harness(S.calendar_split(y, "t", 2), "symbol", "funding", "taker", "y", 10.0))
+
+
+@query("liquidation_bands", sql("""
+, x AS (SELECT coin, size, liq, CASE WHEN size > 0 THEN (entry - liq) / entry ELSE (liq - entry) / entry END AS dist FROM positions WHERE liq IS NOT NULL)
+SELECT coin, CASE WHEN size > 0 THEN 'long' ELSE 'short' END AS side, CASE WHEN dist <= 0 THEN -1 WHEN dist >= 0.25 THEN 50 ELSE floor(round(dist / 0.005, 6)) END::INTEGER AS band, count(*) AS n, round(sum(abs(size) * liq), 2) AS notional FROM x GROUP BY 1, 2, 3""", "positions").replace(" + 1e-9, 6)", ", 6)"))
+def liquidation_bands(s, d):
+    p = V.positions(s, d).where("liq is not null")
+    dist = F.when(F.col("size") > 0, (F.col("entry") - F.col("liq")) / F.col("entry")).otherwise((F.col("liq") - F.col("entry")) / F.col("entry"))
+    band = F.when(dist <= 0, -1).when(dist >= 0.25, 50).otherwise(F.floor(F.round(dist / 0.005, 6))).cast("int")
+    side = F.when(F.col("size") > 0, "long").otherwise("short")
+    return p.groupBy("coin", side.alias("side"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("size") * F.col("liq")), 2).alias("notional"))
