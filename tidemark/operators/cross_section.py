@@ -78,14 +78,20 @@ def factor_run(panel: DataFrame, score: str, hold: int, share: float = 0.3, cost
     paid = F.sum(F.coalesce(F.col("funding"), F.lit(0.0))).over(o.rowsBetween(1, hold))
     p = panel.withColumn("_fwd", F.when(whole, F.log(ahead / F.col("close")) * 1e4 - paid))
     p = p.join(F.broadcast(start)).where((F.col(at) - F.col("_start")) % hold == 0).drop("_start")
-    b = book(p, score, share, at=at, symbol=symbol)
-    fwd = p.where(F.col("_fwd").isNotNull() & F.col(score).isNotNull())
-    excess = fwd.withColumn("_x", demean("_fwd", at=at))
-    both = b.join(excess.select(at, symbol, "_x"), [at, symbol])
-    side = F.sum(F.abs("weight")).over(Window.partitionBy(at, F.signum("weight")))
-    both = both.withColumn("w", F.col("weight") / side)
-    gross = both.groupBy(at).agg(F.sum(F.col("w") * F.col("_x")).alias("gross"))
-    moves = turnover(both.select(at, symbol, F.col("w").alias("weight")), hold, at, symbol)
-    ic = excess.withColumn("_a", average_rank(score, at)).withColumn("_b", average_rank("_x", at)).groupBy(at).agg(F.when(F.count(F.lit(1)) >= 6, corr("_a", "_b")).alias("ic"))
-    out = gross.join(moves, at).join(ic, at)
+    # One shuffle by time: the sides, the eligible names' mean, each side's scale and the ranks are windows over it.
+    by = Window.partitionBy(at)
+    p = p.where(F.col(score).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(by)).where("_n >= 6")
+    side = F.greatest(F.lit(1.0), half_even(F.col("_n") * share))
+    p = p.withColumn("_k", F.when(2 * side > F.col("_n"), F.floor(F.col("_n") / 2)).otherwise(side)).withColumn("_r", F.row_number().over(by.orderBy(score, symbol)))
+    sign = F.when(F.col("_r") > F.col("_n") - F.col("_k"), 1.0).when(F.col("_r") <= F.col("_k"), -1.0)
+    d = p.withColumn("_s", sign).where(F.col("_fwd").isNotNull()).withColumn("_x", demean("_fwd", at=at))
+    names = lambda v: F.sum(F.when(F.col("_s") == v, 1.0)).over(by)
+    d = d.withColumn("_w", F.when(F.col("_s") > 0, 1.0 / names(1.0)).when(F.col("_s") < 0, -1.0 / names(-1.0)))
+    ranked = d.withColumn("_a", average_rank(score, at)).withColumn("_b", average_rank("_x", at))
+    g = ranked.groupBy(at).agg(F.sum(F.col("_w") * F.col("_x")).alias("gross"), F.when(F.count(F.lit(1)) >= 6, corr("_a", "_b")).alias("ic")).where("gross is not null")
+    # A book's weights count at its own time and, to be taken off, at the next one.
+    legs = F.explode(F.array(F.struct(F.col(at).alias("_t"), F.col("_w").alias("now"), F.lit(0.0).alias("was")), F.struct((F.col(at) + hold).alias("_t"), F.lit(0.0).alias("now"), F.col("_w").alias("was"))))
+    m = d.where("_w is not null").select(symbol, legs.alias("_l")).select(symbol, "_l.*").groupBy("_t", symbol).agg(F.sum("now").alias("now"), F.sum("was").alias("was"))
+    m = m.groupBy("_t").agg(F.sum(F.abs(F.col("now") - F.col("was"))).alias("turnover"))
+    out = g.join(m, g[at] == m["_t"])
     return out.select(at, (F.col("gross") / 2).alias("gross"), (F.col("turnover") / 2).alias("turnover"), ((F.col("gross") - F.col("turnover") * cost_bps) / 2).alias("net"), "ic")
