@@ -286,3 +286,21 @@ def test_sql_functions(spark):
     sql_functions.register(spark)
     r = spark.sql("SELECT since_ms('90m', 10000000L) a, since_ms('2d', 0L) b, since_ms('1970-01-01T00:00:01Z', 5L) c, variance_ratio_class(0.5D, 0.1D) d, variance_ratio_class(1.05D, 0.1D) e, agrees_with_exchange(100.5D, 100D) f, agrees_with_exchange(102D, 100D) g, log_blend(4D, 9D, 0.5D) h").first()
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == (10000000 - 5400000, -172800000, 1000, "reverting", "scale-invariant", True, False) and r.h == pytest.approx(6)
+
+
+def test_columns_that_never_change_are_dropped(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None, 1.0), (1.0, 3.0, None, None)], "a double, b double, c double, d double")
+    assert R.varying(df, ["a", "b", "c", "d"]) == ["b"]
+
+
+def test_gaussian_tail(spark):
+    got = spark.range(1).select(*[R.gaussian_tail(F.lit(k)).alias(f"k{n}") for n, k in enumerate((0.0, 0.5, 1.0, 2.0, 4.0))]).first()
+    assert list(got) == pytest.approx([math.erfc(k / math.sqrt(2)) for k in (0.0, 0.5, 1.0, 2.0, 4.0)], abs=3e-7)
+
+
+def test_snapshots_append_and_the_baseline_stays(spark, tmp_path):
+    one, two = (spark.createDataFrame([(k, 1.0 * k)], "ts long, equity double") for k in (1, 2))
+    for x in (one, two):
+        sinks.append_snapshot(x, str(tmp_path / "s"))
+    assert sorted(r.ts for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [1, 2]
+    assert [sinks.load_or_freeze(x, str(tmp_path / "b")).first().ts for x in (one, two)] == [1, 1]

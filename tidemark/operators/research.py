@@ -297,3 +297,8 @@ def varying(df: DataFrame, columns: list[str]) -> list[str]:
     """Those of the columns that vary: more than one value, nulls aside."""
     one = df.agg(*[(F.max(c) > F.min(c)).alias(c) for c in columns]).first()
     return [c for c in columns if one[c]]
+
+
+def over_periods(df: DataFrame, at: str, value: str) -> DataFrame:
+    """A figure of each period summed up: periods, least, tenth percentile, median, and the last period's."""
+    return df.agg(F.count(value).alias("periods"), F.min(value).alias("least"), F.percentile(value, 0.1).alias("p10"), F.median(value).alias("median"), F.max_by(value, at).alias("last"))

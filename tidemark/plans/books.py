@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import books as B
-from tidemark.plans.registry import _FACT, _scored, query, r6
+from tidemark.operators.research import over_periods
+from tidemark.plans import studies  # noqa: F401 - registers capacity
+from tidemark.plans.registry import _BOOK, _FACT, QUERIES, _scored, query, r6
 from tidemark.sources.views import sql
 
 _INPUT = f"""
@@ -108,3 +110,11 @@ def shuffled_control(s, d):
     runs = [B.Run(str(k), score=str(k)) for k in range(_CONTROLS + 1)]
     means = B.book_returns(B.factor_books(wide, "blend", runs)).groupBy("run").agg(F.avg("gross").alias("gross"))
     return r6(B.control_percentile(means.where("run = '0'"), means.where("run <> '0'"), "gross"))
+
+
+@query("capacity_over_periods", sql(f"""
+, {_FACT}, {_BOOK.format(more='')}, c AS (SELECT t, round(min(0.01 * volume / (abs(weight) / 2)), 2) AS ceiling FROM b JOIN panel USING (t, symbol) WHERE volume > 0 GROUP BY 1)
+SELECT count(ceiling) AS periods, min(ceiling) AS least, round(quantile_cont(ceiling, 0.1), 4) AS p10, round(median(ceiling), 4) AS median, arg_max(ceiling, t) AS last FROM c""", "panel"))
+def capacity_over_periods(s, d):
+    c = QUERIES["capacity"](s, d)
+    return over_periods(c, "t", "ceiling").select("periods", "least", F.round("p10", 4).alias("p10"), F.round("median", 4).alias("median"), "last")

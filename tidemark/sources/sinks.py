@@ -62,3 +62,14 @@ def write_bar_features(df: DataFrame, path: str, columns: list[str], key: str, a
     df.select(key, at, *columns).write.mode("errorifexists").parquet(path)
     out = df.sparkSession.read.parquet(path)
     return out.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def append_snapshot(snapshot: DataFrame, path: str) -> None:
+    """Adds a snapshot to its table."""
+    snapshot.write.mode("append").parquet(path)
+
+
+def load_or_freeze(snapshot: DataFrame, path: str) -> DataFrame:
+    """The baseline at path: the first snapshot ever given stays it; later ones change nothing."""
+    snapshot.write.mode("ignore").parquet(path)
+    return snapshot.sparkSession.read.schema(snapshot.schema).parquet(path)
