@@ -440,11 +440,6 @@ def rebalance_times(s, d):
     return sequential.rebalance_times(V.panel(s, d), "t", 4)
 
 
-@query("range_fade")
-def range_fade(s, d):
-    return r6(sequential.range_fade(V.bars(s, d), "symbol", 8, 12))
-
-
 @query("within_day_shuffle", sql("""
 , b AS (SELECT symbol, ts, close, (ts - 1) // 86400000 AS day, coalesce(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)), 0) AS step FROM bars),
 n AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY ts) AS i, row_number() OVER (PARTITION BY symbol, day ORDER BY md5('7:' || symbol || ':' || ts), ts) AS j FROM b)
