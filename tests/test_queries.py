@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import joins, sequential
 from tidemark.operators import statistics as S
 from tidemark.operators import windows as W
-from tidemark.plans import books, fades, registry, research, studies, venues  # noqa: F401 - these register their queries
+from tidemark.plans import books, fades, recorder, registry, research, studies, venues  # noqa: F401 - these register their queries
 from tidemark.sources import archive
 
 SF = "/root/testdata/sf0.001"
