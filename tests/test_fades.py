@@ -73,3 +73,17 @@ def test_shuffled_bars_keep_each_days_moves(spark):
     steps = lambda rows: sorted(round(math.log(r[4] / p), 9) for r, p in zip(rows[:4], [rows[0][1], *[r[4] for r in rows[:3]]], strict=True))
     assert now[3][4] == pytest.approx(was[3][4]) and now[5][4] == pytest.approx(was[5][4])
     assert sum(steps(was)) == pytest.approx(sum(steps(now)))
+
+
+def test_intervals_of_days(spark):
+    day = 86_400_000
+    rows = lambda m: [("r", k * day + j, m(k)) for k in range(20) for j in range(1 + k % 2)]
+    a = spark.createDataFrame([*rows(lambda k: float(k % 5)), ("one", 0, 7.0)], "run string, entry_ts long, net_bps double")
+    got = {r.run: r for r in E.mean_interval(a, ["run"], 200, 3).collect()}
+    assert (got["one"].mean, got["one"].low) == (7.0, None)
+    mean = sum(x[2] for x in rows(lambda k: float(k % 5))) / 30
+    assert got["r"].mean == pytest.approx(mean) and got["r"].low < mean < got["r"].high and got["r"].high - got["r"].low < 2.5
+    # Drawing the same days in both leaves a constant gap as it is.
+    b = spark.createDataFrame(rows(lambda k: float(k % 5) - 2.0), "run string, entry_ts long, net_bps double")
+    (d,) = E.difference_interval(a, b, ["run"], 50, 3).collect()
+    assert (d.difference, d.low, d.high) == (pytest.approx(2.0), pytest.approx(2.0), pytest.approx(2.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import market as M
-from tidemark.functions.draws import digest
+from tidemark.functions.draws import digest, drawn
 from tidemark.operators import windows as W
 
 
@@ -159,3 +159,41 @@ def shuffled_bars(bars: DataFrame, key: str, seed: int) -> DataFrame:
     before = F.sum("_close").over(o.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_close")
     p = dealt.withColumn("_before", before)
     return p.select(key, "ts", *[(F.col("_at") * F.exp(F.col("_before") + F.col(f"_{x}"))).alias(x) for x in shape])
+
+
+def day_sums(trades: DataFrame, by: list[str], day_ms: int = 86_400_000) -> DataFrame:
+    """(by, day, total, n) of the trades entered on each day."""
+    return trades.groupBy(*by, F.floor(F.col("entry_ts") / day_ms).alias("day")).agg(F.sum("net_bps").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def _redrawn(days: DataFrame, by: list[str], draws: int, seed: int, sums: list[str]) -> DataFrame:
+    """Sums over as many days as a group has, drawn with replacement, per group and draw; groups of one day give none."""
+    over = Window.partitionBy(*by)
+    d = days.withColumns({"_i": F.row_number().over(over.orderBy("day")) - 1, "_n": F.count(F.lit(1)).over(over)}).where("_n > 1")
+    picks = d.select(*by, F.col("_i").alias("_p"), "_n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = picks.select(*by, "draw", drawn(F.col("_n"), F.lit(seed), "draw", "_p").cast("int").alias("_i"))
+    return picks.join(d, [*by, "_i"]).groupBy(*by, "draw").agg(*[F.sum(x).alias(x) for x in sums])
+
+
+def _interval(values: DataFrame, by: list[str], value: Column) -> DataFrame:
+    return values.groupBy(*by).agg(F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
+
+
+def mean_interval(trades: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
+    """Mean net per group, and where 95 % of its means lie when whole days are drawn anew; no interval for a single day."""
+    days = day_sums(trades, by)
+    mean = days.groupBy(*by).agg((F.sum("total") / F.sum("n")).alias("mean"))
+    return mean.join(_interval(_redrawn(days, by, draws, seed, ["total", "n"]), by, F.col("total") / F.col("n")), by, "left")
+
+
+def difference_interval(a: DataFrame, b: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
+    """Mean net of a less that of b per group that both have, with an interval from drawing the same days in both.
+
+    A draw without trades on one side gives no difference.
+    """
+    x, y = day_sums(a, by), day_sums(b, by).withColumnsRenamed({"total": "_bt", "n": "_bn"})
+    days = x.join(y, [*by, "day"], "full").fillna(0).fillna(0.0)
+    sums = ["total", "n", "_bt", "_bn"]
+    gap = F.col("total") / F.col("n") - F.col("_bt") / F.col("_bn")
+    point = days.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums]).where("n > 0 and _bn > 0").select(*by, gap.alias("difference"))
+    return point.join(_interval(_redrawn(days, by, draws, seed, sums).where("n > 0 and _bn > 0"), by, gap), by, "left")

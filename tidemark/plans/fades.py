@@ -93,3 +93,33 @@ def range_fade_grid(s: SparkSession, d: str) -> DataFrame:
     both = named(b, "real").unionByName(named(r6(E.shuffled_bars(b, "symbol", 7)), "shuffled"))
     t = E.segments(E.fade_trades(both, "symbol", _GRID, _COSTS, leverage=3.0), _SPLIT, _RECENT)
     return r6(E.fade_report(t.withColumn("bars", F.substring_index("symbol", "/", 1)), ["bars", "run", "segment"]))
+
+
+_DRAWS = 100
+_BOOT_RUNS = [E.Fade("quick", 6, 6, 0.1, 0.2, 0.6), E.Fade("slow", 12, 12, 0.25, 0.2, 0.6)]
+
+
+def _redrawn_sql(days: str, by: str, sums: str) -> str:
+    """days (by, day, ...) numbered, and drawn: as many days as a group has, by the same MD5 as the operator's."""
+    return f"""
+i AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS m FROM {days}),
+pk AS (SELECT {by}, d AS draw, ('0x' || md5('11:' || d || ':' || i)[1:8])::BIGINT % m AS i FROM i, range({_DRAWS}) r(d) WHERE m > 1),
+dr AS (SELECT pk.{by}, draw, {sums} FROM pk JOIN i USING ({by}, i) GROUP BY 1, 2)"""
+
+
+@query("fade_mean_intervals", _query("SELECT * FROM bars", _BOOT_RUNS, E.Costs(), f"""
+, ds AS (SELECT run, entry_ts // 86400000 AS day, sum(net_bps) AS total, count(*) AS n FROM trades GROUP BY 1, 2), {_redrawn_sql("ds", "run", "sum(total) / sum(n) AS x")}
+SELECT a.run, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT run, sum(total) / sum(n) AS mean FROM ds GROUP BY 1) a LEFT JOIN (SELECT run, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM dr GROUP BY 1) b USING (run)"""))
+def fade_mean_intervals(s: SparkSession, d: str) -> DataFrame:
+    return r6(E.mean_interval(E.fade_trades(V.bars(s, d), "symbol", _BOOT_RUNS), ["run"], _DRAWS, 11))
+
+
+@query("fade_difference_intervals", sql(_SHUFFLED + _fade_sql("SELECT 'real/' || symbol AS symbol, ts, open, high, low, close FROM bars UNION ALL SELECT 'shuffled/' || symbol, ts, round(open, 6), round(high, 6), round(low, 6), round(close, 6) FROM shuffled", _BOOT_RUNS, E.Costs(), f"""
+, d0 AS (SELECT run, entry_ts // 86400000 AS day, sum(CASE WHEN symbol LIKE 'real/%' THEN net_bps ELSE 0 END) AS ta, count(*) FILTER (symbol LIKE 'real/%') AS na, sum(CASE WHEN symbol LIKE 'real/%' THEN 0 ELSE net_bps END) AS tb, count(*) FILTER (symbol NOT LIKE 'real/%') AS nb FROM trades GROUP BY 1, 2),
+{_redrawn_sql("d0", "run", "sum(ta) AS ta, sum(na) AS na, sum(tb) AS tb, sum(nb) AS nb")}
+SELECT a.run, round(difference, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT run, sum(ta) / sum(na) - sum(tb) / sum(nb) AS difference FROM d0 GROUP BY 1) a
+LEFT JOIN (SELECT run, quantile_cont(ta / na - tb / nb, 0.025) AS low, quantile_cont(ta / na - tb / nb, 0.975) AS high FROM dr WHERE na > 0 AND nb > 0 GROUP BY 1) b USING (run)"""), "bars").replace("WITH", "WITH RECURSIVE", 1))
+def fade_difference_intervals(s: SparkSession, d: str) -> DataFrame:
+    b = V.bars(s, d)
+    real, control = E.fade_trades(b, "symbol", _BOOT_RUNS), E.fade_trades(r6(E.shuffled_bars(b, "symbol", 7)), "symbol", _BOOT_RUNS)
+    return r6(E.difference_interval(real, control, ["run"], _DRAWS, 11))
