@@ -30,10 +30,10 @@ def tick_lag_returns(s, d):
 @query("realised_vol_per_second", sql("""
 , m AS (SELECT inst, ts, arg_max((bid + ask) / 2, seq) AS mid FROM touches GROUP BY 1, 2), r AS (SELECT *, coalesce(ln(mid / lag(mid) OVER (PARTITION BY inst ORDER BY ts)) ** 2, 0) AS r2 FROM m),
 w AS (SELECT inst, ts, count(*) OVER w AS n, (ts - min(ts) OVER w) / 1000 AS span, greatest(0, sum(r2) OVER w - first_value(r2) OVER w) AS later FROM r WINDOW w AS (PARTITION BY inst ORDER BY ts RANGE BETWEEN 43200000 PRECEDING AND CURRENT ROW))
-SELECT inst, ts, round(CASE WHEN n < 3 OR span <= 0 THEN 0 ELSE sqrt(later / span) * 1e4 END, 6) AS rv FROM w""", "touches"))
+SELECT inst, ts, round(CASE WHEN n < 3 OR span <= 0 THEN 0 ELSE sqrt(later / span) END * 1e4, 6) AS rv_bps FROM w""", "touches"))
 def realised_vol_per_second(s, d):
     m = V.touches(s, d).groupBy("inst", "ts").agg(F.max_by((F.col("bid") + F.col("ask")) / 2, "seq").alias("mid"))
-    return r6(W.realised_vol(m, "inst", 12 * HOUR).select("inst", "ts", "rv"))
+    return r6(W.realised_vol(m, "inst", 12 * HOUR).select("inst", "ts", (F.col("rv") * 1e4).alias("rv_bps")))
 
 
 @query("mean_ranges", sql("""

@@ -372,11 +372,20 @@ def _books(s, d):
     return b, b.withColumn("t", F.col("t") + 1)
 
 
-@query("interleaved_orders")
+@query("interleaved_orders", sql(f"""
+, {_FACT}, {_BOOK.format(more='')}, mv AS (SELECT coalesce(n.t, p.t) AS t, coalesce(n.symbol, p.symbol) AS symbol, round((coalesce(n.weight, 0) - coalesce(p.weight, 0)) * 1e9::DOUBLE) AS move FROM b n FULL JOIN (SELECT t + 1 AS t, symbol, weight FROM b) p ON n.t = p.t AND n.symbol = p.symbol),
+od AS (SELECT t, symbol, CASE WHEN move > 0 THEN 'buy' ELSE 'sell' END AS side, abs(move) AS notional, row_number() OVER (PARTITION BY t, move > 0 ORDER BY abs(move) DESC, symbol) AS r FROM mv WHERE move <> 0),
+ct AS (SELECT t, count(*) FILTER (side = 'buy') AS nb, count(*) FILTER (side = 'sell') AS ns FROM od GROUP BY 1),
+st AS (SELECT t, 0::BIGINT AS i, 0::BIGINT AS j, 0.0::DOUBLE AS net, NULL::BIGINT AS symbol, NULL::VARCHAR AS side, NULL::DOUBLE AS notional FROM ct UNION ALL
+  SELECT st.t, i + (od.side = 'buy')::BIGINT, j + (od.side = 'sell')::BIGINT, net + CASE WHEN od.side = 'buy' THEN od.notional ELSE -od.notional END, od.symbol, od.side, od.notional FROM st JOIN ct USING (t)
+  JOIN od ON od.t = st.t AND od.side = CASE WHEN j = ns OR (i < nb AND net <= 0) THEN 'buy' ELSE 'sell' END AND od.r = CASE WHEN od.side = 'buy' THEN i ELSE j END + 1 WHERE i + j < nb + ns)
+SELECT t, i + j - 1 AS place, symbol, side, round(notional / 1e9::DOUBLE, 6) AS notional, round(net / 1e9::DOUBLE, 6) + 0.0::DOUBLE AS net_after FROM st WHERE symbol IS NOT NULL""", "panel").replace("WITH", "WITH RECURSIVE", 1))
 def interleaved_orders(s, d):
+    """Weights in whole billionths, so that sums are exact and a net of nothing is 0."""
     now, was = _books(s, d)
-    j = now.select("t", "symbol", F.col("weight").alias("w")).join(was.select("t", "symbol", F.col("weight").alias("v")), ["t", "symbol"], "full").fillna(0.0, ["w", "v"]).withColumn("move", F.round(F.col("w") - F.col("v"), 9)).where("move <> 0")
-    return r6(account.interleaved(j.select("t", "symbol", F.when(F.col("move") > 0, "buy").otherwise("sell").alias("side"), F.abs("move").alias("notional")), "t", "symbol"))
+    j = now.select("t", "symbol", F.col("weight").alias("w")).join(was.select("t", "symbol", F.col("weight").alias("v")), ["t", "symbol"], "full").fillna(0.0, ["w", "v"]).withColumn("move", F.round((F.col("w") - F.col("v")) * 1e9)).where("move <> 0")
+    o = account.interleaved(j.select("t", "symbol", F.when(F.col("move") > 0, "buy").otherwise("sell").alias("side"), F.abs("move").alias("notional")), "t", "symbol")
+    return r6(o.withColumns({"notional": F.col("notional") / 1e9, "net_after": F.col("net_after") / 1e9}))
 
 
 @query("leg_changes", sql(f", {_FACT}, {_BOOK.format(more='')}, p AS (SELECT t + 1 AS t, symbol FROM b) SELECT t, symbol, 'gone' AS change FROM p ANTI JOIN b USING (t, symbol) UNION ALL SELECT t, symbol, 'new' FROM b ANTI JOIN p USING (t, symbol)", "panel"))
