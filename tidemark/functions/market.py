@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.ieee import ln, ratio
+
 
 def _c(x: Column | str | float) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
@@ -87,7 +89,7 @@ def to_tick(x, tick: float) -> Column:
 
 
 def parkinson_bps(high, low) -> Column:
-    return F.log(_c(high) / _c(low)) / F.lit(2 * 0.8325546111576977) * 1e4
+    return ln(ratio(_c(high), _c(low))) / F.lit(2 * 0.8325546111576977) * 1e4
 
 
 def liquidation_price(side, entry, leverage: float, mmr, buffer: float = 0.0) -> Column:
