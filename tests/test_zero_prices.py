@@ -24,3 +24,9 @@ def test_bar_features_of_a_zero_low(spark):
     c = spark.createDataFrame([("s", 1, 0.0), ("s", 2, 0.0), ("s", 3, 4.0)], "s string, ts long, close double")
     got = [r.m for r in c.withColumn("m", W.ma_distance(W.ordered("s"), "close", 1)).orderBy("ts").collect()]
     assert got[0] is None and math.isnan(got[1]) and got[2] == math.log(2) * 1e4
+
+
+def test_lead_trade_at_a_zero_ask(spark):
+    g = spark.createDataFrame([(0, 0, 10.0, 10.0), (4, 0, 0.0, 0.0), (4, 1, 5.0, 6.0)], "inst int, ts long, bid double, ask double")
+    (t,) = N.lead_trades(g, "inst", 0, 1, 6.0, 1.0).collect()
+    assert (t.side, t.entry, t.net_mid, t.net_touch) == (1, 0.0, INF, INF)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import market as M
 from tidemark.functions.draws import digest
+from tidemark.functions.ieee import ratio
 from tidemark.functions.moments import corr
 from tidemark.operators import joins
 from tidemark.operators import windows as W
@@ -137,7 +138,7 @@ def lead_trades(grid: DataFrame, key: str, leader, horizon: int, fee_bps: float,
     f = f.withColumn("side", side).where("side is not null and _bid is not null")
     f = non_overlapping(f, key, horizon, strict=False)
     entry = F.when(F.col("side") > 0, F.col("ask")).otherwise(F.col("bid"))
-    net = lambda x: F.col("side") * (x - entry) / entry * 1e4 - 2 * fee_bps
+    net = lambda x: ratio(F.col("side") * (x - entry), entry) * 1e4 - 2 * fee_bps
     return f.select(key, "ts", "side", entry.alias("entry"), net((F.col("_bid") + F.col("_ask")) / 2).alias("net_mid"), net(F.when(F.col("side") > 0, F.col("_bid")).otherwise(F.col("_ask"))).alias("net_touch"))
 
 
