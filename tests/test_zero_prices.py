@@ -37,3 +37,8 @@ def test_markout_against_a_zero_mid(spark):
     touches = spark.createDataFrame([("a", 1, 1, 0.0, 0.0), ("a", 10, 2, 3.0, 3.0)], "inst string, ts long, seq long, bid double, ask double")
     got = {r.horizon: (r.n, r["mean"]) for r in T.markouts(fills, touches, "inst", [1, 10]).collect()}
     assert got == {1: (1, -INF), 10: (1, INF)}
+
+
+def test_realised_vol_through_a_zero_mid(spark):
+    m = spark.createDataFrame([("a", 1000, 1.0), ("a", 2000, 0.0), ("a", 3000, 1.0)], "k string, ts long, mid double")
+    assert [r.rv for r in W.realised_vol(m, "k", 10_000).orderBy("ts").collect()] == [0.0, 0.0, INF]
