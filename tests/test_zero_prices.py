@@ -42,3 +42,11 @@ def test_markout_against_a_zero_mid(spark):
 def test_realised_vol_through_a_zero_mid(spark):
     m = spark.createDataFrame([("a", 1000, 1.0), ("a", 2000, 0.0), ("a", 3000, 1.0)], "k string, ts long, mid double")
     assert [r.rv for r in W.realised_vol(m, "k", 10_000).orderBy("ts").collect()] == [0.0, 0.0, INF]
+
+
+def test_range_dataset_of_a_zero_low(spark):
+    rows = [("s", k, 2.0, 3.0, 0.0 if k == 8 else 1.0 + k / 100, 2.0) for k in range(13)]
+    got = {r.ts: r for r in universe.range_dataset(spark.createDataFrame(rows, BAR), "s", 1, 2, 2).collect()}
+    assert set(got) == {8, 9, 10}
+    assert got[9].log_width == got[9].parkinson == got[9].dist_low == INF and got[9].trend_ratio == 0 and math.isnan(got[9].width_ratio)
+    assert got[8].dist_low < INF

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.ieee import ln, ratio
 from tidemark.operators import joins
 from tidemark.operators import windows as W
 
@@ -87,17 +88,17 @@ def range_dataset(bars: DataFrame, key: str, step: int, look: int, horizon: int)
     """
     o, far, short = W.ordered(key), 4 * look, max(1, look // 6)
     e = 1e-12
-    b = bars.withColumn("_r2", F.pow(F.coalesce(F.log(F.col("close") / F.lag("close").over(o)), F.lit(0.0)), 2)).withColumn("_p2", F.pow(F.log(F.col("high") / F.col("low")), 2))
+    b = bars.withColumn("_r2", F.pow(F.coalesce(ln(ratio("close", F.lag("close").over(o))), F.lit(0.0)), 2)).withColumn("_p2", F.pow(ln(ratio("high", "low")), 2))
     b = b.withColumns({"_hi": W.full(F.max("high"), o, look, -look, -1), "_lo": W.full(F.min("low"), o, look, -look, -1), "_hi4": W.full(F.max("high"), o, far, -far, -1), "_lo4": W.full(F.min("low"), o, far, -far, -1)})
     b = b.withColumns({"_fh": W.full(F.max("high"), o, horizon, 1, horizon), "_fl": W.full(F.min("low"), o, horizon, 1, horizon), "_was": F.lag("close", look).over(o)})
     b = b.withColumns({"_rv": F.sqrt(W.trailing_mean_before(o, "_r2", look)), "_rvs": F.sqrt(W.trailing_mean_before(o, "_r2", short)), "_pk": F.sqrt(W.trailing_mean_before(o, "_p2", look) / (4 * 0.6931471805599453))})
     b = b.withColumn("_ok", W.contiguous_back(o, "ts", step, far) & W.contiguous_forward(o, "ts", step, horizon)).where("_ok and _hi > _lo and _hi4 > _lo4")
-    width, ret = F.log(F.col("_hi") / F.col("_lo")), F.log(F.col("close") / F.col("_was"))
+    width, ret = ln(ratio("_hi", "_lo")), ln(ratio("close", "_was"))
     return b.select(
-        key, "ts", width.alias("log_width"), F.log(F.col("_rv") + e).alias("rv"), F.log(F.col("_pk") + e).alias("parkinson"), F.log((F.col("_rvs") + e) / (F.col("_rv") + e)).alias("vol_ratio"), ret.alias("ret"),
-        ((F.col("close") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).alias("pos_in_range"), F.log(F.col("_hi") / F.col("close")).alias("dist_high"), F.log(F.col("close") / F.col("_lo")).alias("dist_low"),
-        (F.abs(ret) / width).alias("trend_ratio"), F.log(width / F.log(F.col("_hi4") / F.col("_lo4"))).alias("width_ratio"), F.log(F.sqrt(F.col("_fh") * F.col("_fl")) / F.col("close")).alias("centre"),
-        F.log(F.col("_fh") / F.col("_fl")).alias("width"), ((F.col("_fh") <= F.col("_hi")) & (F.col("_fl") >= F.col("_lo"))).cast("double").alias("contained"),
+        key, "ts", width.alias("log_width"), F.log(F.col("_rv") + e).alias("rv"), F.log(F.col("_pk") + e).alias("parkinson"), ln(ratio(F.col("_rvs") + e, F.col("_rv") + e)).alias("vol_ratio"), ret.alias("ret"),
+        ((F.col("close") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).alias("pos_in_range"), ln(ratio("_hi", "close")).alias("dist_high"), ln(ratio("close", "_lo")).alias("dist_low"),
+        ratio(F.abs(ret), width).alias("trend_ratio"), ln(ratio(width, ln(ratio("_hi4", "_lo4")))).alias("width_ratio"), ln(ratio(F.sqrt(F.col("_fh") * F.col("_fl")), "close")).alias("centre"),
+        ln(ratio("_fh", "_fl")).alias("width"), ((F.col("_fh") <= F.col("_hi")) & (F.col("_fl") >= F.col("_lo"))).cast("double").alias("contained"),
     )
 
 
