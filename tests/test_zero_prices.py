@@ -50,3 +50,9 @@ def test_range_dataset_of_a_zero_low(spark):
     assert set(got) == {8, 9, 10}
     assert got[9].log_width == got[9].parkinson == got[9].dist_low == INF and got[9].trend_ratio == 0 and math.isnan(got[9].width_ratio)
     assert got[8].dist_low < INF
+
+
+def test_tick_returns_to_and_from_a_zero_mid(spark):
+    t = spark.createDataFrame([("a", k, k, p, p) for k, p in enumerate((1.0, 0.0, 0.0, 1.0))], "k string, ts long, seq long, bid double, ask double")
+    a, b, c, d = (r.ret for r in R.lagged_returns(t, "k", 1).orderBy("ts").collect())
+    assert (a, b, d) == (0.0, -INF, INF) and math.isnan(c)
