@@ -63,3 +63,15 @@ def test_lag_slope_over_a_zero_mid(spark):
     g = spark.createDataFrame([(i, k, m) for i, x in mids.items() for k, m in enumerate(x)], "inst int, ts long, mid double")
     got = {r.inst: r for r in T.lag_slopes(g, "inst", 0, "mid", 1, [1]).collect()}
     assert got[4].n == got[5].n == 4 and math.isnan(got[4].slope) and math.isnan(got[4]["corr"]) and math.isfinite(got[5].slope)
+
+
+def _bar_a_day(spark):
+    """Shuffling inside days leaves these bars as they are."""
+    return spark.createDataFrame([("s", (k + 1) * DAY, 5.0, 6.0, 0.0 if k == 2 else 4.0, 5.0) for k in range(6)], BAR)
+
+
+def test_shuffled_control_ranges_over_a_zero_low(spark):
+    b = _bar_a_day(spark).withColumn("open", F.when(F.col("ts") == 4 * DAY, 1.0).otherwise(F.col("open")))
+    run = [E.Fade("r", 3, 2)]
+    real, control = (sorted((r.ts, r.side, round(r.fill, 9)) for r in E.candidates(x, "s", run, E.Costs(), False).collect()) for x in (b, E.shuffled_bars(b, "s", 7)))
+    assert real and real == control

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import market as M
 from tidemark.functions.draws import digest, drawn
+from tidemark.functions.ieee import ln, ratio
 from tidemark.operators import windows as W
 
 
@@ -152,7 +153,7 @@ def shuffled_bars(bars: DataFrame, key: str, seed: int) -> DataFrame:
     """
     o = W.ordered(key)
     shape = ("open", "high", "low", "close")
-    m = bars.select(key, "ts", F.expr("(ts - 1) div 86400000").alias("_day"), F.first("open").over(o).alias("_at"), *[F.log(F.col(x) / F.coalesce(F.lag("close").over(o), F.col("open"))).alias(f"_{x}") for x in shape])
+    m = bars.select(key, "ts", F.expr("(ts - 1) div 86400000").alias("_day"), F.first("open").over(o).alias("_at"), *[ln(ratio(x, F.coalesce(F.lag("close").over(o), F.col("open")))).alias(f"_{x}") for x in shape])
     d = Window.partitionBy(key, "_day")
     m = m.withColumn("_i", F.row_number().over(d.orderBy("ts"))).withColumn("_j", F.row_number().over(d.orderBy(digest(F.lit(seed), key, "ts"), "ts")))
     dealt = m.select(key, "_day", "ts", "_at", "_i").join(m.select(key, "_day", F.col("_j").alias("_i"), *[f"_{x}" for x in shape]), [key, "_day", "_i"])
