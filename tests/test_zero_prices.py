@@ -70,6 +70,11 @@ def _bar_a_day(spark):
     return spark.createDataFrame([("s", (k + 1) * DAY, 5.0, 6.0, 0.0 if k == 2 else 4.0, 5.0) for k in range(6)], BAR)
 
 
+def test_shuffled_bars_keep_a_zero_low(spark):
+    got = [r.low for r in E.shuffled_bars(_bar_a_day(spark), "s", 7).orderBy("ts").collect()]
+    assert got[2] == 0.0 and all(abs(x - 4.0) < 1e-9 for k, x in enumerate(got) if k != 2)
+
+
 def test_shuffled_control_ranges_over_a_zero_low(spark):
     b = _bar_a_day(spark).withColumn("open", F.when(F.col("ts") == 4 * DAY, 1.0).otherwise(F.col("open")))
     run = [E.Fade("r", 3, 2)]

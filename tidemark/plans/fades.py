@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.ieee import ln
 from tidemark.operators import fades as E
 from tidemark.operators import sequential
 from tidemark.plans.registry import DAY, HOUR, query, r6
@@ -73,7 +74,7 @@ shuffled AS (SELECT symbol, ts, base * exp(before + o) AS open, base * exp(befor
 @query("shuffled_bars", sql(f"{_SHUFFLED} SELECT symbol, ts, round(ln(open), 6) AS open, round(ln(high), 6) AS high, round(ln(low), 6) AS low, round(ln(close), 6) AS close FROM shuffled", "bars"))
 def shuffled_bars(s: SparkSession, d: str) -> DataFrame:
     """Logarithms, since the path may go far."""
-    return r6(E.shuffled_bars(V.bars(s, d), "symbol", 7).withColumns({c: F.log(c) for c in ("open", "high", "low", "close")}))
+    return r6(E.shuffled_bars(V.bars(s, d), "symbol", 7).withColumns({c: ln(c) for c in ("open", "high", "low", "close")}))
 
 
 _GRID = [E.Fade(f"l{n}h{h}e{int(100 * e)}", n, h, e, 0.2, 0.6) for n in (6, 12) for h in (6, 12) for e in (0.1, 0.25)]
