@@ -80,3 +80,8 @@ def test_shuffled_control_ranges_over_a_zero_low(spark):
     run = [E.Fade("r", 3, 2)]
     real, control = (sorted((r.ts, r.side, round(r.fill, 9)) for r in E.candidates(x, "s", run, E.Costs(), False).collect()) for x in (b, E.shuffled_bars(b, "s", 7)))
     assert real and real == control
+
+
+def test_log_blend_with_a_zero(spark):
+    sql_functions.register(spark)
+    assert tuple(spark.sql("SELECT log_blend(2D, 0D, 0.5D), log_blend(0D, 2D, 0.5D), round(log_blend(4D, 1D, 0.5D), 9)").first()) == (0.0, 0.0, 2.0)

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 FUNCTIONS = {
     "log_return_bps": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN a > 0 AND b > 0 THEN ln(b / a) * 1e4 END"),
     "ternary_label": ("a DOUBLE, b DOUBLE, bps DOUBLE", "INT", "CASE WHEN b > a * (1 + bps / 1e4) THEN 1 WHEN b < a * (1 - bps / 1e4) THEN -1 ELSE 0 END"),
-    "log_blend": ("a DOUBLE, b DOUBLE, weight DOUBLE", "DOUBLE", "exp(weight * ln(a) + (1 - weight) * ln(b))"),
+    "log_blend": ("a DOUBLE, b DOUBLE, weight DOUBLE", "DOUBLE", "exp(weight * CASE WHEN a = 0 THEN double('-Infinity') ELSE ln(a) END + (1 - weight) * CASE WHEN b = 0 THEN double('-Infinity') ELSE ln(b) END)"),
     "range_place": ("x DOUBLE, high DOUBLE, low DOUBLE", "DOUBLE", "CASE WHEN high > low THEN (x - low) / (high - low) ELSE 0.5D END"),
     "variance_ratio_class": ("ratio DOUBLE, tolerance DOUBLE", "STRING", "CASE WHEN ratio IS NULL THEN 'none' WHEN abs(ratio - 1) <= tolerance THEN 'scale-invariant' WHEN ratio < 1 THEN 'reverting' ELSE 'trending' END"),
     "agrees_with_exchange": ("estimated DOUBLE, reported DOUBLE", "BOOLEAN", "reported <> 0 AND abs(estimated - reported) <= 0.01 * abs(reported)"),
