@@ -17,6 +17,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_clusters_of_many_names_are_counted_once(spark):
+    n = 40_000
+    cluster = np.array([f"c{k % 1000}" for k in range(n)], object)
+    start = time.perf_counter()
+    w = B.book_weights(np.arange(n, dtype=float), np.ones(n), cluster, np.zeros(n), 0.3, 0.0)
+    assert time.perf_counter() - start < 2
+    assert w.sum() == pytest.approx(0, abs=1e-9) and np.abs(w).sum() == pytest.approx(2) and w[-1] == pytest.approx(1 / 12_000)
+
+
 def test_resamples_are_never_broadcast(spark):
     d = spark.createDataFrame([(k % 50, float(k), float(k % 7)) for k in range(500)], "g int, score double, v double")
     p = plan(R.top_decile_bootstrap(d, "g", "score", "v", 20, 7))

@@ -52,7 +52,8 @@ def book_weights(score: np.ndarray, risk: np.ndarray, cluster: np.ndarray, befor
     free = np.setdiff1d(np.arange(n), longs)
     shorts = free[side_members(rank[free], held[free] < 0 if band > 0 else none[free], size, wide)]
     for side, sign in ((usable[longs], 1.0), (usable[shorts], -1.0)):
-        raw = 1.0 / risk[side] / np.array([(cluster[side] == c).sum() for c in cluster[side]])
+        _, at, size_of = np.unique(cluster[side], return_inverse=True, return_counts=True)
+        raw = 1.0 / risk[side] / size_of[at]
         out[side] = sign * raw / raw.sum()
     return out
 
