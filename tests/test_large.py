@@ -26,6 +26,19 @@ def test_clusters_of_many_names_are_counted_once(spark):
     assert w.sum() == pytest.approx(0, abs=1e-9) and np.abs(w).sum() == pytest.approx(2) and w[-1] == pytest.approx(1 / 12_000)
 
 
+def test_books_send_no_text_and_follow_one_another(spark):
+    p = spark.createDataFrame([(t, f"n{k}", 100.0 + ((k * 7 + t * 3) % 11), 0.0, float((k * 5 + t) % 13)) for t in range(4) for k in range(8) if (t, k) != (2, 7)], "t long, symbol string, close double, funding double, score double")
+    b = B.factor_books(p, "score", [B.Run("x", hold=1)])
+    assert "cluster" not in plan(b).replace("cluster_by", "")
+    rows = b.collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.t, {})[r.symbol] = r.weight
+    for r in rows:
+        assert r.traded == pytest.approx(abs(r.weight - held.get(r.t - 1, {}).get(r.symbol, 0.0))) and r.charged == pytest.approx(r.traded * 10)
+    assert {round(sum(w for w in x.values() if w > 0), 9) for x in held.values()} == {1.0}
+
+
 def test_resamples_are_never_broadcast(spark):
     d = spark.createDataFrame([(k % 50, float(k), float(k % 7)) for k in range(500)], "g int, score double, v double")
     p = plan(R.top_decile_bootstrap(d, "g", "score", "v", 20, 7))

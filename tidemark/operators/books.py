@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Names that a book needs; places of names that aren't held, and of held ones that leave.
 LEAST, NEW, OUT = 6, 1 << 40, 1 << 50
@@ -73,37 +75,41 @@ def factor_books(panel: DataFrame, score: str, runs: list[Run], at: str = "t", s
     forward = {h: F.when(F.lead(at, h).over(o) == F.col(at) + h, F.log(F.lead("close", h).over(o) / F.col("close")) * 1e4 - F.sum(F.coalesce(F.col("funding"), F.lit(0.0))).over(o.rowsBetween(1, h))) for h in holds}
     late = {x: F.when(F.lag(at, x[1]).over(o) == F.col(at) - x[1], F.lag(x[0], x[1]).over(o)) if x[1] else F.col(x[0]) for x in lags}
     start = panel.agg(F.min(at).alias("_start"), F.max(at).alias("_end"))
-    rows = panel.select(F.col(at).alias("t"), F.col(symbol).alias("symbol"), (F.col(risk) if risk else F.lit(1.0)).alias("risk"), (F.col(cluster) if cluster else F.col(symbol)).cast("string").alias("cluster"), (F.col(cost) if cost else F.lit(float(cost_bps))).alias("cost"), F.coalesce(ok, F.lit(False)).alias("ok"), *[v.alias(f"_f{h}") for h, v in forward.items()], *[v.alias(f"_s{k}") for k, v in enumerate(late.values())])
-    each = F.array(*[F.struct(F.lit(r.name).alias("run"), F.lit(r.hold).alias("hold"), F.col(f"_f{r.hold}").alias("forward"), F.when(F.col("ok"), F.col(f"_s{lags.index((r.score or score, r.lag))}")).alias("score")) for r in runs])
-    rows = rows.withColumn("_r", F.explode(each)).join(F.broadcast(start)).where("(t - _start) % _r.hold = 0 AND t + _r.hold <= _end").select("t", "symbol", "risk", "cluster", "cost", "ok", "_r.*")
-    settings = {r.name: r for r in runs}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = settings[pdf["run"].iloc[0]]
-        before: dict = {}
-        out = []
-        for t, x in pdf.sort_values(["t", "symbol"]).groupby("t", sort=True):
-            names = x["symbol"].to_numpy()
-            forward = x["forward"].to_numpy(float)
-            was = np.array([before.get(s, 0.0) for s in names])
-            w = book_weights(x["score"].to_numpy(float), x["risk"].to_numpy(float), x["cluster"].to_numpy(), was, own.share, own.band)
-            w[~np.isfinite(forward)] = 0.0
+    rows = panel.select(F.col(at).cast("long").alias("t"), F.col(symbol).alias("symbol"), (F.col(risk).cast("double") if risk else F.lit(1.0)).alias("risk"), F.col(cluster).cast("string").alias("cluster") if cluster else F.lit(0).alias("cluster"), (F.col(cost).cast("double") if cost else F.lit(float(cost_bps))).alias("cost"), F.coalesce(ok, F.lit(False)).alias("ok"), *[v.alias(f"_f{h}") for h, v in forward.items()], *[v.alias(f"_s{k}") for k, v in enumerate(late.values())])
+    each = F.array(*[F.struct(F.lit(k).alias("run"), F.lit(r.hold).alias("hold"), F.col(f"_f{r.hold}").alias("forward"), F.when(F.col("ok"), F.col(f"_s{lags.index((r.score or score, r.lag))}").cast("double")).alias("score")) for k, r in enumerate(runs)])
+    rows = rows.withColumn("_r", F.explode(each)).join(F.broadcast(start)).where("(t - _start) % _r.hold = 0 AND t + _r.hold <= _end").select("t", "symbol", "risk", "cluster", "cost", "ok", "_r.run", "_r.forward", "_r.score").drop(*[] if cluster else ["cluster"])
+    schema = pa.schema([("run", pa.string()), ("t", pa.int64()), ("symbol", to_arrow_type(panel.schema[symbol].dataType)), *[(c, pa.float64()) for c in ("weight", "traded", "excess", "charged")]])
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy()
+        own = runs[table.column("run")[0].as_py()]
+        # Names are numbered in their order: books are arrays over all of them.
+        names, code = np.unique(column("symbol"), return_inverse=True)
+        group = pd.factorize(column("cluster"), use_na_sentinel=False)[0] if cluster else code
+        times = column("t")
+        order = np.lexsort((code, times))
+        starts = np.flatnonzero(np.r_[True, np.diff(times[order]) != 0])
+        score, risk, forward, ok, cost = (column(c) for c in ("score", "risk", "forward", "ok", "cost"))
+        before, out = np.zeros(len(names)), []
+        for rows in np.split(order, starts[1:]):
+            at, ahead = code[rows], forward[rows]
+            w = book_weights(score[rows], risk[rows], group[rows], before[at], own.share, own.band)
+            w[~np.isfinite(ahead)] = 0.0
             up, down = w[w > 0].sum(), -w[w < 0].sum()
+            now, excess, fee = np.zeros(len(names)), np.zeros(len(names)), np.full(len(names), float(cost_bps))
             if not up or not down:
-                before = {}
+                before = now
                 continue
             w = np.where(w > 0, w / up, w / down)
-            market = np.nanmean(forward[x["ok"].to_numpy(bool)])
-            now = {s: v for s, v in zip(names, w, strict=True) if v}
-            cost = dict(zip(names, x["cost"], strict=True))
-            ahead = dict(zip(names, forward - market, strict=True))
-            for s in sorted(now.keys() | before.keys()):
-                traded = abs(now.get(s, 0.0) - before.get(s, 0.0))
-                out.append((own.name, t, s, now.get(s, 0.0), traded, ahead[s] if s in now else 0.0, traded * cost.get(s, cost_bps)))
+            now[at], fee[at] = w, cost[rows]
+            excess[at] = np.where(w != 0, ahead - np.nanmean(ahead[ok[rows]]), 0.0)
+            some = np.flatnonzero((now != 0) | (before != 0))
+            traded = np.abs(now[some] - before[some])
+            out.append(pa.table([[own.name] * len(some), np.full(len(some), times[rows[0]]), names[some], now[some], traded, excess[some], traded * fee[some]], schema=schema))
             before = now
-        return pd.DataFrame(out, columns=["run", "t", "symbol", "weight", "traded", "excess", "charged"])
+        return pa.concat_tables(out) if out else schema.empty_table()
 
-    return rows.groupBy("run").applyInPandas(run, f"run string, t long, symbol {kind}, weight double, traded double, excess double, charged double")
+    return rows.groupBy("run").applyInArrow(run, f"run string, t long, symbol {kind}, weight double, traded double, excess double, charged double")
 
 
 def book_returns(books: DataFrame) -> DataFrame:
