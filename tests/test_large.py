@@ -43,3 +43,7 @@ def test_resamples_are_never_broadcast(spark):
     d = spark.createDataFrame([(k % 50, float(k), float(k % 7)) for k in range(500)], "g int, score double, v double")
     p = plan(R.top_decile_bootstrap(d, "g", "score", "v", 20, 7))
     assert "SortMergeJoin [_i" in p and "BroadcastHashJoin [_i" not in p
+
+
+def test_controls_are_dealt_without_a_pivot(spark):
+    assert "pivotfirst" not in plan(book_plans.shuffled_control(spark, SF))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import books as B
@@ -100,13 +99,14 @@ SELECT round(any_value(real), 6) AS real, count(*) AS controls, round(avg(CASE W
 @query("shuffled_control", sql(_CONTROL_SQL, "panel"))
 def shuffled_control(s, d):
     p = _scored(s, d).select("t", "symbol", "close", "funding", "blend")
-    c = p.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(_CONTROLS))))
-    has = c.where("blend is not null")
-    o = Window.partitionBy("c", "t")
-    key = F.when(F.col("c") == 0, "").otherwise(F.md5(F.concat_ws(":", "c", "t", "symbol")))
-    has = has.withColumn("i", F.row_number().over(o.orderBy("symbol"))).withColumn("j", F.row_number().over(o.orderBy(key, "symbol")))
-    dealt = has.select("c", "t", "symbol", "i").join(has.select("c", "t", F.col("j").alias("i"), F.col("blend").alias("score")), ["c", "t", "i"])
-    wide = p.join(dealt.groupBy("t", "symbol").pivot("c", list(range(_CONTROLS + 1))).agg(F.first("score")), ["t", "symbol"], "left")
+    # Only scores of rebalances are looked at. A time's names are dealt together, all controls at once.
+    first = p.agg(F.min("t").alias("_first"))
+    has = p.where("blend is not null").join(F.broadcast(first)).where("(t - _first) % 3 = 0").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("symbol", "blend"))).alias("x"))
+    own = lambda c: lambda x: F.struct((F.md5(F.concat_ws(":", F.lit(c), "t", x["symbol"])) if c else F.lit("")).alias("key"), x["symbol"].alias("symbol"), x["blend"].alias("blend"))
+    scores = [F.transform(F.array_sort(F.transform("x", own(c))), lambda x: x["blend"]).alias(str(c)) for c in range(_CONTROLS + 1)]
+    dealt = has.select("t", F.transform("x", lambda x: x["symbol"]).alias("symbol"), *scores)
+    dealt = dealt.select("t", F.inline(F.arrays_zip("symbol", *[f"`{c}`" for c in range(_CONTROLS + 1)])))
+    wide = p.join(dealt, ["t", "symbol"], "left")
     runs = [B.Run(str(k), score=str(k)) for k in range(_CONTROLS + 1)]
     means = B.book_returns(B.factor_books(wide, "blend", runs)).groupBy("run").agg(F.avg("gross").alias("gross"))
     return r6(B.control_percentile(means.where("run = '0'"), means.where("run <> '0'"), "gross"))
