@@ -39,6 +39,14 @@ def test_books_send_no_text_and_follow_one_another(spark):
     assert {round(sum(w for w in x.values() if w > 0), 9) for x in held.values()} == {1.0}
 
 
+def test_fees_of_legs_across_buckets(spark):
+    fills = spark.createDataFrame([(1, 0, 5, 1.0), (None, 0, 3, 10.0), (None, 0, 9, 20.0), (None, 0, 30, None), (None, 1, 1, 7.0), (None, None, 50, 9.0)], "leg long, inst int, ts long, fee double")
+    legs = spark.createDataFrame([(1, 0, 5), (2, 0, 10), (3, 0, 31), (4, 1, 0), (5, None, 0)], "leg long, inst int, created long")
+    for bucket in (1, 4, 1000):
+        got = {r.leg: (r.fees, r.fills) for r in R.position_fees(fills, legs, 1, bucket_ms=bucket).collect()}
+        assert got == {1: (21.0, 2), 2: (20.0, 1), 3: (0.0, 0), 4: (7.0, 1), 5: (0.0, 0)}
+
+
 def test_resamples_are_never_broadcast(spark):
     d = spark.createDataFrame([(k % 50, float(k), float(k % 7)) for k in range(500)], "g int, score double, v double")
     p = plan(R.top_decile_bootstrap(d, "g", "score", "v", 20, 7))
