@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import books as B
+from tidemark.operators import joins, sequential
 from tidemark.operators import research as R
+from tidemark.operators import studies as T
 from tidemark.plans import books as book_plans
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +57,25 @@ def test_resamples_are_never_broadcast(spark):
 
 def test_controls_are_dealt_without_a_pivot(spark):
     assert "pivotfirst" not in plan(book_plans.shuffled_control(spark, SF))
+
+
+@pytest.mark.parametrize(("block", "span"), [(2048, 512), (5, 7), (64, 7), (5, 512)])
+def test_pairs_over_blocks_and_spans(spark, block, span):
+    """Names that come and go, one that stands still, copies of one another: as NumPy has them, without a shuffle of pairs."""
+    rng = np.random.default_rng(3)
+    x = {f"n{k:02d}": {t: float(v) for t, v in zip(range(-9, 21), rng.normal(size=30), strict=True) if (t * 7 + k) % 4 and not (k > 20 and t < 9)} for k in range(24)}
+    x["n05"], x["n07"] = dict.fromkeys(x["n05"], 2.0), {t: 3 * v for t, v in x["n01"].items()}
+    df = spark.createDataFrame([(k, t, v) for k, s in x.items() for t, v in s.items()], "k string, t long, v double")
+    want = {}
+    for a in x:
+        for b in x:
+            if a < b and (both := sorted(x[a].keys() & x[b].keys())):
+                u, v = ([s[t] for t in both] for s in (x[a], x[b]))
+                want[a, b] = (len(both), None if len(set(u)) == 1 or len(set(v)) == 1 else float(np.corrcoef(u, v)[0, 1]))
+    p = joins.pair_correlations(df, "k", "t", "v", block=block, span=span)
+    got = {(r.a, r.b): (r.n, r["corr"]) for r in p.collect()}
+    assert got.keys() == want.keys() and not any(line.lstrip(" +-:").startswith("HashAggregate(keys=[a") for line in plan(p).splitlines())
+    for k, (n, c) in want.items():
+        assert got[k][0] == n and (got[k][1] is None if c is None else got[k][1] == pytest.approx(c, abs=1e-9))
+    few = {(r.a, r.b) for r in joins.pair_correlations(df, "k", "t", "v", block=block, span=span, least=0.2, rows=12).collect()}
+    assert few == {k for k, (n, c) in want.items() if c is not None and c >= 0.2 and n >= 12}
