@@ -79,3 +79,15 @@ def test_pairs_over_blocks_and_spans(spark, block, span):
         assert got[k][0] == n and (got[k][1] is None if c is None else got[k][1] == pytest.approx(c, abs=1e-9))
     few = {(r.a, r.b) for r in joins.pair_correlations(df, "k", "t", "v", block=block, span=span, least=0.2, rows=12).collect()}
     assert few == {k for k, (n, c) in want.items() if c is not None and c >= 0.2 and n >= 12}
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_best_partners_against_all_pairs(spark, block):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 12))
+    rows = [(k, t, 2.0 if k == 17 else float(base[k % 6, t] + (k >= 12) * (k % 3) * t)) for k in range(18) for t in range(12)] + [(90, 100, 1.0), (91, 100, 2.0), (92, 100, 3.0)]
+    df = spark.createDataFrame(rows, "k long, t long, v double")
+    pairs = joins.pair_correlations(df, "k", "t", "v").withColumn("corr", F.round("corr", 6))
+    want = {(r.k, r.partner, r["corr"]) for r in T.best_partner(pairs, "k").collect()}
+    got = joins.best_partners(df, "k", "t", "v", block=block)
+    assert {(r.k, r.partner, r["corr"]) for r in got.collect()} == want and len(want) == 21
