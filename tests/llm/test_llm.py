@@ -306,6 +306,25 @@ def test_library_ids_equal_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
+def test_library_is_given_a_word_once():
+    e, given = tokenfile.LibraryIds(bpe.vocabulary_path()), []
+
+    class Counted:
+        def encode(self, text, **k):
+            given.extend(text.split())
+            return library.encode(text, **k)
+
+        def encode_batch_fast(self, texts, **k):
+            given.extend(w for text in texts for w in text.split())
+            return library.encode_batch_fast(texts, **k)
+
+    library, e.tokenizer = e.tokenizer, Counted()
+    texts = ["Qzxv qzxv QZXV, (qzxv) qzxv's Éqzxv", "éqzxv. qzxv7 \"Qzxv\"", "qzxv " * 9]
+    out = e.encode_texts(texts) + e.encode_texts(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in out] == 2 * [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert given.count("qzxv") == 1 and given.count("éqzxv") == 1 and len(given) == len(set(given))
+
+
 def test_range_coder_round_trips():
     g = np.random.default_rng(1)
     for n in (0, 1, 2047, 2048, 2049, 9000, 40000):

@@ -18,8 +18,11 @@ words.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -35,26 +38,34 @@ from tidemark.llm.common import documents, written
 
 END_ID = 2
 #: Ids of a block: at most; and at least, where a record has fewer than LANES blocks otherwise.
-BLOCK, SHORT_BLOCK, LANES = 8192, 2048, 768
+BLOCK, SHORT_BLOCK, LANES = 2048, 512, 3072
 #: Ids in a record, about: what one task holds at a time.
-RECORD = BLOCK * 768
-#: Runs that each half of the cache of ids holds, and runs that the library encodes at once.
-CACHE, JOINED = 250_000, 1024
-MAGIC = b"TMTL"
-_TABLE, _PREC = 1024, 20
-#: Ids are coded by their bits above 12, the 6 below and the last 6.
-_UPPER, _LEVEL = 12, 6
-_WIDE = 1 << _LEVEL
-#: What an id adds to its running sums, and the total at which they are halved.
-_STEP, _FULL = 24, 16000
+RECORD = BLOCK * LANES
+#: Runs and words that each half of the cache of ids holds, and how many the library is given in one text.
+CACHE, JOINED = 500_000, 64
+#: Characters whose case and kind all versions of Unicode agree on (without U+0130, which lower case makes two of), and the
+#: vocabulary's pattern over these and ASCII.
+_PLAIN = [chr(c) for c in range(0x180) if c not in range(0x7F, 0xA1) and c != 0x130]
+PLAIN = re.compile("[" + "".join(map(re.escape, _PLAIN)) + "]+")
+_LETTERS, _NUMBERS = ("".join(c for c in _PLAIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+MAGIC = b"TMTM"
+#: Contexts of a lane's tables, and the bits of a 16-bit hash that are dropped for them.
+_TABLE, _HASH = 1024, 6
+#: Bits of a prediction's chance. Ids after which rates and weights are learned anew.
+_PREC, EVERY = 12, 16
 _U = np.uint64
-_TOP, _LOW = _U(1 << 48), _U((1 << 48) - 1)
-STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
-SQUASH = np.array([max(32, min(4032, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
+_WORD = _U(1 << 32)
+STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)])
+SQUASH = np.array([max(32, min(4032, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)])
 
 
 class LibraryIds:
-    """Ids of texts from the tokenizers library, four bytes each; runs seen before come from a bounded cache."""
+    """Ids of texts from the tokenizers library, four bytes each; what was seen before comes from a bounded cache.
+
+    Runs of PLAIN characters are cut into the words that the vocabulary's pattern finds, and each word that hasn't been seen is
+    encoded by the library, many at once: the last id of a word, and no other, is one of a word's end. Other runs go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
@@ -63,39 +74,94 @@ class LibraryIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        vocabulary, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.last = np.zeros(1 + max([*vocabulary.values(), *(t["id"] for t in spec["added_tokens"])]), bool)
+        self.last[[i for s, i in vocabulary.items() if s.endswith(end)]] = True
+        #: Of runs, and of the words in them.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        cut = [runs_of(t) if t else [] for t in texts]
-        unseen = set()
-        for runs in cut:
-            unseen.update(runs)
-        unseen.difference_update(young)
-        fresh = []
-        for run in unseen:
-            ids = old.get(run)
-            if ids is None:
-                fresh.append(run)
-            else:
-                young[run] = ids
-        for k in range(0, len(fresh), JOINED):
-            part = fresh[k : k + JOINED]
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of any runs."""
+        out = []
+        for k in range(0, len(runs), JOINED):
+            part = runs[k : k + JOINED]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             # Each id belongs to the run that it starts in.
             starts = np.r_[0, np.cumsum([len(run) + 1 for run in part])]
             cuts = (4 * np.searchsorted(np.fromiter((at for at, _ in e.offsets), np.int64, len(e.ids)), starts)).tolist()
             ids = np.array(e.ids, "<u4").tobytes()
-            young.update(zip(part, [ids[x:y] for x, y in pairwise(cuts)], strict=True))
-        out = [b"".join(map(young.__getitem__, runs)) for runs in cut]
-        for run in unseen:
-            if len(run) > CACHED_LENGTH:
-                young.pop(run, None)
+            out += [ids[x:y] for x, y in pairwise(cuts)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of PLAIN characters."""
+        parts = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            ids = ids.tobytes()
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                raise ValueError("the library cuts words elsewhere")
+            out += [ids[x:y] for x, y in pairwise([0, *cuts])]
         return out
 
+    def _learn(self, runs: set[str]) -> None:
+        """Puts the ids of runs that aren't known yet into the cache."""
+        young, old = self.young, self.old
+        cut: dict[str, list[str]] = {}
+        words: set[str] = set()
+        odd = []
+        for run in runs:
+            ids = old.get(run)
+            if ids is not None:
+                young[run] = ids
+            elif not (run.isascii() or PLAIN.fullmatch(run)):
+                odd.append(run)
+            elif (low := run.lower()).isalpha():
+                if low != run:
+                    cut[run] = [low]
+                words.add(low)
+            elif "<" in run and any(s in run for s in self.special):
+                odd.append(run)
+            else:
+                cut[run] = found = WORDS.findall(low)
+                words.update(found)
+        fresh = []
+        for word in words.difference(young):
+            ids = old.get(word)
+            if ids is None:
+                fresh.append(word)
+            else:
+                young[word] = ids
+        young.update(zip(fresh, self._words(fresh), strict=True))
+        young.update(zip(odd, self._runs(odd), strict=True))
+        for run, found in cut.items():
+            young[run] = young[found[0]] if len(found) == 1 else b"".join([young[w] for w in found])
+        self.long = [x for x in (*fresh, *cut, *odd) if len(x) > CACHED_LENGTH]
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        cut = [runs_of(t) if t else [] for t in texts]
+        get, unseen, gaps = self.young.get, set(), []
+        out = [list(map(get, runs)) for runs in cut]
+        for runs, ids in zip(cut, out, strict=True):
+            if None in ids:
+                gaps.append((ids, places := [k for k, x in enumerate(ids) if x is None], missed := [runs[k] for k in places]))
+                unseen.update(missed)
+        self._learn(unseen)
+        for ids, places, missed in gaps:
+            for k, run in zip(places, missed, strict=True):
+                ids[k] = get(run)
+        for x in self.long:
+            self.young.pop(x, None)
+        return [b"".join(ids) for ids in out]
+
 
 _IDS: dict[str, LibraryIds] = {}
 
@@ -107,74 +173,57 @@ def library_ids(path: str) -> LibraryIds:
     return _IDS[path]
 
 
-class _Sums:
-    """Running sums, from zero, of counts of the values below a node, for each lane; every value starts with one."""
-
-    def __init__(self, nodes: int, wide: int):
-        self.rows = np.tile(np.arange(wide + 1, dtype=np.int16), (nodes, 1))
-        self.steps = np.zeros((wide, wide + 1), np.int16)
-        self.steps[:, 1:] = np.triu(np.full((wide, wide), _STEP, np.int16))
-
-    def take(self, at: np.ndarray) -> np.ndarray:
-        """Totals of nodes, which the calls that follow are about."""
-        self.at, self.now = at, self.rows.take(at, 0)
-        self.first = np.arange(len(at)) * self.now.shape[1]
-        return self.now[:, -1].astype(np.int64)
-
-    def span(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of values."""
-        flat, at = self.now.ravel(), self.first + value
-        start = flat.take(at)
-        return start.astype(np.int64), (flat.take(at + 1) - start).astype(np.int64)
-
-    def find(self, place: np.ndarray) -> np.ndarray:
-        return (self.now[:, 1:] > place.astype(np.int16)[:, None]).argmax(1)
-
-    def add(self, value: np.ndarray) -> None:
-        self.now += self.steps.take(value, 0)
-        big = np.flatnonzero(self.now[:, -1] > _FULL)
-        if len(big):
-            self.now[big, 1:] = np.cumsum((np.diff(self.now[big], axis=1) + 1) >> 1, axis=1)
-        self.rows[self.at] = self.now
+class _Model:
+    """Predictions of the next id of every lane by order 2 or 1, and their chances, mixed from both orders' hit rates.
 
+    A table's entries are an id and how often it came in a row, up to three (two bits). Rates and weights are learned every EVERY ids.
+    """
 
-class _Model:
-    def __init__(self, lanes: int, largest: int):
+    def __init__(self, lanes: int, kind: type):
         lane = np.arange(lanes)
-        self.base, self.zero4 = lane * _TABLE, lane * 4
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.two, self.one = np.zeros(lanes * _TABLE, np.int32), np.zeros(lanes * _TABLE, np.int32)
-        self.rate = [np.full(lanes * 4, 16384, np.int32) for _ in range(3)]
-        self.weight = [np.full(lanes, 26000, np.int32) for _ in range(3)]
-        #: Order 0: upper bits, middle bits given these, lower bits given both.
-        self.nodes = (1, (largest >> _UPPER) + 1, (largest >> _LEVEL) + 1)
-        self.order0 = [_Sums(lanes * self.nodes[0], self.nodes[1]), _Sums(lanes * self.nodes[1], _WIDE), _Sums(lanes * self.nodes[2], _WIDE)]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(predicted id, is there one, its share of 2^_PREC) for each lane."""
-        self.at2 = ((self.a * 40503 + self.b * 30011) >> 3 & (_TABLE - 1)) + self.base
-        self.at1 = (self.b * 40503 >> 3 & (_TABLE - 1)) + self.base
-        self.e2, self.e1 = self.two[self.at2], self.one[self.at1]
-        self.c2, self.c1 = self.e2 & 3, self.e1 & 3
-        self.guess = (np.where(self.c2 > 0, self.e2, self.e1) >> 2).astype(np.int64)
-        self.slots = (self.c2 + self.zero4, self.c1 + self.zero4, self.zero4)
-        self.rates = [r[s] for r, s in zip(self.rate, self.slots, strict=True)]
+        #: Order 2, then order 1, of each lane.
+        self.base, self.cell = np.stack([lane, lane + lanes]) * _TABLE, lane * 16
+        self.table = np.zeros(2 * lanes * _TABLE, kind)
+        self.key, self.before = np.zeros((2, lanes), np.uint16), np.zeros(lanes, np.uint16)
+        self.cells, self.hits, self.t = np.zeros((EVERY, lanes), np.int64), np.zeros((EVERY, lanes), bool), 0
+        #: By lane, and by what order 2 and order 1 have: the rates of order 2, order 1, either.
+        self.rates = [np.full((lanes, *x), 16384) for x in ((4, 1), (1, 4), (1, 1))]
+        self.weights = [np.full((lanes, 1, 1), 26000) for _ in range(3)]
+        self._mix()
+
+    def _mix(self) -> None:
         self.stretched = [STRETCH[r >> 4] for r in self.rates]
-        dot = sum(w * x for w, x in zip(self.weight, self.stretched, strict=True)) >> 16
+        dot = sum(w * x for w, x in zip(self.weights, self.stretched, strict=True)) >> 16
         self.p = SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
-        return self.guess, (self.c2 | self.c1) > 0, self.p.astype(np.int64) << (_PREC - 12)
+        self.chances = self.p.ravel().astype(np.uint64)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(predicted id, its share of 2^_PREC) for each lane."""
+        self.at = (self.key >> _HASH).astype(np.int64)
+        self.at += self.base
+        self.entry = e = self.table.take(self.at)
+        self.count = c = e & 3
+        cell = self.cells[self.t]
+        np.add(c[0] << 2 | c[1], self.cell, out=cell)
+        return np.where(c[0] > 0, e[0], e[1]) >> 2, self.chances.take(cell)
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        err = (hit.astype(np.int32) << 12) - self.p
-        want = np.where(hit, np.int32(65535), np.int32(0))
-        for k in range(3):
-            self.weight[k] += (self.stretched[k] * err) >> 10
-            self.rate[k][self.slots[k]] = self.rates[k] + ((want - self.rates[k]) >> 5)
-        ids32 = ids.astype(np.int32)
-        for table, at, e, conf in ((self.two, self.at2, self.e2, self.c2), (self.one, self.at1, self.e1, self.c1)):
-            same = (e >> 2 == ids32) & (conf > 0)
-            table[at] = np.where(same | (conf <= 1), ids32 << 2 | np.where(same, np.minimum(conf + 1, 3), 1), e - 1)
-        self.a, self.b = self.b, ids
+        e, c, wide = self.entry, self.count, ids << 2
+        self.table[self.at] = np.where((e ^ wide) < 4, e + (c < 3), np.where(c < 2, wide | 1, e - 1))
+        now = ids.astype(np.uint16) * 40503
+        np.add(self.before * 30011, now, out=self.key[0])
+        self.key[1] = self.before = now
+        self.hits[self.t] = hit
+        self.t += 1
+        if self.t == EVERY:
+            self.t = 0
+            n, h = (np.bincount(x, minlength=self.p.size).reshape(self.p.shape) for x in (self.cells.ravel(), self.cells[self.hits]))
+            err = (h << 12) - n * self.p
+            for k, (r, x) in enumerate(zip(self.rates, self.stretched, strict=True)):
+                over = tuple(d for d in (1, 2) if r.shape[d] == 1)
+                self.weights[k] = np.minimum(np.maximum(self.weights[k] + ((x * err).sum((1, 2), keepdims=True) >> 10), -(1 << 20)), 1 << 20)
+                r += (h.sum(over, keepdims=True) * 65535 - n.sum(over, keepdims=True) * r) >> 5
+            self._mix()
 
 
 def _lengths(n: int) -> tuple[int, int]:
@@ -184,143 +233,110 @@ def _lengths(n: int) -> tuple[int, int]:
     return (-(-n // each) if n else 0), each
 
 
+def _kind(symbols: int) -> tuple[type, int]:
+    """(type of a context table's entries, bits of order 0's shares) for so many different ids."""
+    return (np.uint16, 16) if symbols <= 1 << 14 else (np.uint32, 18)
+
+
 def compress(ids: np.ndarray) -> bytes:
     """The image of ids (0 to 131071)."""
     n = len(ids)
     lanes, each = _lengths(n)
-    grid = np.zeros(lanes * each, np.int32)
-    grid[:n] = ids
-    largest = int(grid.max(initial=0))
+    there = np.bincount(ids) > 0
+    names = np.flatnonzero(there)
+    kind, bits = _kind(len(names))
+    grid = np.zeros(lanes * each, kind)
+    grid[:n] = (np.cumsum(there) - 1).astype(kind)[ids]
     grid = grid.reshape(lanes, each).T.copy()
-    m = _Model(lanes, largest)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _TOP)
-    room = each * 4 + 8
-    out, pos = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
-
-    def narrow(lane: np.ndarray, start: np.ndarray, s: np.ndarray) -> None:
-        x = low[lane] + start
-        over = np.flatnonzero(x >= _TOP)
-        if len(over):  # a carry goes into the words already given
-            at = lane[over]
+    m, hits, shares = _Model(lanes, kind), np.empty(grid.shape, bool), np.empty(grid.shape, np.uint16)
+    for t in range(each):
+        guess, shares[t] = m.predict()
+        np.equal(guess, grid[t], out=hits[t])
+        m.update(grid[t], hits[t])
+    # Order 0: each id's share of those that weren't predicted.
+    missed = np.bincount(grid[~hits], minlength=len(names))
+    size = (missed > 0) + missed * ((1 << bits) - np.count_nonzero(missed)) // max(1, int(missed.sum()))
+    if n:
+        size[size.argmax()] += (1 << bits) - size.sum()
+    sizes, starts = size.astype(np.uint64), (np.cumsum(size) - size).astype(np.uint64)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
+    out, pos = np.zeros((lanes, each + 4), np.uint32), np.zeros(lanes, np.int64)
+    for t in range(each):
+        # As predicted, or else the id by its share of the rest.
+        hit, x = hits[t], grid[t]
+        share = (span >> _U(_PREC)) * shares[t]
+        unit = (span - share) >> _U(bits)
+        start = np.where(hit, _U(0), share + unit * starts.take(x))
+        span = np.where(hit, share, unit * sizes.take(x))
+        low += start
+        at = np.flatnonzero(low < start)
+        if len(at):  # a carry goes into the words already given
             j = pos[at] - 1
             while len(at):
-                out[at, j] += np.uint16(1)
+                out[at, j] += np.uint32(1)
                 more = out[at, j] == 0
                 at, j = at[more], j[more] - 1
-            x &= _LOW
-        low[lane] = x
-        give = np.flatnonzero(s < _U(1 << 32))
-        while len(give):
-            at = lane[give]
-            out[at, pos[at]] = (low[at] >> _U(32)).astype(np.uint16)
-            pos[at] += 1
-            low[at] = (low[at] << _U(16)) & _LOW
-            s[give] <<= _U(16)
-            give = give[s[give] < _U(1 << 32)]
-        span[lane] = s
-
-    every = np.arange(lanes)
-    upper, middle, lower = m.order0
-    for t in range(each):
-        x = grid[t].astype(np.int64)
-        guess, some, share = m.predict()
-        hit = (guess == x) & some
-        # As predicted, or else the upper bits by their share of the rest.
-        rest, total = (1 << _PREC) - share, upper.take(every)
-        first, wide = upper.span(x >> _UPPER)
-        start = np.where(hit, 0, share + first * rest // total)
-        end = np.where(hit, share, share + (first + wide) * rest // total)
-        unit = span >> _U(_PREC)
-        narrow(every, start.view(np.uint64) * unit, (end - start).view(np.uint64) * unit)
-        upper.add(x >> _UPPER)
-        lane = np.flatnonzero(~hit)
-        if len(lane):
-            y = x[lane]
-            # The middle bits, and within their share the lower ones.
-            one, two = middle.take(lane * m.nodes[1] + (y >> _UPPER)), lower.take(lane * m.nodes[2] + (y >> _LEVEL))
-            one, two = one.view(np.uint64), two.view(np.uint64)
-            (s1, w1), (s2, w2) = ([v.view(np.uint64) for v in f.span(z)] for f, z in ((middle, y >> _LEVEL & (_WIDE - 1)), (lower, y & (_WIDE - 1))))
-            unit = span[lane] // one
-            inner = w1 * unit // two
-            narrow(lane, s1 * unit + s2 * inner, w2 * inner)
-            middle.add(y >> _LEVEL & (_WIDE - 1))
-            lower.add(y & (_WIDE - 1))
-        m.update(x, hit)
-    for _ in range(3):
-        out[every, pos] = (low >> _U(32)).astype(np.uint16)
+        at = np.flatnonzero(span < _WORD)
+        if len(at):
+            now, place = low[at], pos[at]
+            out[at, place] = now >> _U(32)
+            pos[at] = place + 1
+            low[at] = now << _U(32)
+            span[at] <<= _U(32)
+    for _ in range(2):
+        out[np.arange(lanes), pos] = low >> _U(32)
         pos += 1
-        low = (low << _U(16)) & _LOW
+        low <<= _U(32)
     little = np.ascontiguousarray(ids, dtype="<u4")
     crc = [zlib.crc32(little[k * each : (k + 1) * each]) for k in range(lanes)]
-    head = MAGIC + np.array([lanes, n, largest], "<u4").tobytes() + pos.astype("<u4").tobytes() + np.array(crc, "<u4").tobytes()
-    return head + b"".join(out[k, : pos[k]].astype("<u2").tobytes() for k in range(lanes))
+    table = zlib.compress(np.r_[np.diff(names, prepend=0), size].astype("<u4").tobytes())
+    head = np.r_[lanes, n, len(names), len(table), pos, crc].astype("<u4").tobytes() + table
+    return MAGIC + np.array([zlib.crc32(head)], "<u4").tobytes() + head + b"".join(out[k, : pos[k]].astype("<u4").tobytes() for k in range(lanes))
 
 
 def decompress(image: bytes) -> np.ndarray:
-    """The ids of an image; ValueError if a block isn't what was written."""
-    if image[:4] != MAGIC:
+    """The ids of an image; ValueError if its head or a block isn't what was written."""
+    if image[:4] != MAGIC or len(image) < 24:
         raise ValueError("not a token-id record")
-    lanes, n, largest = (int(x) for x in np.frombuffer(image, "<u4", 3, 4))
+    lanes, n, symbols, tabled = (int(x) for x in np.frombuffer(image, "<u4", 4, 8))
+    body = 24 + 8 * lanes + tabled
+    if zlib.crc32(memoryview(image)[8:body]) != int.from_bytes(image[4:8], "little"):
+        raise ValueError("the head is damaged")
     if not lanes:
         return np.zeros(0, np.uint32)
     each = -(-n // lanes)
-    size, crc = np.frombuffer(image, "<u4", lanes, 16).astype(np.int64), np.frombuffer(image, "<u4", lanes, 16 + 4 * lanes)
-    data = np.frombuffer(image, "<u2", int(size.sum()), 16 + 8 * lanes).astype(np.uint64)
-    data = np.r_[data, np.zeros(4, np.uint64)]
-    pos = np.r_[0, np.cumsum(size)[:-1]]
-    code = data[pos] << _U(32) | data[pos + 1] << _U(16) | data[pos + 2]
-    pos += 3
-    limit = len(data) - 1
-    span = np.full(lanes, _TOP)
-    m, every = _Model(lanes, largest), np.arange(lanes)
-    grid = np.empty((each, lanes), np.uint32)
-
-    def narrow(lane: np.ndarray, c: np.ndarray, s: np.ndarray) -> None:
-        take = np.flatnonzero(s < _U(1 << 32))
-        while len(take):
-            at = lane[take]
-            c[take] = (c[take] << _U(16)) | data[np.minimum(pos[at], limit)]
-            pos[at] += 1
-            s[take] <<= _U(16)
-            take = take[s[take] < _U(1 << 32)]
-        code[lane], span[lane] = c, s
-
-    upper, middle, lower = m.order0
+    length, crc = np.frombuffer(image, "<u4", lanes, 24).astype(np.int64), np.frombuffer(image, "<u4", lanes, 24 + 4 * lanes)
+    table = np.frombuffer(zlib.decompress(image[24 + 8 * lanes : body]), "<u4").astype(np.int64)
+    names, size = np.cumsum(table[:symbols]).astype(np.uint32), table[symbols:]
+    kind, bits = _kind(symbols)
+    sizes, starts, found = size.astype(np.uint64), (np.cumsum(size) - size).astype(np.uint64), np.repeat(np.arange(symbols, dtype=kind), size)
+    data = np.frombuffer(image[body:], "<u4", int(length.sum())).astype(np.uint64)
+    data = np.r_[data, np.zeros(2, np.uint64)]
+    pos = np.cumsum(length) - length
+    code = data[pos] << _U(32) | data[pos + 1]
+    pos += 2
+    last, limit = _U((1 << bits) - 1), len(data) - 1
+    span = np.full(lanes, ~_U(0))
+    m, grid = _Model(lanes, kind), np.empty((each, lanes), kind)
     for t in range(each):
-        guess, _, share = m.predict()
-        unit = span >> _U(_PREC)
-        v = np.minimum(code // unit, _U((1 << _PREC) - 1)).view(np.int64)
-        hit = v < share
-        rest, total = (1 << _PREC) - share, upper.take(every)
-        # sums * rest // total <= v - share, solved for sums
-        top = np.where(hit, np.minimum(guess >> _UPPER, m.nodes[1] - 1), upper.find(np.minimum(((v - share + 1) * total - 1) // rest, total - 1)))
-        first, wide = upper.span(top)
-        start = np.where(hit, 0, share + first * rest // total)
-        end = np.where(hit, share, share + (first + wide) * rest // total)
-        narrow(every, code - start.view(np.uint64) * unit, (end - start).view(np.uint64) * unit)
-        upper.add(top)
-        x = guess.copy()
-        lane = np.flatnonzero(~hit)
-        if len(lane):
-            y, c = top[lane], code[lane]
-            total = middle.take(lane * m.nodes[1] + y).view(np.uint64)
-            unit = span[lane] // total
-            value = middle.find(np.minimum(c // unit, total - _U(1)))
-            start, wide = (v.view(np.uint64) for v in middle.span(value))
-            c -= start * unit
-            middle.add(value)
-            y = y << _LEVEL | value
-            total = lower.take(lane * m.nodes[2] + np.minimum(y, m.nodes[2] - 1)).view(np.uint64)  # a damaged block may lead anywhere
-            unit = wide * unit // total
-            value = lower.find(np.minimum(c // unit, total - _U(1)))
-            start, wide = (v.view(np.uint64) for v in lower.span(value))
-            lower.add(value)
-            narrow(lane, c - start * unit, wide * unit)
-            y = y << _LEVEL | value
-            x[lane] = y
+        guess, share = m.predict()
+        share *= span >> _U(_PREC)
+        hit = code < share
+        unit = (span - share) >> _U(bits)
+        rest = code - share
+        x = found.take(np.minimum(rest // unit, last).view(np.int64))
+        code = np.where(hit, code, rest - unit * starts.take(x))
+        span = np.where(hit, share, unit * sizes.take(x))
+        at = np.flatnonzero(span < _WORD)
+        if len(at):
+            place = pos[at]
+            code[at] = code[at] << _U(32) | data[np.minimum(place, limit)]  # a damaged block may lead anywhere
+            pos[at] = place + 1
+            span[at] <<= _U(32)
+        x = np.where(hit, guess, x)
         m.update(x, hit)
         grid[t] = x
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
+    ids = names[np.ascontiguousarray(grid.T).reshape(-1)[:n]].astype("<u4")
     for k in range(lanes):
         if zlib.crc32(ids[k * each : (k + 1) * each]) != crc[k]:
             raise ValueError(f"block {k} is damaged")
