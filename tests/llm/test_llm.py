@@ -338,6 +338,13 @@ def test_range_coder_round_trips():
             tokenfile.decompress(bytes(broken))
 
 
+def test_any_damaged_byte_of_a_token_file_is_found():
+    image = tokenfile.compress(np.random.default_rng(2).zipf(1.3, 700) % 49408)
+    for k in range(len(image)):
+        with pytest.raises(ValueError):
+            tokenfile.decompress(image[:k] + bytes([image[k] ^ 1]) + image[k + 1 :])
+
+
 def test_token_files_are_smaller_than_deflated_ids():
     from duckdb import sql
 

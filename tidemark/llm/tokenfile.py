@@ -1,23 +1,24 @@
 """Token-id files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
-Ids come from the tokenizers library. White space separates what it encodes, so each run of other characters is encoded
-once by the library and looked up after that.
+Ids come from the tokenizers library. White space separates what it encodes, so each word is encoded once by the library
+and looked up after that.
 
-Ids are coded in blocks of at most BLOCK ids. Every block starts from an empty model and carries the CRC-32 of its ids,
-so any block is read, checked or lost alone. In a block the id that followed the same two ids (order 2) or the same id
-(order 1) last is predicted; the orders' hit rates are mixed in the logistic domain with weights learned as coding
-goes, and an arithmetic coder with carries codes "as predicted" or else the id by order 0: adaptive counts of ids, as
-running sums over the ids' upper, middle and lower bits given those above them. All of it is integer arithmetic, so
-any machine reads what another one wrote. The blocks of a record run in lockstep, one array lane each: encoder and
-decoder cost a fixed number of array operations for each position in a block, however many blocks there are.
+Ids are coded in blocks of at most BLOCK ids. Every block starts from an empty model and carries the CRC-32 of its words
+and ids, so any block is checked or lost alone. In a block the id that followed the same two ids (order 2) or the same id
+(order 1) last is predicted; the orders' hit rates are mixed in the logistic domain, with rates and weights learned every
+EVERY ids, and an arithmetic coder with carries codes "as predicted" or else the id by order 0: its share of the record's
+ids that weren't predicted, from a table in the head. All of it is integer arithmetic, so any machine reads what another
+one wrote. The blocks of a record run in lockstep, one array lane each: encoder and decoder cost a fixed number of array
+operations for each position in a block, however many blocks there are.
 
 A record (one row of the written table) holds whole documents: shard and seq (its place), doc_ids and lengths, and an
-image: magic, number of blocks, number of ids, largest id, then words and CRC-32 of each block, then the blocks' 16-bit
-words.
+image: magic, the head's CRC-32, the head (numbers of blocks, ids, different ids and bytes of the table, words and CRC-32
+of each block, the table, deflated), then the blocks' 32-bit words. Without its head a record can't be read.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import os
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import CACHED_LENGTH, grouped, runs_of, vocabulary_path
+from tidemark.llm.bpe import CACHED_LENGTH, ODD, grouped, runs_of, vocabulary_path
 from tidemark.llm.common import documents, written
 
 END_ID = 2
@@ -42,7 +43,7 @@ BLOCK, SHORT_BLOCK, LANES = 2048, 512, 3072
 #: Ids in a record, about: what one task holds at a time.
 RECORD = BLOCK * LANES
 #: Runs and words that each half of the cache of ids holds, and how many the library is given in one text.
-CACHE, JOINED = 500_000, 64
+CACHE, JOINED = 800_000, 64
 #: Characters whose case and kind all versions of Unicode agree on (without U+0130, which lower case makes two of), and the
 #: vocabulary's pattern over these and ASCII.
 _PLAIN = [chr(c) for c in range(0x180) if c not in range(0x7F, 0xA1) and c != 0x130]
@@ -51,9 +52,9 @@ _LETTERS, _NUMBERS = ("".join(c for c in _PLAIN if unicodedata.category(c)[0] ==
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 MAGIC = b"TMTM"
 #: Contexts of a lane's tables, and the bits of a 16-bit hash that are dropped for them.
-_TABLE, _HASH = 1024, 6
+_TABLE, _HASH = 512, 7
 #: Bits of a prediction's chance. Ids after which rates and weights are learned anew.
-_PREC, EVERY = 12, 16
+_PREC, EVERY = 12, 32
 _U = np.uint64
 _WORD = _U(1 << 32)
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)])
@@ -120,34 +121,57 @@ class LibraryIds:
             ids = old.get(run)
             if ids is not None:
                 young[run] = ids
-            elif not (run.isascii() or PLAIN.fullmatch(run)):
+                continue
+            if not (run.isascii() or PLAIN.fullmatch(run)):
                 odd.append(run)
-            elif (low := run.lower()).isalpha():
-                if low != run:
-                    cut[run] = [low]
-                words.add(low)
+                continue
+            low = run.lower()
+            if low.isalpha():
+                if low == run:
+                    words.add(run)
+                    continue
+                found = [low]
             elif "<" in run and any(s in run for s in self.special):
                 odd.append(run)
+                continue
             else:
-                cut[run] = found = WORDS.findall(low)
-                words.update(found)
-        fresh = []
-        for word in words.difference(young):
-            ids = old.get(word)
-            if ids is None:
-                fresh.append(word)
-            else:
-                young[word] = ids
+                found = WORDS.findall(low)
+            cut[run] = found
+            for word in found:
+                if word not in young:
+                    ids = old.get(word)
+                    if ids is None:
+                        words.add(word)
+                    else:
+                        young[word] = ids
+        fresh = list(words)
         young.update(zip(fresh, self._words(fresh), strict=True))
         young.update(zip(odd, self._runs(odd), strict=True))
         for run, found in cut.items():
             young[run] = young[found[0]] if len(found) == 1 else b"".join([young[w] for w in found])
         self.long = [x for x in (*fresh, *cut, *odd) if len(x) > CACHED_LENGTH]
 
+    def _cut(self, text: str) -> list[str]:
+        """The runs of a text; in lower case already where that can't change what special tokens it has."""
+        try:
+            text.encode("latin-1")  # such text is in NFC
+        except UnicodeEncodeError:
+            return runs_of(text)
+        return runs_of(text) if "<|" in text or any(c in text for c in ODD) else text.lower().split()
+
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        cut = [runs_of(t) if t else [] for t in texts]
+        cut = [self._cut(t) if t else [] for t in texts]
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings, none in a cycle
+        try:
+            return self._ids(cut)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, cut: list[list[str]]) -> list[bytes]:
         get, unseen, gaps = self.young.get, set(), []
         out = [list(map(get, runs)) for runs in cut]
         for runs, ids in zip(cut, out, strict=True):
@@ -182,9 +206,9 @@ class _Model:
     def __init__(self, lanes: int, kind: type):
         lane = np.arange(lanes)
         #: Order 2, then order 1, of each lane.
-        self.base, self.cell = np.stack([lane, lane + lanes]) * _TABLE, lane * 16
+        self.base, self.cell, self.lanes = np.arange(2 * lanes) * _TABLE, lane * 16, lanes
         self.table = np.zeros(2 * lanes * _TABLE, kind)
-        self.key, self.before = np.zeros((2, lanes), np.uint16), np.zeros(lanes, np.uint16)
+        self.key, self.before = np.zeros(2 * lanes, np.uint16), np.zeros(lanes, np.uint16)
         self.cells, self.hits, self.t = np.zeros((EVERY, lanes), np.int64), np.zeros((EVERY, lanes), bool), 0
         #: By lane, and by what order 2 and order 1 have: the rates of order 2, order 1, either.
         self.rates = [np.full((lanes, *x), 16384) for x in ((4, 1), (1, 4), (1, 1))]
@@ -204,15 +228,16 @@ class _Model:
         self.entry = e = self.table.take(self.at)
         self.count = c = e & 3
         cell = self.cells[self.t]
-        np.add(c[0] << 2 | c[1], self.cell, out=cell)
-        return np.where(c[0] > 0, e[0], e[1]) >> 2, self.chances.take(cell)
+        two = c[: self.lanes]
+        np.add(two << 2 | c[self.lanes :], self.cell, out=cell)
+        return np.where(two > 0, e[: self.lanes], e[self.lanes :]) >> 2, self.chances.take(cell)
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        e, c, wide = self.entry, self.count, ids << 2
+        e, c, wide = self.entry, self.count, np.concatenate((ids, ids)) << 2
         self.table[self.at] = np.where((e ^ wide) < 4, e + (c < 3), np.where(c < 2, wide | 1, e - 1))
         now = ids.astype(np.uint16) * 40503
-        np.add(self.before * 30011, now, out=self.key[0])
-        self.key[1] = self.before = now
+        np.add(self.before * 30011, now, out=self.key[: self.lanes])
+        self.key[self.lanes :] = self.before = now
         self.hits[self.t] = hit
         self.t += 1
         if self.t == EVERY:
@@ -288,10 +313,11 @@ def compress(ids: np.ndarray) -> bytes:
         pos += 1
         low <<= _U(32)
     little = np.ascontiguousarray(ids, dtype="<u4")
-    crc = [zlib.crc32(little[k * each : (k + 1) * each]) for k in range(lanes)]
+    words = [out[k, : pos[k]].astype("<u4").tobytes() for k in range(lanes)]
+    crc = [zlib.crc32(little[k * each : (k + 1) * each], zlib.crc32(words[k])) for k in range(lanes)]
     table = zlib.compress(np.r_[np.diff(names, prepend=0), size].astype("<u4").tobytes())
     head = np.r_[lanes, n, len(names), len(table), pos, crc].astype("<u4").tobytes() + table
-    return MAGIC + np.array([zlib.crc32(head)], "<u4").tobytes() + head + b"".join(out[k, : pos[k]].astype("<u4").tobytes() for k in range(lanes))
+    return MAGIC + np.array([zlib.crc32(head)], "<u4").tobytes() + head + b"".join(words)
 
 
 def decompress(image: bytes) -> np.ndarray:
@@ -312,6 +338,7 @@ def decompress(image: bytes) -> np.ndarray:
     sizes, starts, found = size.astype(np.uint64), (np.cumsum(size) - size).astype(np.uint64), np.repeat(np.arange(symbols, dtype=kind), size)
     data = np.frombuffer(image[body:], "<u4", int(length.sum())).astype(np.uint64)
     data = np.r_[data, np.zeros(2, np.uint64)]
+    ends = body + 4 * np.cumsum(length)
     pos = np.cumsum(length) - length
     code = data[pos] << _U(32) | data[pos + 1]
     pos += 2
@@ -338,7 +365,8 @@ def decompress(image: bytes) -> np.ndarray:
         grid[t] = x
     ids = names[np.ascontiguousarray(grid.T).reshape(-1)[:n]].astype("<u4")
     for k in range(lanes):
-        if zlib.crc32(ids[k * each : (k + 1) * each]) != crc[k]:
+        words = memoryview(image)[ends[k] - 4 * length[k] : ends[k]]
+        if zlib.crc32(ids[k * each : (k + 1) * each], zlib.crc32(words)) != crc[k]:
             raise ValueError(f"block {k} is damaged")
     return ids
 
