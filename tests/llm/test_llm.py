@@ -1,13 +1,16 @@
 """The corpus operators against plain versions of themselves, on texts of every awkward kind."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -603,3 +606,37 @@ def test_pipeline_keeps_columns(spark):
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
+
+
+def test_pipeline_stages_send_small_batches(spark):
+    """Executors keep several copies of what Python gets at once: ten megabytes of text in one task aren't one batch."""
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 100, 1, 1).selectExpr("id doc_id", "repeat('some ', 20000) text", "string(null) lang", "string(null) source")
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, "")
+            got = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in got) == 100 and max(r.size for r in got) <= 1.1 * common.BATCH_BYTES
+        for own, kept in (("64k", "64k"), ("1g", str(common.BATCH_BYTES))):  # a lower bound of the session's own stays
+            spark.conf.set(key, own)
+            common.bound_batches(spark)
+            assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.unset(key)
+
+
+def test_encoder_keeps_little():
+    """Each Python worker keeps an encoder: 400,000 words seen once leave less than 40 MB in it."""
+    e, letters = bpe.Encoder(bpe.vocabulary_path()), "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(w) for w in itertools.islice(itertools.product(letters, repeat=5), 400_000)]
+    for k in range(0, len(words), 20_000):
+        e.encode_texts([" ".join(words[k : k + 20_000])])
+    assert sum(sys.getsizeof(x) + sum(sys.getsizeof(y) for w in x.items() for y in w) for x in (e.young, e.old)) < 40e6
+    assert e.encode(words[0]) == bpe.Encoder(bpe.vocabulary_path()).encode(words[0])

@@ -40,8 +40,8 @@ ODD = "\x1c\x1d\x1e\x1f"
 NONE = 1 << 60
 #: The pair table's hash: a multiplier, and the bits that are used.
 HASH, SHIFT, MASK = 0x9E3779B97F4A7, 28, (1 << 18) - 1
-#: Entries of each half of the cache.
-CACHE = 350_000
+#: Entries of each half of the cache, some 150 bytes each; every Python worker has a cache of its own and keeps it.
+CACHE = 100_000
 #: Runs longer than this many characters aren't kept.
 CACHED_LENGTH = 48
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch of rows that goes to Python, about.
+BATCH_BYTES = 1 << 21
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,6 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on batches that this session sends to Python have about `most` bytes, or fewer if it says so itself.
+
+    By default a batch has 64 MB or 10,000 rows, so a task's texts are often one batch, of which the executor and its
+    Python worker hold several copies, and idle workers keep that memory. No result depends on batches.
+    """
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made; whatever reads them must have been written itself."""
     for t in tables:
